@@ -1,5 +1,7 @@
 """SQL of the stand-in views, in dependency order. Independent of the DataFrame versions."""
 
+from .fit_sql import coefficient_sql, fit_sql
+
 STRATUM = "database_name, outcome_cohort_name, denominator_age_group, denominator_sex"
 
 VIEWS: dict[str, str] = {}
@@ -144,3 +146,7 @@ FROM f WHERE incidence_start_date >= first_nonzero AND person_years_sum IS NOT N
 
 VIEWS["fx_sr_quarterly"] = _model_input("fx_quarterly")
 VIEWS["fx_sr_monthly"] = _model_input("fx_monthly")
+VIEWS["fx_fit"] = fit_sql("fx_sr_quarterly", lagged=False)
+VIEWS["fx_fit_lagged"] = fit_sql("fx_sr_quarterly", lagged=True)
+VIEWS["fx_fit_monthly"] = fit_sql("fx_sr_monthly", lagged=True)
+VIEWS["fx_coefficients"] = coefficient_sql("fx_fit")

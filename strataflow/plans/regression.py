@@ -7,17 +7,20 @@ several tables from one fit, pass it through ``sources.scratch.materialise`` fir
 
 from __future__ import annotations
 
+import sys
 from statistics import NormalDist
 from typing import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import numbers, quasipoisson
+from ..functions import numbers, quasipoisson, student_t
 from ..functions.missing import as_col, in_set
+from ..functions.quasipoisson import NOT_CONVERGED, OK, SATURATED, STATUS_NAMES, fit_block
 from ..functions.student_t import two_sided_p
 from ..operators.filters import POST_EVENT_PATTERN, outcome_gate
 from ..operators.projections import deviance_residuals
@@ -27,6 +30,10 @@ from ..sources.dims import literal_table
 from .correlation import acf, pacf
 from .series import FORECAST_NAMES, SERIES, forecast_columns
 
+# The fitting code travels with the plan, so executors need numpy and pyarrow but not this package.
+for _module in (sys.modules[__name__], quasipoisson, student_t):
+    cloudpickle.register_pickle_by_value(_module)
+
 # ---- Fixed values: model specifications and their display names -----------------------------
 WITH_INTERVENTION = "with_intervention"
 REMOVE_INTERVENTION = "remove_intervention"
@@ -194,7 +201,7 @@ def _fit_batch(
                 [np.full((len(members), 1), np.nan), block["y"][:, :-1]], axis=1
             )
             names, x, used = _spec_terms(model, lagged, season, block)
-            fit = quasipoisson.fit_block(
+            fit = fit_block(
                 x, block["y"], block["pt"], used, tolerance, max_iterations
             )
             where = place[present]
@@ -240,13 +247,13 @@ def _fit_batch(
                 "se_link": _nullable(se_link),
             },
         )
-        fitted_ok = np.isin(status, (quasipoisson.OK, quasipoisson.SATURATED, quasipoisson.NOT_CONVERGED))
+        fitted_ok = np.isin(status, (OK, SATURATED, NOT_CONVERGED))
         counted = pa.array(df.astype(np.int32), mask=~fitted_ok)
         yield pa.RecordBatch.from_arrays(
             [
                 *[batch.column(k) for k in keys],
                 pa.array([model] * n_series, type=pa.string()),
-                pa.array([quasipoisson.STATUS_NAMES[s] for s in status], type=pa.string()),
+                pa.array([STATUS_NAMES[s] for s in status], type=pa.string()),
                 pa.array(scalars["n_obs"].astype(np.int32)),
                 pa.array(scalars["rank"].astype(np.int32)),
                 counted,
