@@ -84,8 +84,9 @@ scaled AS (
   SELECT *, n_obs - rank AS df_residual, CASE WHEN n_obs > rank THEN pearson / (n_obs - rank) END AS dispersion,
     {" + ".join(_ratio(f"q{j} * q{j}", j).join("()") for j in range(1, P + 1))} AS spread
   FROM stats)
-SELECT m.* EXCLUDE (sid), s.sid, s.used, s.n_obs, s.rank, s.df_residual, s.deviance, s.dispersion, s.off,
-  CASE WHEN n_obs = 0 THEN 'no_rows' WHEN df_residual = 0 THEN 'saturated' ELSE 'ok' END AS status,
+SELECT m.* EXCLUDE (sid), s.sid, s.used, s.n_obs, s.rank, CASE WHEN n_obs > 0 THEN s.df_residual END AS df_residual,
+  CASE WHEN n_obs > 0 THEN s.deviance END AS deviance, s.dispersion, s.off,
+  CASE WHEN n_obs = 0 THEN 'no_rows' WHEN s.df_residual = 0 THEN 'saturated' ELSE 'ok' END AS status,
   CASE WHEN n_obs > 0 AND NOT ({own_lag} AND lag_y IS NULL) THEN s.mu_all END AS mu,
   CASE WHEN n_obs > 0 AND NOT ({own_lag} AND lag_y IS NULL) THEN sqrt(dispersion * spread) END AS se_link,
   {", ".join(f"s.c{j}, s.n{j}" for j in range(1, P + 1))},

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..plans import correlation, regression, series
 from ..plans.series import SERIES, STRATUM
-from ..sources.scratch import materialise
 from . import fixtures as fx
 from .registry import query
 from .shape_queries import TIDY_SQL, tidy_rates
@@ -16,11 +15,11 @@ SERIES_SQL = ", ".join(SERIES)
 
 
 def quarterly(spark, d):
-    return series.sr_series_quarterly(fx.incidence(spark, d), timepoints=fx.TIMEPOINTS)
+    return series.sr_series_quarterly(fx.incidence(spark, d, persons=False), timepoints=fx.TIMEPOINTS)
 
 
 def monthly(spark, d):
-    return series.sr_series_monthly(fx.incidence(spark, d), timepoints=fx.TIMEPOINTS)
+    return series.sr_series_monthly(fx.incidence(spark, d, persons=False), timepoints=fx.TIMEPOINTS)
 
 
 @query("sr_series_quarterly", "SELECT * FROM fx_sr_quarterly")
@@ -42,7 +41,7 @@ def sr_series_monthly(spark, d):
     WHERE incidence IS NOT NULL AND analysis_interval = 'months'""",
 )
 def raw_rate_series(spark, d):
-    return series.raw_rate_series(tidy_rates(spark, d), fx.TIMEPOINTS)
+    return series.raw_rate_series(tidy_rates(spark, d, persons=False), fx.TIMEPOINTS)
 
 
 @query(
@@ -173,7 +172,7 @@ def forecast_table_monthly(spark, d):
       ORDER BY "Date" DESC) AS r FROM everything) WHERE r > 5""",
 )
 def forecast_plot_data(spark, d):
-    raw = series.raw_rate_series(tidy_rates(spark, d), fx.TIMEPOINTS)
+    raw = series.raw_rate_series(tidy_rates(spark, d, persons=False), fx.TIMEPOINTS)
     out = regression.forecast_plot_data(quarterly(spark, d), raw)
     return _single(out.withColumns({c: F.round(c, 4) for c in RATE_NAMES}))
 
@@ -195,7 +194,7 @@ def _acf_sql(points: str) -> str:
     """Autocorrelation by definition: pairs of points that far apart. ``points``: keys, t, x."""
     on = " AND ".join(f"a.{k} = b.{k}" for k in SERIES)
     keys = ", ".join(f"a.{k}" for k in SERIES)
-    return f"""SELECT {keys}, CAST(b.t - a.t AS INTEGER) AS lag, SUM(a.dx * b.dx) / MAX(a.total) AS acf
+    return f"""SELECT {keys}, CAST(b.t - a.t AS INTEGER) AS lag, SUM(a.dx * b.dx) / nullif(MAX(a.total), 0) AS acf
     FROM c a JOIN c b ON {on} AND b.t - a.t BETWEEN 0 AND least(floor(10 * log10(a.n)), a.n - 1)
     GROUP BY {keys}, b.t - a.t""", f"""c AS MATERIALIZED (SELECT *, SUM(dx * dx) OVER w AS total FROM
     (SELECT *, x - AVG(x) OVER w AS dx, COUNT(*) OVER w AS n FROM ({points}) WINDOW w AS (PARTITION BY {SERIES_SQL}))
@@ -214,14 +213,14 @@ def pacf_sql(points: str) -> str:
     p AS (SELECT *, 1 AS k, [r[1]] AS phi, r[1] AS g FROM l
       UNION ALL SELECT * EXCLUDE (k, phi, g, gain), k + 1,
         list_append(list_transform(range(1, k + 1), lambda j: phi[j] - gain * phi[k + 1 - j]), gain), gain
-      FROM (SELECT *, (r[k + 1] - list_dot_product(phi, list_reverse(r[1:k]))) / (1 - list_dot_product(phi, r[1:k])) AS gain
+      FROM (SELECT *, (r[k + 1] - list_dot_product(phi, list_reverse(r[1:k]))) / nullif(1 - list_dot_product(phi, r[1:k]), 0) AS gain
         FROM p WHERE k < len(r)))
     SELECT {SERIES_SQL}, CAST(k AS INTEGER) AS lag, round(g, 6) AS pacf FROM p"""
 
 
 RATE_POINTS_SQL = f"SELECT {SERIES_SQL}, time AS t, n_events_sum * 100000 / person_years_sum AS x FROM fx_sr_quarterly"
 RESIDUAL_POINTS_SQL = f"""SELECT {SERIES_SQL}, time AS t, sign(n_events_sum - mu) * sqrt(greatest(2 * (n_events_sum
-    * ln(n_events_sum / mu) - (n_events_sum - mu)), 0)) AS x FROM fx_fit WHERE model = 'with_intervention' AND used"""
+    * ln(n_events_sum / mu) - (n_events_sum - mu)), 0)) AS x FROM fx_fit WHERE model = 'with_intervention' AND used AND status = 'ok'"""
 
 
 def _rate_points(spark, d):
@@ -229,11 +228,8 @@ def _rate_points(spark, d):
     return quarterly(spark, d).select(*SERIES, F.col("time").alias("t"), rate.alias("x"))
 
 
-def _residual_points(spark, d):
-    """Residuals, written once: the correlation reads them twice and the fit should run once."""
-    fits = regression.fit_segmented(quarterly(spark, d), models=[regression.WITH_INTERVENTION])
-    points = regression.residual_series(fits).select(*SERIES, "t", F.col("residual").alias("x"))
-    return materialise(points, "residuals")
+def _residual_fits(spark, d):
+    return regression.fit_segmented(quarterly(spark, d), models=[regression.WITH_INTERVENTION])
 
 
 def _acf(points):
@@ -253,10 +249,10 @@ def pacf(spark, d):
 
 @query("residual_acf", acf_sql(RESIDUAL_POINTS_SQL))
 def residual_acf(spark, d):
-    return _acf(_residual_points(spark, d)).withColumn("acf", F.round("acf", 6))
+    return regression.residual_acf(_residual_fits(spark, d)).withColumn("acf", F.round("acf", 6))
 
 
 @query("residual_pacf", pacf_sql(RESIDUAL_POINTS_SQL))
 def residual_pacf(spark, d):
-    out = correlation.pacf(_acf(_residual_points(spark, d)), SERIES)
+    out = regression.residual_pacf(_residual_fits(spark, d))
     return out.withColumn("pacf", F.round("pacf", 6))

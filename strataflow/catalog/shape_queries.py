@@ -19,8 +19,8 @@ DATABASES = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 PARTS = {"group": ["cohort_name"], "strata": ["age_group", "sex"], "additional": []}
 
 
-def tidy_rates(spark, d):
-    return rename_display(fx.rates(spark, d), RATE_NAMES)
+def tidy_rates(spark, d, persons=True):
+    return rename_display(fx.rates(spark, d, persons), RATE_NAMES)
 
 
 TIDY_SQL = """(SELECT * RENAME (incidence_100000_pys AS incidence, incidence_100000_pys_95CI_lower AS incidence_95CI_lower,
@@ -52,7 +52,8 @@ def left_join_attributes(spark, d):
 
 def cohorts(spark, d):
     return aggregates.distinct_cohorts(
-        fx.rates(spark, d), ["denominator_cohort_name", "denominator_sex", "denominator_age_group"]
+        fx.rates(spark, d, persons=False),
+        ["denominator_cohort_name", "denominator_sex", "denominator_age_group"],
     )
 
 
@@ -63,7 +64,7 @@ def cohorts(spark, d):
     ON f.country = m.country AND f.incidence_start_date = m.date""",
 )
 def join_covariate_month(spark, d):
-    placed = joins.lookup_country(fx.incidence(spark, d), country_dim(spark))
+    placed = joins.lookup_country(fx.incidence(spark, d, persons=False), country_dim(spark))
     monthly = aggregates.monthly_mean_index(fx.index(spark, d))
     out = joins.join_covariate_month(
         placed, monthly, {"country": "country", "incidence_start_date": "date"}
@@ -135,7 +136,7 @@ def distinct_cohorts(spark, d):
 )
 def facet_domains(spark, d):
     return aggregates.facet_domains(
-        fx.rates(spark, d),
+        fx.rates(spark, d, persons=False),
         [
             "database_name",
             "denominator_sex",
@@ -166,13 +167,13 @@ def monthly_mean_index(spark, d):
 
 @query("quarterly_rollup", "SELECT * FROM fx_quarterly")
 def quarterly_rollup(spark, d):
-    out = aggregates.quarterly_rollup(fx.incidence(spark, d), STRATUM)
+    out = aggregates.quarterly_rollup(fx.incidence(spark, d, persons=False), STRATUM)
     return out.withColumn("person_years_sum", F.round("person_years_sum", 5))
 
 
 @query("monthly_rollup", "SELECT * FROM fx_monthly")
 def monthly_rollup(spark, d):
-    out = aggregates.monthly_rollup(fx.incidence(spark, d), STRATUM)
+    out = aggregates.monthly_rollup(fx.incidence(spark, d, persons=False), STRATUM)
     return out.withColumn("person_years_sum", F.round("person_years_sum", 5))
 
 
@@ -186,7 +187,7 @@ def monthly_rollup(spark, d):
 )
 def max_and_argmax(spark, d):
     return aggregates.max_and_argmax(
-        tidy_rates(spark, d), "incidence", "incidence_start_date", ["database_name", "outcome_cohort_name"]
+        tidy_rates(spark, d, persons=False), "incidence", "incidence_start_date", ["database_name", "outcome_cohort_name"]
     )
 
 
@@ -197,7 +198,7 @@ def max_and_argmax(spark, d):
 )
 def series_counts(spark, d):
     return aggregates.series_counts(
-        fx.rates(spark, d), ["database_name", "denominator_target_cohort_name"], "outcome_cohort_name"
+        fx.rates(spark, d, persons=False), ["database_name", "denominator_target_cohort_name"], "outcome_cohort_name"
     )
 
 
@@ -209,7 +210,7 @@ def series_counts(spark, d):
       WHEN a IS NULL OR b IS NULL OR b < a THEN 'no_records' ELSE 'ok' END AS status FROM f""",
 )
 def series_status(spark, d):
-    rolled = aggregates.quarterly_rollup(fx.incidence(spark, d), STRATUM)
+    rolled = aggregates.quarterly_rollup(fx.incidence(spark, d, persons=False), STRATUM)
     return aggregates.series_status(rolled, STRATUM, pattern="URGENT")
 
 
@@ -319,7 +320,7 @@ RATE_COLUMNS = ["incidence", "incidence_95CI_lower", "incidence_95CI_upper"]
     FROM {TIDY_SQL}) WHERE incidence IS NOT NULL""",
 )
 def rolling_mean_5(spark, d):
-    df = tidy_rates(spark, d).select(*STRATUM, "incidence_start_date", *RATE_COLUMNS)
+    df = tidy_rates(spark, d, persons=False).select(*STRATUM, "incidence_start_date", *RATE_COLUMNS)
     out = windows.rolling_mean_5(df, STRATUM, "incidence_start_date", RATE_COLUMNS)
     return out.withColumns({c: F.round(c, 6) for c in RATE_COLUMNS})
 
@@ -331,7 +332,7 @@ def rolling_mean_5(spark, d):
       FROM fx_quarterly) WHERE incidence_start_date >= a AND person_years_sum IS NOT NULL""",
 )
 def trim_and_fill(spark, d):
-    rolled = aggregates.quarterly_rollup(fx.incidence(spark, d), STRATUM)
+    rolled = aggregates.quarterly_rollup(fx.incidence(spark, d, persons=False), STRATUM)
     out = windows.trim_and_fill(rolled, STRATUM)
     return out.withColumn("person_years_sum", F.round("person_years_sum", 5))
 
@@ -600,7 +601,7 @@ def plot_series(spark, d):
 )
 def index_overlay(spark, d):
     out = covariates.index_overlay(
-        tidy_rates(spark, d), fx.index(spark, d), country_dim(spark), smooth=True
+        tidy_rates(spark, d, persons=False), fx.index(spark, d), country_dim(spark), smooth=True
     )
     return out.select(
         *STRATUM,

@@ -153,7 +153,7 @@ def relocate_columns(spark, d):
     strftime(incidence_start_date, '%Y-%m') AS year_month FROM fx_incidence""",
 )
 def calendar_parts(spark, d):
-    df = fx.incidence(spark, d).drop("analysis_interval", "n_persons", "n_events", "person_years")
+    df = fx.incidence(spark, d, persons=False).drop("analysis_interval", "n_events", "person_years")
     return projections.calendar_parts(df, "incidence_start_date")
 
 
@@ -453,8 +453,10 @@ def number_format(spark, d):
     FROM fx_incidence""",
 )
 def rate_per_100k(spark, d):
-    df = projections.rate_per_100k(fx.incidence(spark, d), "n_events", "person_years", "rate", 3)
-    return df.drop("analysis_interval", "n_persons", "n_events", "person_years")
+    df = projections.rate_per_100k(
+        fx.incidence(spark, d, persons=False), "n_events", "person_years", "rate", 3
+    )
+    return df.drop("analysis_interval", "n_events", "person_years")
 
 
 @query(
@@ -462,24 +464,24 @@ def rate_per_100k(spark, d):
     """SELECT *, round(CASE WHEN y > mu THEN 1.0 WHEN y < mu THEN -1.0 ELSE 0.0 END
     * sqrt(greatest(2 * (y * ln(y / mu) - (y - mu)), 0)), 6) + 0.0 AS residual
     FROM (SELECT database_name, outcome_cohort_name, denominator_age_group, denominator_sex, timepoint, time,
-      n_events_sum AS y, round(person_years_sum * SUM(n_events_sum) OVER w / SUM(person_years_sum) OVER w, 6) AS mu
+      n_events_sum AS y, round(person_years_sum * (SUM(n_events_sum) OVER w / SUM(person_years_sum) OVER w), 6) AS mu
       FROM fx_sr_quarterly
       WINDOW w AS (PARTITION BY database_name, outcome_cohort_name, denominator_age_group, denominator_sex, timepoint))""",
 )
 def deviance_residuals(spark, d):
     # Expected counts under a constant rate: the intercept-only fit has this closed form.
-    from ..operators.joins import with_group_stats
+    from pyspark.sql import Window as W
+
     from ..plans.series import SERIES, sr_series_quarterly
 
-    series = sr_series_quarterly(fx.incidence(spark, d), timepoints=fx.TIMEPOINTS)
-    totals = with_group_stats(
-        series, SERIES, {"ys": F.sum("n_events_sum"), "pts": F.sum("person_years_sum")}
-    )
-    expected = totals.select(
+    series = sr_series_quarterly(fx.incidence(spark, d, persons=False), timepoints=fx.TIMEPOINTS)
+    whole = W.partitionBy(*SERIES)
+    share = F.sum("n_events_sum").over(whole) / F.sum("person_years_sum").over(whole)
+    expected = series.select(
         *SERIES,
         "time",
         F.col("n_events_sum").alias("y"),
-        F.round(F.col("person_years_sum") * F.col("ys") / F.col("pts"), 6).alias("mu"),
+        F.round(F.col("person_years_sum") * share, 6).alias("mu"),
     )
     out = projections.deviance_residuals(expected, "y", "mu")
     return out.withColumn("residual", F.round("residual", 6) + F.lit(0.0))

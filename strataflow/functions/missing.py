@@ -47,6 +47,18 @@ def in_set(c: Column | str, values: Iterable) -> Column:
     return hit
 
 
+def one_of(c: Column | str, values: Iterable) -> Column:
+    """Membership as a filter condition.
+
+    NULL on no match with NULL, which a filter drops like FALSE; left bare so that it can be pushed
+    into the scan and prune partitions, which the total form of :func:`in_set` cannot.
+    """
+    values = list(values)
+    present = [v for v in values if v is not None]
+    hit = as_col(c).isin(present) if present else F.lit(False)
+    return hit | as_col(c).isNull() if len(present) < len(values) else hit
+
+
 def text_or_na(c: Column | str) -> Column:
     """Text of a value, with NULL shown as ``NA``."""
     return F.coalesce(as_col(c).cast("string"), F.lit("NA"))

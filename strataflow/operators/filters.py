@@ -8,7 +8,7 @@ from typing import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.missing import as_col, in_set, matches
+from ..functions.missing import as_col, one_of, matches
 
 
 def _as_date(value: date | str) -> date:
@@ -25,7 +25,7 @@ def multi_filter(
     for col, values in selection.items():
         if col in date_cols:
             values = [None if v is None else _as_date(v) for v in values]
-        df = df.filter(in_set(col, values))
+        df = df.filter(one_of(col, values))
     return df
 
 
@@ -48,11 +48,11 @@ def equality_filter(df: DataFrame, col: str, value) -> DataFrame:
 
 
 def estimate_whitelist(df: DataFrame, types: Iterable[str], names: Iterable[str]) -> DataFrame:
-    return df.filter(in_set("estimate_type", types) & in_set("estimate_name", names))
+    return df.filter(one_of("estimate_type", types) & one_of("estimate_name", names))
 
 
 def country_whitelist(df: DataFrame, col: str, countries: Iterable[str]) -> DataFrame:
-    return df.filter(in_set(col, countries))
+    return df.filter(one_of(col, countries))
 
 
 def quality_cutoff(

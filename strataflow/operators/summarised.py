@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.missing import as_col, in_set
+from ..functions.missing import as_col, one_of
 from .joins import left_join_on, null_safe_anti_join
 from .projections import require_columns
 from .sets import bag_union, template_position
@@ -58,7 +58,7 @@ def format_estimates(
     usable: list[tuple[int, str, str, list[str]]] = []
     all_keys = sorted({k for _, t in named for k in text.template_key_list(t)})
     if known_names is None:
-        seen = df.filter(in_set("estimate_name", all_keys)).select("estimate_name").distinct()
+        seen = df.filter(one_of("estimate_name", all_keys)).select("estimate_name").distinct()
         known_names = [r[0] for r in seen.collect()]
     for position, (name, template) in enumerate(named, start=1):
         keys = text.template_key_list(template)
@@ -85,7 +85,7 @@ def format_estimates(
         grouped = df
         if order is None:
             # The smallest id of a group spans all its rows; without ids other rows are not needed.
-            grouped = df.filter(in_set("estimate_name", used))
+            grouped = df.filter(one_of("estimate_name", used))
         grouped = grouped.groupBy(*[as_col(c) for c in ids]).agg(*aggs)
 
         # applies[i]: template i finds each key once, not counting keys taken by earlier ones.

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.missing import as_col, in_set
+from ..functions.missing import as_col, one_of
 from .filters import _bound
 from .joins import left_join_on, with_group_stats
 
@@ -31,7 +31,7 @@ def complete_groups(
     df: DataFrame, cols: Sequence[str], names: Sequence[str], name_col: str = "estimate_name"
 ) -> DataFrame:
     """Rows of the named estimates, in groups that hold each of them exactly once."""
-    named = df.filter(in_set(name_col, names))
+    named = df.filter(one_of(name_col, names))
     counted = with_group_stats(
         named,
         cols,

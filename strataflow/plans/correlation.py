@@ -5,11 +5,9 @@ from __future__ import annotations
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.missing import as_col
-from ..operators.joins import with_group_stats
 
 
 def default_max_lag(n: Column) -> Column:
@@ -22,42 +20,55 @@ def acf(
 ) -> DataFrame:
     """Autocorrelation of each series at lags 0, 1, ..., the last one set by its length.
 
-    ``t`` numbers the points of a series 1, 2, 3, ... Every point is sent to its own place and to
-    the places up to the last lag after it, where the products are formed: groups are single
-    (series, t) places, so one long series spreads over all tasks.
+    ``df`` has one row per series and calendar period, which bounds a series; it is gathered into
+    one row in the order of ``t`` and correlated by array functions inside the plan. Where ``df`` is
+    already partitioned by the series keys, as the output of the series windows is, nothing moves.
     """
-    keys = list(keys)
-    points = df.select(*keys_of(keys), as_col(t).alias("__t"), as_col(x).alias("__x"))
-    centred = with_group_stats(
-        points, keys, {"__n": F.count(as_col("__x")), "__mean": F.avg(as_col("__x"))}
-    )
-    if max_lag is None:
-        last = default_max_lag(as_col("__n"))
-    else:
-        last = F.least(F.lit(max_lag), as_col("__n") - 1).cast("int")
-    here = F.struct(F.lit(-1).alias("lag"), as_col("__t").alias("at"))
-    ahead = F.transform(
-        F.sequence(F.lit(0), last), lambda k: F.struct(k.alias("lag"), (as_col("__t") + k).alias("at"))
-    )
-    sent = centred.select(
-        *keys_of(keys),
-        (as_col("__x") - as_col("__mean")).alias("__d"),
-        F.inline(F.concat(F.array(here), ahead)),
-    )
-    # At most one entry per lag meets at a place, so the list is short.
-    arrived = F.when(as_col("lag") >= 0, F.struct(as_col("lag"), as_col("__d").alias("earlier")))
-    met = sent.groupBy(*keys_of(keys), as_col("at")).agg(
-        F.max(F.when(as_col("lag") < 0, as_col("__d"))).alias("__d"),
-        F.collect_list(arrived).alias("__arrived"),
-    )
-    sums = (
-        met.select(*keys_of(keys), as_col("__d"), F.inline("__arrived"))
-        .groupBy(*keys_of(keys), as_col("lag"))
-        .agg(F.coalesce(F.sum(as_col("earlier") * as_col("__d")), F.lit(0.0)).alias("__s"))
+    point = F.struct(as_col(t), as_col(x).cast("double").alias("__v"))
+    packed = df.groupBy(*keys_of(keys)).agg(F.sort_array(F.collect_list(point)).alias("__points"))
+    values = F.transform(as_col("__points"), lambda p: p["__v"])
+    return acf_of_arrays(packed.select(*keys_of(keys), values.alias("__x")), keys, "__x", max_lag)
+
+
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times: a transform over a one-element array.
+
+    Neighbouring projections are merged by the optimizer, so an array kept in a column of its own
+    would be computed again at each use inside a lambda.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _total(array: Column) -> Column:
+    return F.aggregate(array, F.lit(0.0), lambda s, v: s + v)
+
+
+def acf_of_arrays(
+    df: DataFrame, keys: Sequence[str], values: str, max_lag: int | None = None
+) -> DataFrame:
+    """Autocorrelation of series that are arrays in time order."""
+
+    def centred(x: Column) -> Column:
+        return _let(_total(x) / F.size(x), lambda mean: F.transform(x, lambda v: v - mean))
+
+    def products(d: Column) -> Column:
+        n = F.size(d)
+        last = default_max_lag(n) if max_lag is None else F.least(F.lit(max_lag), n - 1)
+        return F.transform(
+            F.sequence(F.lit(0), last),
+            lambda k: _total(
+                F.zip_with(F.slice(d, F.lit(1), n - k), F.slice(d, k + 1, n - k), lambda a, b: a * b)
+            ),
+        )
+
+    def ratios(s: Column) -> Column:
+        # try_divide: a constant series has no correlation.
+        return F.transform(s, lambda v: F.try_divide(v, F.element_at(s, 1)))
+
+    correlation = _let(_let(_let(as_col(values), centred), products), ratios)
+    return df.filter(F.size(as_col(values)) > 0).select(
+        *keys_of(keys), F.posexplode(correlation).alias("lag", "acf")
     )
-    at_zero = F.max(F.when(as_col("lag") == 0, as_col("__s"))).over(W.partitionBy(*keys_of(keys)))
-    # try_divide: a constant series has no correlation.
-    return sums.withColumn("acf", F.try_divide(as_col("__s"), at_zero)).drop("__s")
 
 
 def keys_of(keys: Sequence[str]) -> list[Column]:
@@ -70,21 +81,15 @@ def pacf(acf_df: DataFrame, keys: Sequence[str]) -> DataFrame:
     A series' correlations are gathered in one row: lags grow with the logarithm of its length, so
     that row is short. The recursion is an array fold inside the plan; no Python runs.
     """
-    ordered = F.sort_array(F.collect_list(F.struct(as_col("lag"), as_col("acf"))))
-    one_row = acf_df.filter(as_col("lag") > 0).groupBy(*keys_of(keys)).agg(ordered.alias("__p"))
-    r = F.transform(as_col("__p"), lambda p: p["acf"])
 
     def dot(a: Column, b: Column) -> Column:
-        return F.aggregate(
-            F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v
-        )
+        return _total(F.zip_with(a, b, lambda u, v: u * v))
 
-    def step(state: Column, k: Column) -> Column:
+    def step(r: Column, state: Column, k: Column) -> Column:
         phi = state["phi"]
-        earlier = F.slice(as_col("__r"), F.lit(1), k - 1)
+        earlier = F.slice(r, F.lit(1), k - 1)
         gain = F.try_divide(
-            F.element_at(as_col("__r"), k) - dot(phi, F.reverse(earlier)),
-            F.lit(1.0) - dot(phi, earlier),
+            F.element_at(r, k) - dot(phi, F.reverse(earlier)), F.lit(1.0) - dot(phi, earlier)
         )
 
         def extended(g: Column) -> Column:
@@ -94,18 +99,21 @@ def pacf(acf_df: DataFrame, keys: Sequence[str]) -> DataFrame:
                 F.concat(state["out"], F.array(g)).alias("out"),
             )
 
-        # Going through a one-element array evaluates the gain once, not once per coefficient.
-        return F.element_at(F.transform(F.array(gain), extended), 1)
+        return _let(gain, extended)
 
     empty = F.array().cast("array<double>")
-    folded = F.aggregate(
-        F.sequence(F.lit(1), F.size(as_col("__r"))),
-        F.struct(empty.alias("phi"), empty.alias("out")),
-        step,
-        lambda state: state["out"],
-    )
-    return (
-        one_row.select(*keys_of(keys), r.alias("__r"))
-        .select(*keys_of(keys), F.posexplode(folded).alias("__i", "pacf"))
-        .select(*keys_of(keys), (as_col("__i") + 1).alias("lag"), as_col("pacf"))
+
+    def folded(r: Column) -> Column:
+        return F.aggregate(
+            F.sequence(F.lit(1), F.size(r)),
+            F.struct(empty.alias("phi"), empty.alias("out")),
+            lambda state, k: step(r, state, k),
+            lambda state: state["out"],
+        )
+
+    ordered = F.sort_array(F.collect_list(F.struct(as_col("lag"), as_col("acf"))))
+    one_row = acf_df.filter(as_col("lag") > 0).groupBy(*keys_of(keys)).agg(ordered.alias("__p"))
+    r = F.transform(as_col("__p"), lambda p: p["acf"])
+    return one_row.select(*keys_of(keys), F.posexplode(_let(r, folded)).alias("__i", "pacf")).select(
+        *keys_of(keys), (as_col("__i") + 1).alias("lag"), as_col("pacf")
     )

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import numbers, quasipoisson, student_t
-from ..functions.missing import as_col, in_set
+from ..functions.missing import as_col, one_of
 from ..functions.quasipoisson import NOT_CONVERGED, OK, SATURATED, STATUS_NAMES, fit_block
 from ..functions.student_t import two_sided_p
 from ..operators.filters import POST_EVENT_PATTERN, outcome_gate
@@ -27,7 +27,7 @@ from ..operators.projections import deviance_residuals
 from ..operators.sets import bag_union
 from ..operators.windows import drop_last_dates, lagged_count
 from ..sources.dims import literal_table
-from .correlation import acf, pacf
+from .correlation import acf_of_arrays, pacf
 from .series import FORECAST_NAMES, SERIES, forecast_columns
 
 # The fitting code travels with the plan, so executors need numpy and pyarrow but not this package.
@@ -425,7 +425,7 @@ def coefficient_diagnostics(
 ) -> DataFrame:
     """Coefficient table of the two seasonal models, rounded for display."""
     shown = coefficients(
-        fits.filter(in_set("model", [WITH_INTERVENTION, REMOVE_INTERVENTION])), keys
+        fits.filter(one_of("model", [WITH_INTERVENTION, REMOVE_INTERVENTION])), keys
     )
     label = F.create_map(*[F.lit(x) for pair in MODEL_LABELS.items() for x in pair])
     names = {
@@ -444,15 +444,25 @@ def coefficient_diagnostics(
 
 
 def residual_series(fits: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
-    """Deviance residuals of the with-intervention model, in time order by ``t``."""
-    rows = predict_band(fits.filter(as_col("model") == WITH_INTERVENTION), keys)
+    """Deviance residuals of the with-intervention model, in time order by ``t``.
+
+    A saturated fit reproduces its input; what is left is rounding noise, so it has no residuals.
+    """
+    fitted = fits.filter((as_col("model") == WITH_INTERVENTION) & (as_col("status") == "ok"))
+    rows = predict_band(fitted, keys)
     kept = rows.filter(as_col("used") & as_col("mu").isNotNull())
     return deviance_residuals(kept, "y", "mu").withColumnRenamed("time", "t")
 
 
 def residual_acf(fits: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
-    """Autocorrelation of the residuals. Reads ``fits`` twice: give it a written table."""
-    return acf(residual_series(fits, keys), keys, "t", "residual")
+    """Autocorrelation of the residuals, straight from the arrays of the fit: nothing moves."""
+    fitted = fits.filter((as_col("model") == WITH_INTERVENTION) & (as_col("status") == "ok"))
+    kept = F.filter(as_col("fitted"), lambda row: row["used"] & row["mu"].isNotNull())
+    residuals = F.transform(
+        kept, lambda row: numbers.poisson_deviance_residual(row["y"], row["mu"])
+    )
+    rows = fitted.select(*[as_col(k) for k in keys], residuals.alias("__x"))
+    return acf_of_arrays(rows, keys, "__x")
 
 
 def residual_pacf(fits: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:

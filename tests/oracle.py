@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import tempfile
 from collections import Counter
 
 import duckdb
@@ -24,6 +25,7 @@ def session(cores: str = "8") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-", dir="/tmp"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
