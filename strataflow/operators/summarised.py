@@ -178,16 +178,20 @@ def render_template(template: str, cols: Mapping[str, str]) -> Column:
     return text.render_template(template, cols)
 
 
-def _distinct_parts(df: DataFrame, name: str) -> list[str]:
-    """Distinct part names, other than ``overall``: the columns a split will create."""
+def _distinct_parts(df: DataFrame, names: Sequence[str]) -> dict[str, list[str]]:
+    """Distinct part names, other than ``overall``, of several name columns: the columns their
+    splits will create. One pass over the input for all of them."""
+    found = F.inline(
+        F.array(*[F.struct(F.lit(c).alias("c"), as_col(c).alias("n")) for c in names])
+    )
     rows = (
-        df.select(as_col(name).alias("n"))
+        df.select(found)
         .distinct()
-        .select(F.explode(text.split_levels("n")).alias("part"))
+        .select("c", F.explode(text.split_levels("n")).alias("part"))
         .distinct()
         .collect()
     )
-    return sorted(r[0] for r in rows if r[0] != OVERALL)
+    return {c: sorted(r["part"] for r in rows if r["c"] == c and r["part"] != OVERALL) for c in names}
 
 
 def split_name_level(
@@ -205,7 +209,7 @@ def split_name_level(
     distinct job that finds them.
     """
     require_columns(df, [name, level])
-    parts = list(columns) if columns is not None else _distinct_parts(df, name)
+    parts = list(columns) if columns is not None else _distinct_parts(df, [name])[name]
     clash = [c for c in parts if c in df.columns]
     if clash:
         warnings.warn(f"The following columns will be overwritten: {', '.join(clash)}.")
@@ -269,7 +273,11 @@ def split_all(
 
     ``columns`` may list the expected parts under ``group``, ``strata`` and ``additional``.
     """
-    columns = columns or {}
+    columns = dict(columns or {})
+    open_pairs = [p for p in ("group", "strata", "additional") if columns.get(p) is None]
+    if open_pairs:
+        found = _distinct_parts(df, [f"{p}_name" for p in open_pairs])
+        columns |= {p: found[f"{p}_name"] for p in open_pairs}
     df = split_group(df, keep, fill, columns.get("group"))
     df = split_strata(df, keep, fill, columns.get("strata"))
     return split_additional(df, keep, fill, columns.get("additional"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import as_col, one_of
 from .filters import _bound
-from .joins import left_join_on, with_group_stats
+from .joins import with_group_stats
 
 
 def _series(keys: Sequence[str], date_col: str):
@@ -93,33 +93,18 @@ def trim_and_fill(
     )
 
 
-def last_dates_cutoff(
-    df: DataFrame, keys: Sequence[str], date_col: str, k: int = 5, out: str = "cutoff"
-) -> DataFrame:
-    """The k-th last distinct date of each series; NULL when it has fewer.
+def nth_last_date(date_col: str, k: int) -> Column:
+    """Aggregate: the k-th last distinct date of a group; NULL when it has fewer.
 
-    Only distinct dates are gathered per series, and the calendar bounds those.
+    Only distinct dates are gathered, and the calendar bounds those.
     """
-    dates_down = F.sort_array(F.collect_set(as_col(date_col)), asc=False)
-    return df.groupBy(*[as_col(c) for c in keys]).agg(
-        F.try_element_at(dates_down, F.lit(k)).alias(out)
-    )
+    return F.try_element_at(F.sort_array(F.collect_set(as_col(date_col)), asc=False), F.lit(k))
 
 
-def drop_last_dates(
-    df: DataFrame,
-    keys: Sequence[str],
-    date_col: str,
-    k: int = 5,
-    dates: DataFrame | None = None,
-) -> DataFrame:
-    """Remove the rows of each series' last ``k`` distinct dates.
-
-    ``dates`` may hold the same keys and dates from a cheaper source than ``df`` itself.
-    """
-    cutoff = last_dates_cutoff(df if dates is None else dates, keys, date_col, k, "__cutoff")
+def drop_last_dates(df: DataFrame, keys: Sequence[str], date_col: str, k: int = 5) -> DataFrame:
+    """Remove the rows of each series' last ``k`` distinct dates."""
     return (
-        left_join_on(df, cutoff, keys)
+        with_group_stats(df, keys, {"__cutoff": nth_last_date(date_col, k)})
         .filter(as_col(date_col) < as_col("__cutoff"))
         .drop("__cutoff")
     )

@@ -52,7 +52,9 @@ def load_results(spark: SparkSession, root: str, ragged: bool = True) -> dict[st
     paths = paths_by_class(spark, root)
 
     def read(name: str, schema, path_col: str | None = None) -> DataFrame | None:
-        return read_results(spark, paths[name], schema, ragged, path_col) if paths[name] else None
+        if not paths[name]:
+            return None
+        return read_results(spark, paths[name], schema, ragged, path_col, extras=ragged)
 
     tables: dict[str, DataFrame | None] = {"snapshot": read("snapshot", schemas.SNAPSHOT)}
     estimates = read("incidence_estimates", schemas.INCIDENCE_ESTIMATES, "path")

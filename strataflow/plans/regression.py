@@ -23,9 +23,10 @@ from ..functions.missing import as_col, one_of
 from ..functions.quasipoisson import NOT_CONVERGED, OK, SATURATED, STATUS_NAMES, fit_block
 from ..functions.student_t import two_sided_p
 from ..operators.filters import POST_EVENT_PATTERN, outcome_gate
+from ..operators.joins import left_join_on
 from ..operators.projections import deviance_residuals
 from ..operators.sets import bag_union
-from ..operators.windows import drop_last_dates, lagged_count
+from ..operators.windows import lagged_count, nth_last_date
 from ..sources.dims import literal_table
 from .correlation import acf_of_arrays, pacf
 from .series import FORECAST_NAMES, SERIES, forecast_columns
@@ -394,15 +395,22 @@ def forecast_plot_data(
     """
     modelled = _forecast(fit_segmented(series, keys, lagged=False, season=season), keys, None)
     names = list(FORECAST_NAMES.values())
+    raw = raw.select(*modelled.columns)
     points = outcome_gate(series, "outcome_cohort_name").select(
         *[as_col(old).alias(new) for old, new in FORECAST_NAMES.items()],
         as_col("incidence_start_date").alias("Date"),
+        F.lit(True).alias("__modelled"),
     )
-    shown = raw.join(points.select(*names).distinct(), names, "left_semi").select(
-        *modelled.columns
+    dates = bag_union(points, raw.select(*names, "Date", F.lit(False).alias("__modelled")))
+    cutoff = (
+        dates.groupBy(*[as_col(c) for c in names])
+        .agg(nth_last_date("Date", drop_last).alias("__cutoff"), F.bool_or("__modelled").alias("__modelled"))
+        .filter("__modelled")
+        .drop("__modelled")
     )
-    dates = bag_union(points, shown.select(*points.columns))
-    return drop_last_dates(bag_union(modelled, shown), names, "Date", drop_last, dates)
+    # No cutoff, no match: observed rates of series that were not modelled fall out here.
+    both = left_join_on(bag_union(modelled, raw), cutoff, names)
+    return both.filter(as_col("Date") < as_col("__cutoff")).drop("__cutoff")
 
 
 def coefficients(fits: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,12 +51,17 @@ def classify_files(spark: SparkSession, root: str, rules=FILE_CLASSES) -> DataFr
     return classify_paths(listed, "path", rules)
 
 
-def _csv_reader(spark: SparkSession, schema: T.StructType):
+# A quote inside quoted text is doubled, as spreadsheet and statistics programs write it.
+_CSV_FORMAT = {"header": True, "nullValue": "NA", "escape": '"'}
+
+
+def _csv_reader(spark: SparkSession, schema: T.StructType, multi_line: bool = False):
+    """Typed reader that fails on a value or header that does not fit, instead of losing it."""
     return (
         spark.read.schema(schema)
-        .option("header", True)
-        .option("nullValue", "NA")
+        .options(**_CSV_FORMAT, multiLine=multi_line)
         .option("enforceSchema", False)
+        .option("mode", "FAILFAST")
     )
 
 
@@ -65,63 +71,72 @@ def _blank_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.nullif(as_col(c), F.lit("")) for c in texts}) if texts else df
 
 
-def header_signatures(spark: SparkSession, paths: Sequence[str], schema: T.StructType) -> dict[str, list[str]]:
+def header_signatures(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
     """Files grouped by header line.
 
-    A header is a line made of declared column names only, which no data line is. One distributed
-    pass over the text; what reaches the driver is one short line per file.
+    The part of a file that starts at byte 0 is read in order by one task, so its row of smallest
+    id is the header. One distributed pass; what reaches the driver is one short line per file.
     """
-    known = [*schema.fieldNames(), *INDEX_COLUMNS]
-    fields = F.transform(F.split(as_col("value"), ","), lambda x: F.trim(F.replace(x, F.lit('"'), F.lit(""))))
     lines = (
         spark.read.text(list(paths))
-        .select(F.col("_metadata.file_path").alias("path"), "value", fields.alias("fields"))
-        .filter(
-            (F.size("fields") > F.lit(1))
-            & F.forall(as_col("fields"), lambda x: x.isin(known))
-            & F.exists(as_col("fields"), lambda x: x.isin(schema.fieldNames()))
+        .select(
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_block_start").alias("start"),
+            F.monotonically_increasing_id().alias("id"),
+            "value",
         )
-        .select("path", F.array_join("fields", ",").alias("header"))
-        .distinct()
+        .filter(as_col("start") == 0)
+        .groupBy("path")
+        .agg(F.min_by("value", "id").alias("header"))
     )
     groups: dict[str, list[str]] = {}
     for row in lines.collect():
-        groups.setdefault(row["header"], []).append(row["path"])
+        groups.setdefault(row["header"].removeprefix("\ufeff"), []).append(row["path"])
     return groups
 
 
+def _header_names(header: str) -> list[str]:
+    """Column names of a header line; an unnamed column gets the name Spark gives it."""
+    return [h if h else f"_c{i}" for i, h in enumerate(next(csv.reader([header])))]
+
+
 def read_results(
     spark: SparkSession,
     paths: Sequence[str],
     schema: T.StructType,
     ragged: bool = True,
     path_col: str | None = None,
+    extras: bool = False,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Union of headered CSV files by column name, with the declared types.
 
     Spark matches CSV columns by position, so files are read once per distinct header and united by
-    name; a column a file lacks is NULL and an unnamed index column is dropped. ``ragged=False``
-    skips the header pass for files known to share the declared header, and fails if one does not.
+    name; a column a file lacks is NULL and an unnamed index column is dropped. Undeclared columns
+    are dropped too, or with ``extras`` passed through as text. ``ragged=False`` skips the header
+    pass for files known to share the declared header, and fails if one does not.
     """
+
     def finish(df: DataFrame) -> DataFrame:
         df = df.withColumn(path_col, F.col("_metadata.file_path")) if path_col else df
         return _blank_to_null(df.drop(*INDEX_COLUMNS))
 
     if not ragged:
-        return finish(_csv_reader(spark, schema).csv(list(paths)))
+        return finish(_csv_reader(spark, schema, multi_line).csv(list(paths)))
     types = {f.name: f.dataType for f in schema.fields}
     parts = []
-    for header, files in sorted(header_signatures(spark, paths, schema).items()):
-        # An unnamed column gets the name Spark expects for it by position.
-        names = [h if h else f"_c{i}" for i, h in enumerate(header.split(","))]
-        declared = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
-        parts.append(finish(_csv_reader(spark, declared).csv(files)))
-    if not parts:
-        raise ValueError("no file has a header made of the declared columns")
-    wanted = [*schema.fieldNames(), *([path_col] if path_col else [])]
+    for header, files in sorted(header_signatures(spark, paths).items()):
+        declared = T.StructType(
+            [T.StructField(n, types.get(n, T.StringType())) for n in _header_names(header)]
+        )
+        parts.append(finish(_csv_reader(spark, declared, multi_line).csv(files)))
     out = ragged_union(parts)
     absent = {n: F.lit(None).cast(types[n]) for n in schema.fieldNames() if n not in out.columns}
-    return (out.withColumns(absent) if absent else out).select(*[as_col(c) for c in wanted])
+    out = out.withColumns(absent) if absent else out
+    wanted = [*schema.fieldNames(), *([path_col] if path_col else [])]
+    if extras:
+        wanted += [c for c in out.columns if c not in wanted]
+    return out.select(*[as_col(c) for c in wanted])
 
 
 def write_export(df: DataFrame, path: str, keys: Sequence[str] = ()) -> None:
@@ -132,7 +147,7 @@ def write_export(df: DataFrame, path: str, keys: Sequence[str] = ()) -> None:
     """
     if keys:
         df = df.hint("rebalance", *[as_col(k) for k in keys])
-    writer = df.write.option("header", True).option("nullValue", "NA")
+    writer = df.write.options(**_CSV_FORMAT)
     if keys:
         writer = writer.partitionBy(*keys)
     writer.csv(path)
@@ -140,7 +155,7 @@ def write_export(df: DataFrame, path: str, keys: Sequence[str] = ()) -> None:
 
 def read_export(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Read back an export, key folders included."""
-    df = _csv_reader(spark, schema).option("enforceSchema", True).csv(path)
+    df = _csv_reader(spark, schema).csv(path)
     return _blank_to_null(df).select(*[as_col(c) for c in schema.fieldNames()])
 
 
@@ -161,7 +176,7 @@ def covariate_series(
     Headers may be given as they stand in the file or normalised. ``date_col`` and ``number_cols``
     are new names; the other columns stay text.
     """
-    raw = spark.read.option("header", True).option("nullValue", "NA").csv(path)
+    raw = spark.read.options(**_CSV_FORMAT).csv(path)
     by_name = {**{normalised_name(c): c for c in raw.columns}, **{c: c for c in raw.columns}}
     absent = [h for h in mapping if h not in by_name]
     if absent:

@@ -32,6 +32,29 @@ def test_columns_are_united_by_name_whatever_their_order(spark, tmp_path):
     }
 
 
+def test_quotes_and_line_breaks_survive(spark, tmp_path):
+    df = spark.createDataFrame([('say "hi", then\nleave', 1, 2.0), ("a\\b", 2, 3.0)], SCHEMA)
+    files.write_export(df, str(tmp_path / "q"))
+    paths = [str(p) for p in (tmp_path / "q").glob("*.csv")]
+    back = files.read_results(spark, paths, SCHEMA, multi_line=True)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_a_value_of_the_wrong_type_fails_instead_of_vanishing(spark, tmp_path):
+    a = _write(tmp_path / "a.csv", "name,n,v\nx,one,1.5\n")
+    with pytest.raises(Exception, match="one"):
+        files.read_results(spark, [a], SCHEMA).collect()
+
+
+def test_undeclared_columns_pass_through_on_request(spark, tmp_path):
+    a = _write(tmp_path / "a.csv", 'name,"odd, one",n\nx,o,1\n')
+    b = _write(tmp_path / "b.csv", "\ufeffname,n\ny,2\n")
+    assert files.read_results(spark, [a, b], SCHEMA).columns == ["name", "n", "v"]
+    out = files.read_results(spark, [a, b], SCHEMA, extras=True)
+    assert out.columns == ["name", "n", "v", "odd, one"]
+    assert sorted(map(tuple, out.collect())) == [("x", 1, None, "o"), ("y", 2, None, None)]
+
+
 def test_uniform_mode_fails_on_another_header(spark, tmp_path):
     a = _write(tmp_path / "a.csv", "name,n,v\nx,1,1.5\n")
     b = _write(tmp_path / "b.csv", "v,n,name\n2.5,2,y\n")
@@ -104,9 +127,11 @@ def test_a_result_folder_becomes_tidy_tables(spark, tmp_path):
     ]
     root = tmp_path / "data"
     _write(root / "x/Incidence_tar365.csv", "\n".join([INCIDENCE_HEADER, *lines]) + "\n")
-    _write(root / "x/snapshot.csv", ",cdm_name,cdm_version,cdm_source_name,cdm_description\n1,THINES,5.3,s,d\n")
+    _write(root / "x/snapshot.csv", ",cdm_name,cdm_version,cdm_source_name,cdm_description,person_cnt\n1,THINES,5.3,s,d,12\n")
     out = load_results(spark, str(root))
     assert set(out) == {"snapshot", "incidence_estimates", "denominator_cohorts"}
+    snapshot = out["snapshot"].collect()[0]
+    assert (snapshot.cdm_version, snapshot.person_cnt) == ("5.3", "12")
     rows = {r.outcome_cohort_name: r for r in out["incidence_estimates"].collect()}
     # The poor-quality row is gone from the estimates, not from the cohort attributes.
     assert set(rows) == {"Iflammatory bowel disease", "Asthma"}
