@@ -180,7 +180,7 @@ def forecast_plot_data(spark, d):
 @query(
     "coefficient_diagnostics",
     f"""SELECT {SERIES_SQL}, {LABEL_SQL} AS "Model", parameter AS "Parameter", round_even(estimate, 2) AS "Estimate",
-    round_even(std_error, 2) AS "Std.Error", round_even(t_value, 2) AS "Statistics", round_even(p_value, 2) AS "P.value",
+    round_even(std_error, 2) AS "Std_Error", round_even(t_value, 2) AS "Statistics", round_even(p_value, 2) AS "P_value",
     round_even(deviance, 2) AS deviance FROM fx_coefficients WHERE model <> 'step_slope'""",
 )
 def coefficient_diagnostics(spark, d):

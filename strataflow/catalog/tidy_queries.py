@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import filters, projections, sets
-from ..sources import dims, files
+from ..plans import lake
+from ..sources import dims, files, schemas
 from ..sources.scratch import shared_folder
 from . import fixtures as fx
 from .registry import query
@@ -52,6 +53,30 @@ def csv_roundtrip(spark, d):
     return files.read_export(spark, path, df.schema)
 
 
+@query(
+    "load_results",
+    f"""SELECT {STRATUM_SQL}, analysis_interval, CASE WHEN database_name IN ('ASIA', 'AFRICA') THEN 1 END AS analysis_id,
+    incidence_start_date, incidence_end_date, CAST(n_persons AS DOUBLE) AS n_persons, n_events, person_years,
+    incidence_100000_pys AS incidence, incidence_100000_pys_95CI_lower AS incidence_95CI_lower,
+    incidence_100000_pys_95CI_upper AS incidence_95CI_upper, denominator_cohort_name,
+    coalesce(denominator_target_cohort_name, 'all_population') AS denominator_target_cohort_name,
+    CASE WHEN database_name IN ('ASIA', 'AFRICA') THEN '30' ELSE '365' END AS time_at_risk,
+    CAST(year(incidence_start_date) AS INTEGER) AS year_index, CAST(month(incidence_start_date) AS INTEGER) AS month_index,
+    strftime(incidence_start_date, '%Y-%m') AS year_month FROM fx_rates""",
+)
+def load_results(spark, d):
+    """Result files of two layouts, written out and loaded back through the whole ETL."""
+    root = shared_folder(spark, "results")
+    df = fx.rates(spark, d).withColumnRenamed("database_name", "cdm_name")
+    first = F.col("cdm_name").isin("ASIA", "AFRICA")
+    one = df.filter(first).withColumn("analysis_id", F.lit(1))
+    files.write_export(one, f"{root}/a/Incidence_tar30.csv")
+    files.write_export(df.filter(~first).select(*reversed(df.columns)), f"{root}/b/Incidence_tar365.csv")
+    loaded = lake.load_results(spark, root)["incidence_estimates"]
+    absent = set(schemas.INCIDENCE_ESTIMATES.fieldNames()) - set(one.columns)
+    return loaded.drop(*absent)
+
+
 @query("covariate_series", "SELECT country, date, si FROM fx_index")
 def covariate_series(spark, d):
     path = shared_folder(spark, "index")

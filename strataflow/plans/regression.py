@@ -438,9 +438,9 @@ def coefficient_diagnostics(
     label = F.create_map(*[F.lit(x) for pair in MODEL_LABELS.items() for x in pair])
     names = {
         "estimate": "Estimate",
-        "std_error": "Std.Error",
+        "std_error": "Std_Error",
         "t_value": "Statistics",
-        "p_value": "P.value",
+        "p_value": "P_value",
         "deviance": "deviance",
     }
     return shown.select(

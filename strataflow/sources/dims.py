@@ -83,7 +83,7 @@ def literal_table(spark: SparkSession, rows: Sequence[tuple], columns: Sequence[
     structs = [
         F.struct(*[F.lit(v).alias(c) for v, c in zip(row, columns, strict=True)]) for row in rows
     ]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
 
 
 def mapping_table(
