@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
-from ..functions.missing import as_col, text_or_na
+from ..functions.missing import as_col
 from ..operators.aggregates import pivot_attrition
 from ..operators.filters import attrition_filter, multi_filter
 from ..operators.projections import (
@@ -137,9 +137,7 @@ def estimates_display(
     for c in ("n_persons", "n_events", "person_years"):
         columns[c] = numbers.grouped_number(c, 0, na_text="NA")
     shown = drop_constant_settings(shown.withColumns(columns), hidden)
-    shown = relocate_columns(shown, ["incidence_start_date"], before=shown.columns[0]) if (
-        shown.columns[0] != "incidence_start_date"
-    ) else shown
+    shown = relocate_columns(shown, ["incidence_start_date"])
     shown = relocate_columns(shown, ["incidence_end_date"], after="incidence_start_date")
     shown = relocate_columns(shown, ["person_years"], after="n_persons")
     return rename_display(shown, ESTIMATE_NAMES)

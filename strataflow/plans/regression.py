@@ -115,8 +115,9 @@ _RESULT = [
     T.StructField("fitted", T.ArrayType(_FITTED)),
 ]
 
-# Padded cells (series x rows x terms) worked on at a time inside a task.
+# Padded cells (series x rows x terms) worked on at a time inside a task, and rows per output batch.
 _BLOCK_CELLS = 2_000_000
+_PORTION_ROWS = 250_000
 
 
 def _spec_terms(model: str, lagged: bool, season: str | None, block: dict[str, np.ndarray]):
@@ -157,6 +158,17 @@ def _blocks(lengths: np.ndarray, width: int) -> Iterator[np.ndarray]:
         start = stop
 
 
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Cut a batch of packed series so that memory depends on rows, not on the number of series."""
+    ends = np.cumsum(batch.column("time").value_lengths().to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + _PORTION_ROWS, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def _nullable(values: np.ndarray) -> pa.Array:
     values = np.asarray(values, dtype=float)
     return pa.array(values, mask=~np.isfinite(values))
@@ -314,8 +326,8 @@ def fit_segmented(
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield from _fit_batch(batch, *settings)
+            for portion in _portions(batch):
+                yield from _fit_batch(portion, *settings)
 
     schema = T.StructType([packed.schema[k] for k in keys] + _RESULT)
     return packed.mapInArrow(fit, schema)

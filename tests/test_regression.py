@@ -4,6 +4,7 @@ import datetime as dt
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
@@ -141,3 +142,33 @@ def test_blocks_cover_every_series_once():
     lengths = np.array([5, 1, 300, 0, 7, 7, 120000, 3])
     seen = [i for members in rg._blocks(lengths, 8) for i in members]
     assert sorted(seen) == list(range(len(lengths)))
+
+
+def test_portions_of_a_batch_give_the_same_fits(monkeypatch):
+    lengths = [9, 14, 30, 7, 22]
+    offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+    columns = {c: [] for c in ("time", "date", "quarter", "intrv", "before", "y", "pt")}
+    for i, n in enumerate(lengths):
+        for r in _rows(n, n // 2, seed=i):
+            values = (r[10], r[5], r[6], r[9], int(r[5] <= r[4]), r[7], r[8])
+            for c, v in zip(columns, values):
+                columns[c].append(v)
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in columns.values()]
+    batch = pa.RecordBatch.from_arrays([pa.array(list("abcde")), *lists], names=["k", *columns])
+
+    def run():
+        parts = list(rg._portions(batch))
+        out = [o for p in parts for o in rg._fit_batch(p, ["k"], rg.MODELS, True, "wrap", 1e-12, 25)]
+        rows = [r for o in out for r in o.to_pylist()]
+        return len(parts), sorted(rows, key=lambda r: (r["k"], r["model"]))
+
+    whole = run()
+    monkeypatch.setattr(rg, "_PORTION_ROWS", 25)
+    cut = run()
+    assert whole[0] == 1 and cut[0] == 4
+    for a, b in zip(whole[1], cut[1]):
+        assert (a["k"], a["model"], a["status"], a["rank"]) == (b["k"], b["model"], b["status"], b["rank"])
+        assert np.allclose(a["deviance"], b["deviance"], rtol=1e-8, atol=1e-9)
+        assert [r["date"] for r in a["fitted"]] == [r["date"] for r in b["fitted"]]
+        mu_a, mu_b = (np.array([r["mu"] for r in x["fitted"]], dtype=float) for x in (a, b))
+        assert np.allclose(mu_a, mu_b, rtol=1e-9, equal_nan=True)
