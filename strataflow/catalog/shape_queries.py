@@ -601,7 +601,7 @@ def plot_series(spark, d):
 )
 def index_overlay(spark, d):
     out = covariates.index_overlay(
-        tidy_rates(spark, d, persons=False), fx.index(spark, d), country_dim(spark), smooth=True
+        tidy_rates(spark, d, persons=False), fx.index(spark, d), country_dim(spark), smooth=True, written=True
     )
     return out.select(
         *STRATUM,

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.missing import as_col, null_safe_match
+from ..sources.scratch import materialise
 
 
 def _join_keeping_left(
@@ -79,23 +80,36 @@ def lookup_country(
     return _join_keeping_left(df, dim, [(database_col, dim_key)], null_safe=False)
 
 
-def with_group_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column]) -> DataFrame:
+def with_group_stats(
+    df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column], written: bool = False
+) -> DataFrame:
     """Attach aggregates of a row's group to every row of it.
 
     Partial aggregation plus a join rather than a window: no group has to fit in one task, so a
     group holding a large share of the rows is still spread out (adaptive skew handling).
+
+    ``written`` suits few groups: their aggregates go to the shared folder first. The size of a
+    written table is known when the join is planned, so a small one is broadcast and the rows of
+    ``df`` are not shuffled; a large one is joined by shuffling as before.
     """
     grouped = df.groupBy(*[as_col(k) for k in keys]).agg(*[c.alias(n) for n, c in stats.items()])
-    return left_join_on(df, grouped, keys)
+    return left_join_on(df, materialise(grouped, "stats") if written else grouped, keys)
 
 
 def scale_to_max(
-    df: DataFrame, index: str, value: str, keys: Sequence[str], out: str | None = None
+    df: DataFrame,
+    index: str,
+    value: str,
+    keys: Sequence[str],
+    out: str | None = None,
+    written: bool = False,
 ) -> DataFrame:
-    """Bring ``index`` onto the scale of ``value``: divide by max(index) / max(value) of the group."""
-    top = with_group_stats(
-        df, keys, {"__index_max": F.max(as_col(index)), "__value_max": F.max(as_col(value))}
-    )
+    """Bring ``index`` onto the scale of ``value``: divide by max(index) / max(value) of the group.
+
+    ``written``: see :func:`with_group_stats`.
+    """
+    maxima = {"__index_max": F.max(as_col(index)), "__value_max": F.max(as_col(value))}
+    top = with_group_stats(df, keys, maxima, written)
     # try_divide: a group whose maximum is zero has no scale and yields NULL.
     factor = F.try_divide(as_col("__index_max"), as_col("__value_max"))
     return top.withColumn(out or index, F.try_divide(as_col(index), factor)).drop(

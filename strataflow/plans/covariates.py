@@ -10,6 +10,7 @@ from ..operators.aggregates import monthly_mean_index
 from ..operators.filters import complete_rows
 from ..operators.joins import join_covariate_month, lookup_country, scale_to_max
 from ..operators.windows import rolling_mean_5
+from ..sources.scratch import materialise
 
 STRATUM = (
     "database_name",
@@ -28,19 +29,27 @@ def index_overlay(
     series_keys: Sequence[str] = STRATUM,
     date_col: str = "incidence_start_date",
     rate: str = "incidence",
+    written: bool = False,
 ) -> DataFrame:
     """Monthly incidence with the index of its country, on the scale of the rates.
 
     ``index`` is (country, date, si) by day, ``dim`` is (database, country). A month without an
     index gets 0. The scale, max(index) / max(rate) over ``scale_keys``, is taken before smoothing.
     ``series_keys`` separate the series that are smoothed, one row per month each.
+
+    ``written`` puts the monthly means and the scales, small tables both, into the shared folder
+    first: with their sizes known they are broadcast, and the rates are shuffled for smoothing only.
     """
     monthly = monthly_mean_index(complete_rows(index, ["country"]), ["country"], "date", "si")
+    if written:
+        monthly = materialise(monthly, "monthly")
     placed = lookup_country(df, dim)
     joined = join_covariate_month(
         placed, monthly, {"country": "country", date_col: "date"}, "si", 0.0
     )
-    scaled = scale_to_max(complete_rows(joined, [rate]), "si", rate, scale_keys)
+    scaled = scale_to_max(
+        complete_rows(joined, [rate]), "si", rate, scale_keys, written=written
+    )
     if not smooth:
         return scaled
     bounds = [f"{rate}_95CI_lower", f"{rate}_95CI_upper"]
