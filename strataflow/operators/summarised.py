@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import warnings
+from dataclasses import dataclass
+from functools import reduce
 from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -21,10 +23,97 @@ ESTIMATE_COLUMNS = ("estimate_name", "estimate_type", "estimate_value")
 OVERALL = "overall"
 
 
-def _named_templates(templates: Mapping[str, str] | Sequence[str]) -> list[tuple[str, str]]:
-    if isinstance(templates, Mapping):
-        return [(name or text.template_name(t), t) for name, t in templates.items()]
-    return [(text.template_name(t), t) for t in templates]
+@dataclass(frozen=True)
+class _Template:
+    position: int
+    name: str
+    text: str
+    keys: tuple[str, ...]
+
+
+def _templates(templates: Mapping[str, str] | Sequence[str]) -> list[_Template]:
+    pairs = templates.items() if isinstance(templates, Mapping) else [("", t) for t in templates]
+    return [
+        _Template(i, name or text.template_name(t), t, tuple(text.template_key_list(t)))
+        for i, (name, t) in enumerate(pairs, start=1)
+    ]
+
+
+def _applicable(
+    df: DataFrame, templates: Sequence[_Template], known_names: Sequence[str] | None
+) -> list[_Template]:
+    """Templates whose keys all occur in the data; the others are named in a warning."""
+    if known_names is None:
+        keys = sorted({k for t in templates for k in t.keys})
+        found = df.filter(one_of("estimate_name", keys)).select("estimate_name").distinct()
+        known_names = [r[0] for r in found.collect()]
+    out = []
+    for t in templates:
+        if not t.keys:
+            warnings.warn(f"{t.text} does not contain an estimate name indicated by <...>")
+        elif not set(t.keys) <= set(known_names):
+            warnings.warn(f"{t.text} has not been formatted.")
+        else:
+            out.append(t)
+    return out
+
+
+def _applies(t: _Template) -> Column:
+    return as_col(f"__applies{t.position}")
+
+
+def _settle(
+    df: DataFrame, ids: Sequence[str], templates: Sequence[_Template], order: str | None
+) -> DataFrame:
+    """One row per group: the value of each key and which templates apply."""
+    aggs: list[Column] = []
+    for k in sorted({k for t in templates for k in t.keys}):
+        here = as_col("estimate_name") == F.lit(k)
+        aggs.append(F.count(F.when(here, F.lit(1))).alias(f"__n_{k}"))
+        aggs.append(F.max(F.when(here, as_col("estimate_value"))).alias(f"__v_{k}"))
+    if order is not None:
+        aggs.append(F.min(as_col(order)).alias("group_id"))
+    else:
+        # Only the smallest id of a group depends on its other rows.
+        df = df.filter(one_of("estimate_name", {k for t in templates for k in t.keys}))
+    grouped = df.groupBy(*[as_col(c) for c in ids]).agg(*aggs)
+    for i, t in enumerate(templates):
+        # Each key is there exactly once, and no earlier template has taken it.
+        applies = F.lit(len(t.keys) == len(set(t.keys)))
+        for k in t.keys:
+            applies = applies & (as_col(f"__n_{k}") == 1)
+        for earlier in templates[:i]:
+            if set(earlier.keys) & set(t.keys):
+                applies = applies & ~_applies(earlier)
+        grouped = grouped.withColumn(f"__applies{t.position}", applies)
+    return grouped
+
+
+def _formatted_rows(settled: DataFrame, templates: Sequence[_Template]) -> DataFrame:
+    """The display rows of every group."""
+    rows = []
+    for i, t in enumerate(templates):
+        shown = _applies(t)
+        for later in templates[i + 1 :]:
+            # A later template that takes a key of the same name removes this row as well.
+            if t.name in later.keys:
+                shown = shown & ~_applies(later)
+        row = F.struct(
+            F.lit(t.name).alias("estimate_name"),
+            F.lit("character").alias("estimate_type"),
+            text.render_template(t.text, {k: f"__v_{k}" for k in t.keys}).alias("estimate_value"),
+            F.lit(t.position).alias("format_id"),
+        )
+        rows.append(F.when(shown, row))
+    return settled.select("*", F.inline(F.array_compact(F.array(*rows)))).withColumn(
+        "name_first_id", F.lit(None).cast("long")
+    )
+
+
+def _taken_names(templates: Sequence[_Template]) -> Column:
+    """Estimate names a group has lost to its templates."""
+    taken = [F.when(_applies(t), F.lit(k)) for t in templates for k in dict.fromkeys(t.keys)]
+    return F.array_compact(F.array(*taken))
 
 
 def format_estimates(
@@ -44,126 +133,39 @@ def format_estimates(
     All templates are settled in one aggregation: it counts each key per group, and "already taken"
     is an expression over those counts. Only ``keep_unformatted`` needs a second look at the input.
 
-    ``order`` names a stable row id; with it the output carries ``group_id`` (smallest id of the
-    group), and with ``template_order`` also ``format_id`` and ``name_first_id``. Sorting by
-    those is left to the sink. ``known_names`` spares the distinct job behind the "has not been
-    formatted" warning.
+    With ``template_order`` the output carries ``format_id``, the position of its template. ``order``
+    names a stable row id; with it come ``group_id`` (smallest id of the group) and
+    ``name_first_id`` too, and sorting by the three, left to the sink, gives the display order.
+    ``known_names`` spares the distinct job behind the "has not been formatted" warning.
     """
     if not templates:
         return df
     require_columns(df, ESTIMATE_COLUMNS)
-    named = _named_templates(templates)
+    listed = _templates(templates)
     ids = [c for c in df.columns if c not in (*ESTIMATE_COLUMNS, order)]
-
-    usable: list[tuple[int, str, str, list[str]]] = []
-    all_keys = sorted({k for _, t in named for k in text.template_key_list(t)})
-    if known_names is None:
-        seen = df.filter(one_of("estimate_name", all_keys)).select("estimate_name").distinct()
-        known_names = [r[0] for r in seen.collect()]
-    for position, (name, template) in enumerate(named, start=1):
-        keys = text.template_key_list(template)
-        if not keys:
-            warnings.warn(f"{template} does not contain an estimate name indicated by <...>")
-        elif not set(keys) <= set(known_names):
-            warnings.warn(f"{template} has not been formatted.")
-        else:
-            usable.append((position, name, template, keys))
-
-    used = sorted({k for *_, keys in usable for k in keys})
-    if not usable:
-        formatted = None
-    else:
-        slot = {k: f"__v{i}" for i, k in enumerate(used)}
-        count = {k: f"__n{i}" for i, k in enumerate(used)}
-        aggs: list[Column] = []
-        for k in used:
-            here = as_col("estimate_name") == F.lit(k)
-            aggs.append(F.count(F.when(here, F.lit(1))).alias(count[k]))
-            aggs.append(F.max(F.when(here, as_col("estimate_value"))).alias(slot[k]))
-        if order is not None:
-            aggs.append(F.min(as_col(order)).alias("group_id"))
-        grouped = df
-        if order is None:
-            # The smallest id of a group spans all its rows; without ids other rows are not needed.
-            grouped = df.filter(one_of("estimate_name", used))
-        grouped = grouped.groupBy(*[as_col(c) for c in ids]).agg(*aggs)
-
-        # applies[i]: template i finds each key once, not counting keys taken by earlier ones.
-        applies: list[Column] = []
-        for i, (_, _, _, keys) in enumerate(usable):
-            ok = F.lit(len(keys) == len(set(keys)))
-            for k in keys:
-                ok = ok & (as_col(count[k]) == 1)
-                for j in range(i):
-                    if k in usable[j][3]:
-                        ok = ok & ~as_col(f"__applies{j}")
-            grouped = grouped.withColumn(f"__applies{i}", ok)
-            applies.append(as_col(f"__applies{i}"))
-
-        rows = []
-        for i, (position, name, template, keys) in enumerate(usable):
-            shown = applies[i]
-            for j in range(i + 1, len(usable)):
-                # A later template that takes a key of the same name removes this row as well.
-                if name in usable[j][3]:
-                    shown = shown & ~applies[j]
-            rows.append(
-                F.when(
-                    shown,
-                    F.struct(
-                        F.lit(name).alias("estimate_name"),
-                        F.lit("character").alias("estimate_type"),
-                        text.render_template(template, {k: slot[k] for k in keys}).alias(
-                            "estimate_value"
-                        ),
-                        F.lit(position).alias("format_id"),
-                    ),
-                )
-            )
-        taken = F.array_compact(
-            F.array(
-                *[
-                    F.when(applies[i], F.lit(k))
-                    for i, (*_, keys) in enumerate(usable)
-                    for k in dict.fromkeys(keys)
-                ]
-            )
-        )
-        formatted = grouped.withColumn("__row", F.explode(F.array_compact(F.array(*rows))))
-
-    carried = [] if order is None else ["group_id"]
-    ranks = ["format_id"] if order is None else ["format_id", "name_first_id"]
-    columns = [c for c in df.columns if c != order]
-
-    out = None
-    if formatted is not None:
-        row = F.col("__row")
-        formatted = formatted.withColumns(
-            {"format_id": row["format_id"], "name_first_id": F.lit(None).cast("long")}
-        )
-        out = formatted.select(
-            *[row[c].alias(c) if c in ESTIMATE_COLUMNS else as_col(c) for c in columns],
-            *carried,
-            *ranks,
-        )
-    if keep_unformatted:
-        left = df
-        if formatted is not None:
-            consumed = grouped.select(
-                *[as_col(c) for c in ids], F.explode(taken).alias("estimate_name")
+    ranks = ["format_id"] if order is None else ["group_id", "format_id", "name_first_id"]
+    columns = [as_col(c) for c in [*[c for c in df.columns if c != order], *ranks]]
+
+    usable = _applicable(df, listed, known_names)
+    parts = []
+    if usable:
+        settled = _settle(df, ids, usable, order)
+        parts.append(_formatted_rows(settled, usable).select(*columns))
+    if keep_unformatted or not usable:
+        left = df if keep_unformatted else df.filter(F.lit(False))
+        if usable:
+            taken = settled.select(
+                *[as_col(c) for c in ids], F.explode(_taken_names(usable)).alias("estimate_name")
             )
-            left = null_safe_anti_join(df, consumed, [*ids, "estimate_name"])
-        names = [name for name, _ in named]
+            left = null_safe_anti_join(left, taken, [*ids, "estimate_name"])
+        names = [t.name for t in listed]
         if order is None:
             left = left.withColumn("format_id", template_position("estimate_name", names))
         else:
             left = template_rank(group_id_of(left, df, ids, order), names, order)
             left = left.withColumn("name_first_id", as_col("name_first_id").cast("long"))
-        left = left.select(*[as_col(c) for c in columns], *carried, *ranks)
-        out = left if out is None else bag_union(left, out)
-    elif out is None:
-        out = df.filter(F.lit(False)).select(*[as_col(c) for c in columns])
-        return out
+        parts.append(left.select(*columns))
+    out = reduce(bag_union, parts)
     return out if template_order else out.drop("format_id", "name_first_id")
 
 
