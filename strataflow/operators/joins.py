@@ -90,7 +90,8 @@ def with_group_stats(
 
     ``written`` suits few groups: their aggregates go to the shared folder first. The size of a
     written table is known when the join is planned, so a small one is broadcast and the rows of
-    ``df`` are not shuffled; a large one is joined by shuffling as before.
+    ``df`` are not shuffled; a large one is joined by shuffling as before. Use it when ``df`` is a
+    stored table: a computed one would be computed a second time, where one plan shares its shuffles.
     """
     grouped = df.groupBy(*[as_col(k) for k in keys]).agg(*[c.alias(n) for n, c in stats.items()])
     return left_join_on(df, materialise(grouped, "stats") if written else grouped, keys)

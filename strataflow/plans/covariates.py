@@ -39,6 +39,7 @@ def index_overlay(
 
     ``written`` puts the monthly means and the scales, small tables both, into the shared folder
     first: with their sizes known they are broadcast, and the rates are shuffled for smoothing only.
+    For rates and an index that are stored tables; computed ones would be computed twice.
     """
     monthly = monthly_mean_index(complete_rows(index, ["country"]), ["country"], "date", "si")
     if written:

@@ -117,3 +117,27 @@ def test_unknown_sides_are_never_forced_into_a_broadcast(raw):
     stats = joins.with_group_stats(raw, ["database_name"], {"m": F.max("n_events")})
     logical = stats._jdf.queryExecution().analyzed().toString()
     assert "broadcast" not in logical.lower() and "ResolvedHint" not in logical
+
+
+def test_written_sides_spare_the_shuffle_of_a_stored_table(spark, tmp_path):
+    from strataflow.plans.covariates import index_overlay
+    from strataflow.sources.dims import mapping_table
+
+    rates = spark.range(600).select(
+        F.when(F.col("id") % 3 == 0, "A").otherwise("B").alias("database_name"),
+        *[F.lit("x").alias(c) for c in STRATUM[1:]],
+        F.add_months(F.lit("2019-01-01").cast("date"), (F.col("id") / 3).cast("int")).alias("incidence_start_date"),
+        *[(F.col("id") + i).cast("double").alias(c) for i, c in enumerate(("incidence", "incidence_95CI_lower", "incidence_95CI_upper"))],
+    )
+    rates.write.parquet(str(tmp_path / "rates"))
+    stored = spark.read.parquet(str(tmp_path / "rates"))
+    index = spark.range(900).select(
+        F.lit("land").alias("country"),
+        F.date_add(F.lit("2019-06-01").cast("date"), F.col("id").cast("int")).alias("date"),
+        (F.col("id") % 50).cast("double").alias("si"),
+    )
+    dim = mapping_table(spark, {"A": "land"}, "database", "country")
+    lazy, written = (index_overlay(stored, index, dim, written=w) for w in (False, True))
+    assert exchanges(written) == 0 and "BroadcastHashJoin" in plan_of(written)
+    assert exchanges(lazy) > 0
+    assert lazy.count() == 600 and lazy.exceptAll(written).count() == 0
