@@ -6,9 +6,10 @@ import pytest
 from oracle import compare, duck
 
 import __spark_entry__ as entry
+from strataflow.catalog import SQL_TWINS, all_queries
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = all_queries(), SQL_TWINS
 
 
 @pytest.fixture(scope="module")
@@ -31,6 +32,8 @@ def test_query_equals_its_sql_twin(spark, con, name):
 
 def test_every_query_has_a_twin():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(SQL) <= set(entry.oracle_sql())
 
 
 def test_entry_runs(spark):
