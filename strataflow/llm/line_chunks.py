@@ -105,7 +105,7 @@ def _drop(text, ranges):
 def remove_repeated(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated chunks taken out of ``text``, and ``removed_lines``; other columns as they are.
 
-    Lines end at line feeds. A null text stays null, a text all of whose lines go becomes empty, and no row goes.
+    A column named ``removed_lines`` is replaced. Lines end at line feeds. A null text stays null, a text all of whose lines go becomes empty, and no row goes.
     """
     gone = repeated_chunks(docs)
     ranges = gone.groupBy("doc_id", "rk").agg(
@@ -118,7 +118,7 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     hit = F.when(F.col("__ranges").isNotNull(), F.col("text"))
     cleaned = joined.withColumn("__clean", _without(hit, F.col("__ranges")))
     kept = F.when(F.col("__ranges").isNotNull(), F.col("__clean")).otherwise(F.col("text")).alias("text")
-    columns = [kept if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    columns = [kept if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns if c.lower() != "removed_lines"]
     return cleaned.select(*columns, F.coalesce("__lines", F.lit(0)).cast("long").alias("removed_lines"))
 
 
