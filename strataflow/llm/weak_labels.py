@@ -70,7 +70,34 @@ def by_sentences(text: str, words: list[str]) -> int:
     return _vote(ends, 0.01 <= ends <= 0.4, ends > 0.6)
 
 
-LABELLERS = (by_length, by_word_length, by_symbols, by_capitals, by_repeated_words, by_vocabulary, by_repeated_lines, by_sentences)
+def by_short_words(text: str, words: list[str]) -> int:
+    short = sum(len(w) <= 3 and w.isalpha() for w in words) / max(1, len(words))
+    return _vote(short, short >= 0.15, len(words) >= 12 and short < 0.08)
+
+
+def by_marked_words(text: str, words: list[str]) -> int:
+    marked = sum(w[-2:] == 2 * w[-1] and not w[-1].isalnum() for w in words) / max(1, len(words))
+    return _vote(marked, marked < 0.02, marked > 0.1)
+
+
+def by_bare_marks(text: str, words: list[str]) -> int:
+    bare = sum(len(w) < 3 and not any(map(str.isalnum, w)) for w in words) / max(1, len(words))
+    return _vote(bare, bare < 0.02, bare > 0.1)
+
+
+LABELLERS = (
+    by_length,
+    by_word_length,
+    by_symbols,
+    by_capitals,
+    by_repeated_words,
+    by_vocabulary,
+    by_repeated_lines,
+    by_sentences,
+    by_short_words,
+    by_marked_words,
+    by_bare_marks,
+)
 
 
 def votes(text: str) -> str:
@@ -153,7 +180,7 @@ def fit(x: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 0.1, decay
 def classify(docs: DataFrame, sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
     """``doc_id``, ``votes``, ``weak_good`` (posterior of the votes), ``score``, ``keep`` of every row.
 
-    Votes are counted over the whole table (at most 3^8 patterns reach the driver); the scorer learns
+    Votes are counted over the whole table (at most 3^11 patterns reach the driver); the scorer learns
     the posteriors on about ``sample`` documents drawn by the hash of their text. ``score`` is its probability of good
     quality, ``keep`` that it is at least ``least``. A null text counts as empty; a text without words has
     score 0. Equal texts score alike. An empty table gives an empty table.

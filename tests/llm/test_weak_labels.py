@@ -7,7 +7,7 @@ from strataflow.llm import weak_labels
 
 def test_em_recovers_accuracies():
     rng = random.Random(1)
-    accuracy = [0.95, 0.9, 0.85, 0.8, 0.75, 0.7, 0.65, 0.6]
+    accuracy = [0.95, 0.9, 0.85, 0.8, 0.75, 0.7, 0.65, 0.6, 0.6, 0.75, 0.8]
     counts, truth = {}, {}
     for _ in range(20_000):
         good = rng.random() < 0.7
