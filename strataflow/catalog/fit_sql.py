@@ -77,7 +77,10 @@ final AS (
 stats AS (
   SELECT *, CAST({" + ".join(f"(n{j} > 0)::INTEGER" for j in range(1, P + 1))} AS INTEGER) AS rank,
     CAST(SUM(used::INTEGER) OVER s AS INTEGER) AS n_obs,
-    2 * SUM(CASE WHEN used THEN CASE WHEN y > 0 THEN y * ln(y / mu_all) ELSE 0 END - (y - mu_all) ELSE 0 END) OVER s AS deviance,
+    2 * SUM(CASE WHEN used THEN mu_all * CASE WHEN y = 0 THEN 1.0
+      WHEN abs(y / mu_all - 1) < 1e-3 THEN pow((y - mu_all) / mu_all, 2) / 2 - pow((y - mu_all) / mu_all, 3) / 6
+        + pow((y - mu_all) / mu_all, 4) / 12 - pow((y - mu_all) / mu_all, 5) / 20
+      ELSE y / mu_all * ln(y / mu_all) - (y - mu_all) / mu_all END ELSE 0 END) OVER s AS deviance,
     SUM(CASE WHEN used THEN (y - mu_all) * (y - mu_all) / mu_all ELSE 0 END) OVER s AS pearson
   FROM final WINDOW s AS (PARTITION BY sid)),
 scaled AS (

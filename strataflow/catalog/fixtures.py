@@ -145,7 +145,6 @@ def rates(spark: SparkSession, sf_dir: str, persons: bool = True) -> DataFrame:
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     shipped = (
         table(spark, sf_dir, "lineitem")
-        .filter(F.col("l_shipdate") >= F.lit("1996-01-01").cast("timestamp_ntz"))
         .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(places(spark, sf_dir), F.col("s_nationkey") == F.col("n_nationkey"))
     )

@@ -95,6 +95,20 @@ def fit_segmented(spark, d):
     )
 
 
+# Deviances of large counts are compared by their leading digits.
+@query(
+    "fit_large_counts",
+    f"""SELECT DISTINCT {SERIES_SQL}, model, status, n_obs, rank, df_residual,
+    CASE WHEN status = 'ok' THEN round(log10(deviance), 6) END AS log_deviance FROM fx_fit_large""",
+)
+def fit_large_counts(spark, d):
+    events = F.round(F.col("person_years_sum") * 100_000)
+    large = quarterly(spark, d).withColumns({"n_events_sum": events, "person_years_sum": F.col("n_events_sum")})
+    fits = regression.fit_segmented(large, gate=None)
+    digits = F.when(F.col("status") == "ok", F.round(F.log10("deviance"), 6)).alias("log_deviance")
+    return fits.select(*SERIES, "model", "status", "n_obs", "rank", "df_residual", digits)
+
+
 # Predictions far outside the fitted rows reach 1e10, where fixed decimals ask for more digits than
 # two independent solvers share. Rounded values are therefore compared in single precision.
 
@@ -249,12 +263,12 @@ def pacf(spark, d):
 
 # A deviance residual near zero is the root of a difference of nearly equal numbers, good to about
 # 1e-8 on either side, so these two are compared to four digits.
-@query("residual_acf", acf_sql(RESIDUAL_POINTS_SQL, 4))
+@query("residual_acf", f"SELECT *, 'ok' AS status FROM ({acf_sql(RESIDUAL_POINTS_SQL, 4)})")
 def residual_acf(spark, d):
     return regression.residual_acf(_residual_fits(spark, d)).withColumn("acf", F.round("acf", 4))
 
 
-@query("residual_pacf", pacf_sql(RESIDUAL_POINTS_SQL, 4))
+@query("residual_pacf", f"SELECT *, 'ok' AS status FROM ({pacf_sql(RESIDUAL_POINTS_SQL, 4)})")
 def residual_pacf(spark, d):
     out = regression.residual_pacf(_residual_fits(spark, d))
     return out.withColumn("pacf", F.round("pacf", 4))

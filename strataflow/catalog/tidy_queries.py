@@ -397,7 +397,7 @@ def template_order(spark, d):
 )
 def regex_flags(spark, d):
     pages = fx.table(spark, d, "pages").select("page_id", "url")
-    return projections.regex_flags(pages, "url", {"plain": "^http:", "not_tracked": "utm_"})
+    return projections.regex_flags(pages, "url", {"plain": "^http:", "not_tracked": ("utm_", True)})
 
 
 @query(

@@ -44,7 +44,6 @@ SELECT r.r_name AS country, CAST(l.l_shipdate AS DATE) AS date,
             ELSE round(CAST(SUM(CAST(l.l_quantity AS DECIMAL(18,2))) AS DOUBLE) / COUNT(*), 4) END AS si
 FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey
 JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
-WHERE l.l_shipdate >= DATE '1996-01-01'
 GROUP BY r.r_name, CAST(l.l_shipdate AS DATE)
 """
 
@@ -149,4 +148,10 @@ VIEWS["fx_sr_monthly"] = _model_input("fx_monthly")
 VIEWS["fx_fit"] = fit_sql("fx_sr_quarterly", lagged=False)
 VIEWS["fx_fit_lagged"] = fit_sql("fx_sr_quarterly", lagged=True)
 VIEWS["fx_fit_monthly"] = fit_sql("fx_sr_monthly", lagged=True)
+# Order value in cents as events, orders as person-time: counts of 1e6 and more.
+VIEWS["fx_sr_large"] = """
+SELECT * REPLACE (round(person_years_sum * 100000) AS n_events_sum, CAST(n_events_sum AS DOUBLE) AS person_years_sum)
+FROM fx_sr_quarterly
+"""
+VIEWS["fx_fit_large"] = fit_sql("fx_sr_large", lagged=False)
 VIEWS["fx_coefficients"] = coefficient_sql("fx_fit")

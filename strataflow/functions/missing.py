@@ -59,9 +59,18 @@ def one_of(c: Column | str, values: Iterable) -> Column:
     return hit | as_col(c).isNull() if len(present) < len(values) else hit
 
 
+def plain_text(c: Column | str) -> Column:
+    """Text of a value; a floating-point number that Spark would show with an exponent is written out."""
+    c = as_col(c)
+    shown = c.cast("string")
+    digits = F.regexp_replace(shown.try_cast("decimal(38,14)").cast("string"), r"(\.\d+?)0+$", "$1")
+    exponent = F.typeof(c).isin("double", "float") & shown.contains("E")
+    return F.when(exponent, F.coalesce(digits, shown)).otherwise(shown)
+
+
 def text_or_na(c: Column | str) -> Column:
     """Text of a value, with NULL shown as ``NA``."""
-    return F.coalesce(as_col(c).cast("string"), F.lit("NA"))
+    return F.coalesce(plain_text(c), F.lit("NA"))
 
 
 def null_safe_match(left, right, pairs: Iterable[tuple[str, str]]) -> Column:

@@ -8,7 +8,7 @@ from typing import Iterable, Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .missing import as_col, matches, text_or_na
+from .missing import as_col, matches, plain_text, text_or_na
 
 # The two separators a combined name or level may use.
 LEVEL_SEPARATOR = r" and | &&& "
@@ -38,7 +38,7 @@ def render_template(template: str, values: Mapping[str, Column | str]) -> Column
     for slot in _KEY.finditer(template):
         if slot.start() > end:
             parts.append(F.lit(template[end : slot.start()]))
-        parts.append(as_col(values[slot.group(1)]).cast("string"))
+        parts.append(plain_text(values[slot.group(1)]))
         end = slot.end()
     if end < len(template):
         parts.append(F.lit(template[end:]))
@@ -50,9 +50,9 @@ def united(cols: Sequence[str], sep: str = "; ") -> Column:
     return F.concat_ws(sep, *[text_or_na(c) for c in cols])
 
 
-def split_levels(c: Column | str) -> Column:
+def split_levels(c: Column | str, separator: str = LEVEL_SEPARATOR) -> Column:
     """Parts of a combined name or level."""
-    return F.split(as_col(c), LEVEL_SEPARATOR)
+    return F.split(as_col(c), separator)
 
 
 def first_match(c: Column | str, rules: Iterable[tuple[str, str]], default: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers
-from ..functions.missing import as_col, matches, strict_avg, strict_sum
+from ..functions.missing import as_col, matches, plain_text, strict_avg, strict_sum
 from .filters import POST_EVENT_PATTERN
 
 
@@ -25,7 +25,7 @@ def facet_domains(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Distinct values of several columns as (column, value) text, in one pass over the input."""
     pairs = F.array(
         *[
-            F.struct(F.lit(c).alias("column"), as_col(c).cast("string").alias("value"))
+            F.struct(F.lit(c).alias("column"), plain_text(c).alias("value"))
             for c in cols
         ]
     )
@@ -151,26 +151,27 @@ def pivot_wide(
     col: str,
     value: str,
     values: Sequence[str] | None = None,
-    on_duplicate: str = "error",
 ) -> DataFrame:
     """One column per value of ``col``.
 
     Written as conditional aggregates: one shuffle on the ids, where a built-in pivot takes two.
-    Without ``values`` one distinct job finds them. Two rows for one cell fail the job, unless
-    ``on_duplicate="max"``.
+    Without ``values`` one distinct job finds them. Two rows for one cell fail the job, and so does a
+    value that is not in ``values``: to leave some out, filter first.
     """
     if values is None:
         found = df.select(as_col(col)).distinct().filter(as_col(col).isNotNull()).collect()
         values = sorted(r[0] for r in found)
+    other = F.max(F.when(~as_col(col).isin(list(values)), as_col(col)))
     cells = []
     for v in values:
         here = as_col(col) == F.lit(v)
-        cell = F.max(F.when(here, as_col(value)))
-        if on_duplicate == "error":
-            cell = F.when(
-                F.count(F.when(here, F.lit(1))) > 1,
-                F.raise_error(F.lit(f"more than one row for a cell of column {v}")),
-            ).otherwise(cell)
+        cell = F.when(
+            F.count(F.when(here, F.lit(1))) > 1,
+            F.raise_error(F.lit(f"more than one row for a cell of column {v}")),
+        ).otherwise(F.max(F.when(here, as_col(value))))
+        if not cells:
+            missing = F.concat(F.lit(f"no column was asked for {col} "), other.cast("string"))
+            cell = F.when(other.isNotNull(), F.raise_error(missing)).otherwise(cell)
         cells.append(cell.alias(v))
     return df.groupBy(*_cols(ids)).agg(*cells)
 

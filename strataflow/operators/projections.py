@@ -132,12 +132,13 @@ def path_tag(
     return df.withColumn(out, text.first_match(path_col, rules, default))
 
 
-def regex_flags(df: DataFrame, col: str, patterns: Mapping[str, str]) -> DataFrame:
-    """One boolean column per named pattern. A name starting with ``not_`` negates."""
+def regex_flags(df: DataFrame, col: str, patterns: Mapping[str, str | tuple[str, bool]]) -> DataFrame:
+    """One boolean column per name, from a pattern or a pair of a pattern and whether to negate it."""
     flags = {}
-    for name, pattern in patterns.items():
+    for name, given in patterns.items():
+        pattern, negate = (given, False) if isinstance(given, str) else given
         hit = matches(col, pattern)
-        flags[name] = ~hit if name.startswith("not_") else hit
+        flags[name] = ~hit if negate else hit
     return df.withColumns(flags)
 
 

@@ -13,7 +13,7 @@ from .joins import with_group_stats
 
 
 def ragged_union(dfs: Sequence[DataFrame]) -> DataFrame:
-    """Stack frames by column name; a column a frame lacks is NULL there."""
+    """Stack frames by column name; a column a frame lacks is NULL there. At least one frame."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
 
 

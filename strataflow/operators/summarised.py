@@ -50,9 +50,9 @@ def _applicable(
     out = []
     for t in templates:
         if not t.keys:
-            warnings.warn(f"{t.text} does not contain an estimate name indicated by <...>")
+            warnings.warn(f"template without a <key>: {t.text}")
         elif not set(t.keys) <= set(known_names):
-            warnings.warn(f"{t.text} has not been formatted.")
+            warnings.warn(f"template with keys the data lacks: {t.text}")
         else:
             out.append(t)
     return out
@@ -136,7 +136,7 @@ def format_estimates(
     With ``template_order`` the output carries ``format_id``, the position of its template. ``order``
     names a stable row id; with it come ``group_id`` (smallest id of the group) and
     ``name_first_id`` too, and sorting by the three, left to the sink, gives the display order.
-    ``known_names`` spares the distinct job behind the "has not been formatted" warning.
+    ``known_names`` spares the distinct job behind the warning about keys the data lacks.
     """
     if not templates:
         return df
@@ -180,7 +180,7 @@ def render_template(template: str, cols: Mapping[str, str]) -> Column:
     return text.render_template(template, cols)
 
 
-def _distinct_parts(df: DataFrame, names: Sequence[str]) -> dict[str, list[str]]:
+def _distinct_parts(df: DataFrame, names: Sequence[str], separator: str = text.LEVEL_SEPARATOR) -> dict[str, list[str]]:
     """Distinct part names, other than ``overall``, of several name columns: the columns their
     splits will create. One pass over the input for all of them."""
     found = F.inline(
@@ -189,7 +189,7 @@ def _distinct_parts(df: DataFrame, names: Sequence[str]) -> dict[str, list[str]]
     rows = (
         df.select(found)
         .distinct()
-        .select("c", F.explode(text.split_levels("n")).alias("part"))
+        .select("c", F.explode(text.split_levels("n", separator)).alias("part"))
         .distinct()
         .collect()
     )
@@ -203,29 +203,37 @@ def split_name_level(
     keep: bool = False,
     fill: str | None = OVERALL,
     columns: Sequence[str] | None = None,
+    separator: str = text.LEVEL_SEPARATOR,
 ) -> DataFrame:
     """One column per distinct part of ``name``, holding the part of ``level`` at the same place.
 
     Names and levels of different length fail the job. Rows without a part get ``fill``. The new
     columns take the place of the pair. ``columns`` names the parts to expect and spares the
-    distinct job that finds them.
+    distinct job that finds them; a part it does not name fails the job. ``separator`` is the pattern
+    between parts; give a narrower one where levels hold the word ``and``.
     """
     require_columns(df, [name, level])
-    parts = list(columns) if columns is not None else _distinct_parts(df, [name])[name]
-    clash = [c for c in parts if c in df.columns]
+    parts = list(columns) if columns is not None else _distinct_parts(df, [name], separator)[name]
+    # Column names ignore case.
+    folded = {p.lower() for p in parts}
+    clash = [c for c in df.columns if c.lower() in folded]
     if clash:
-        warnings.warn(f"The following columns will be overwritten: {', '.join(clash)}.")
+        warnings.warn(f"columns replaced by parts of {name}: {', '.join(clash)}")
 
-    names, levels = text.split_levels(name), text.split_levels(level)
+    names, levels = text.split_levels(name, separator), text.split_levels(level, separator)
     own = F.array_remove(names, OVERALL)
     checked = (
         F.when(
             F.coalesce(F.size(names), F.lit(1)) != F.coalesce(F.size(levels), F.lit(1)),
-            F.raise_error(F.lit("Column names and levels number does not match")),
+            F.raise_error(F.lit(f"{name} and {level} have different numbers of parts")),
         )
         .when(
             F.size(F.array_distinct(own)) < F.size(own),
-            F.raise_error(F.lit("A column name is repeated within one row")),
+            F.raise_error(F.lit(f"{name} names a part twice")),
+        )
+        .when(
+            F.size(F.array_except(own, F.array(*[F.lit(p) for p in parts]).cast("array<string>"))) > 0,
+            F.raise_error(F.concat(F.lit(f"a part of {name} was not asked for: "), as_col(name))),
         )
         .otherwise(names)
     )
@@ -243,7 +251,7 @@ def split_name_level(
             if keep:
                 out += [as_col(name), as_col(level)]
             out += new
-        elif c == level or c in parts:
+        elif c == level or c.lower() in folded:
             continue
         else:
             out.append(as_col(c))
@@ -253,16 +261,16 @@ def split_name_level(
     return df.select(*out)
 
 
-def split_group(df, keep=False, fill=OVERALL, columns=None) -> DataFrame:
-    return split_name_level(df, "group_name", "group_level", keep, fill, columns)
+def split_group(df, keep=False, fill=OVERALL, columns=None, separator=text.LEVEL_SEPARATOR) -> DataFrame:
+    return split_name_level(df, "group_name", "group_level", keep, fill, columns, separator)
 
 
-def split_strata(df, keep=False, fill=OVERALL, columns=None) -> DataFrame:
-    return split_name_level(df, "strata_name", "strata_level", keep, fill, columns)
+def split_strata(df, keep=False, fill=OVERALL, columns=None, separator=text.LEVEL_SEPARATOR) -> DataFrame:
+    return split_name_level(df, "strata_name", "strata_level", keep, fill, columns, separator)
 
 
-def split_additional(df, keep=False, fill=OVERALL, columns=None) -> DataFrame:
-    return split_name_level(df, "additional_name", "additional_level", keep, fill, columns)
+def split_additional(df, keep=False, fill=OVERALL, columns=None, separator=text.LEVEL_SEPARATOR) -> DataFrame:
+    return split_name_level(df, "additional_name", "additional_level", keep, fill, columns, separator)
 
 
 def split_all(
@@ -270,6 +278,7 @@ def split_all(
     keep: bool = False,
     fill: str | None = OVERALL,
     columns: Mapping[str, Sequence[str]] | None = None,
+    separator: str = text.LEVEL_SEPARATOR,
 ) -> DataFrame:
     """Split the group, strata and additional pairs.
 
@@ -278,8 +287,8 @@ def split_all(
     columns = dict(columns or {})
     open_pairs = [p for p in ("group", "strata", "additional") if columns.get(p) is None]
     if open_pairs:
-        found = _distinct_parts(df, [f"{p}_name" for p in open_pairs])
+        found = _distinct_parts(df, [f"{p}_name" for p in open_pairs], separator)
         columns |= {p: found[f"{p}_name"] for p in open_pairs}
-    df = split_group(df, keep, fill, columns.get("group"))
-    df = split_strata(df, keep, fill, columns.get("strata"))
-    return split_additional(df, keep, fill, columns.get("additional"))
+    df = split_group(df, keep, fill, columns.get("group"), separator)
+    df = split_strata(df, keep, fill, columns.get("strata"), separator)
+    return split_additional(df, keep, fill, columns.get("additional"), separator)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
 from typing import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,9 +40,10 @@ def tidy_estimates(df: DataFrame) -> DataFrame:
 
 
 def paths_by_class(spark: SparkSession, root: str) -> dict[str, list[str]]:
-    """File paths per class. File names are planning metadata, as in any scan."""
+    """File paths per class. Names of files of a class are planning metadata, as in any scan."""
     found: dict[str, list[str]] = {name: [] for name in FILE_CLASSES}
-    for row in classify_files(spark, root).collect():
+    of_a_class = reduce(or_, [F.col(name) for name in FILE_CLASSES])
+    for row in classify_files(spark, root).filter(of_a_class).collect():
         for name in FILE_CLASSES:
             if row[name]:
                 found[name].append(row["path"])

@@ -287,7 +287,7 @@ def fit_segmented(
     season: str | None = "wrap",
     gate: str | None = POST_EVENT_PATTERN,
     outcome_col: str = "outcome_cohort_name",
-    tolerance: float = 1e-12,
+    tolerance: float = 1e-8,
     max_iterations: int = 25,
 ) -> DataFrame:
     """Fit the models to every series: one row per series and model.
@@ -463,20 +463,27 @@ def coefficient_diagnostics(
     )
 
 
+def _with_residuals() -> Column:
+    fitted = [STATUS_NAMES[OK], STATUS_NAMES[NOT_CONVERGED]]
+    return (as_col("model") == WITH_INTERVENTION) & one_of("status", fitted)
+
+
 def residual_series(fits: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
-    """Deviance residuals of the with-intervention model, in time order by ``t``.
+    """Deviance residuals of the with-intervention model, in time order by ``t``, with the fit's ``status``.
 
-    A saturated fit reproduces its input; what is left is rounding noise, so it has no residuals.
+    A fit that did not converge keeps the residuals of its last step. A saturated fit reproduces its
+    input; what is left is rounding noise, so it has no residuals.
     """
-    fitted = fits.filter((as_col("model") == WITH_INTERVENTION) & (as_col("status") == "ok"))
+    fitted = fits.filter(_with_residuals())
     rows = predict_band(fitted, keys)
     kept = rows.filter(as_col("used") & as_col("mu").isNotNull())
     return deviance_residuals(kept, "y", "mu").withColumnRenamed("time", "t")
 
 
 def residual_acf(fits: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
-    """Autocorrelation of the residuals, straight from the arrays of the fit: nothing moves."""
-    fitted = fits.filter((as_col("model") == WITH_INTERVENTION) & (as_col("status") == "ok"))
+    """Autocorrelation of the residuals and the fit's ``status``, straight from the arrays of the fit: nothing moves."""
+    keys = [*keys, "status"]
+    fitted = fits.filter(_with_residuals())
     kept = F.filter(as_col("fitted"), lambda row: row["used"] & row["mu"].isNotNull())
     residuals = F.transform(
         kept, lambda row: numbers.poisson_deviance_residual(row["y"], row["mu"])
@@ -487,4 +494,4 @@ def residual_acf(fits: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
 
 def residual_pacf(fits: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
     """Partial autocorrelation of the residuals."""
-    return pacf(residual_acf(fits, keys), keys)
+    return pacf(residual_acf(fits, keys), [*keys, "status"])

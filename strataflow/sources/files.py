@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import csv
-from typing import Mapping, Sequence
+import re
+import sys
+from typing import Iterator, Mapping, Sequence
+from urllib.parse import quote, unquote
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +18,9 @@ from ..functions.missing import as_col, matches
 from ..functions.numbers import safe_cast
 from ..operators.sets import ragged_union
 
+# Task functions travel with the plan.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Which files hold which result. A path may be of several classes.
 FILE_CLASSES = {
     "snapshot": {"all": ["snapshot"]},
@@ -46,13 +54,30 @@ def classify_paths(df: DataFrame, path_col: str = "path", rules=FILE_CLASSES) ->
 def classify_files(spark: SparkSession, root: str, rules=FILE_CLASSES) -> DataFrame:
     """All files below a folder with their class flags. File contents are not read."""
     listed = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(literal_path(root)).select("path")
     )
     return classify_paths(listed, "path", rules)
 
 
 # A quote inside quoted text is doubled, as spreadsheet and statistics programs write it.
-_CSV_FORMAT = {"header": True, "nullValue": "NA", "escape": '"'}
+# Edge blanks of a text are part of it.
+_CSV_FORMAT = {
+    "header": True,
+    "nullValue": "NA",
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
+
+def literal_path(path: str) -> str:
+    """A path as a reader takes it: characters with a meaning in path patterns stand for themselves."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
+def plain_path(uri: str) -> str:
+    """The path behind a file's URI, in which blanks and some other characters are encoded."""
+    return unquote(uri)
 
 
 def _csv_reader(spark: SparkSession, schema: T.StructType, multi_line: bool = False):
@@ -71,14 +96,57 @@ def _blank_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.nullif(as_col(c), F.lit("")) for c in texts}) if texts else df
 
 
+HEAD_BYTES = 1 << 16
+
+
+def _first_line(path: str) -> str | None:
+    """The first line of a file, read until it ends; None where the file's store opens in Spark only."""
+    from pyarrow import fs
+
+    try:
+        local = re.fullmatch(r"(?:file:(?://)?)?(/.*)", path, re.S)
+        store, inner = (fs.LocalFileSystem(), local[1]) if local else fs.FileSystem.from_uri(quote(path, safe=":/@"))
+        with store.open_input_stream(inner) as stream:
+            head = b""
+            while b"\n" not in head and (more := stream.read(HEAD_BYTES)):
+                head += more
+        return re.split(r"\r?\n|\r", head.decode("utf-8"), maxsplit=1)[0]
+    except (OSError, pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        return None
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        paths = batch.column(0).to_pylist()
+        lines = [_first_line(p) for p in paths]
+        yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(lines, pa.string())], ["path", "header"])
+
+
 def header_signatures(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
-    """Files grouped by header line.
+    """Files grouped by header line; empty files are left out.
 
-    The part of a file that starts at byte 0 is read in order by one task, so its row of smallest
-    id is the header. One distributed pass; what reaches the driver is one short line per file.
+    Executors open the listed files and read each up to its first line end, then files are grouped by
+    header; the driver receives one row per distinct header. Files in a store that only Spark can open
+    are read by Spark, whole, in one pass.
     """
+    listed = spark.createDataFrame([(p,) for p in paths], "path string")
+    heads = listed.repartition(min(len(paths), 64)).mapInArrow(_heads, "path string, header string")
+    groups: dict[str, list[str]] = {}
+    closed: list[str] = []
+    for row in heads.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect():
+        if row["header"] is None:
+            closed = row["paths"]
+        elif row["header"]:
+            groups.setdefault(row["header"].removeprefix("\ufeff"), []).extend(row["paths"])
+    for header, files in (_headers_by_spark(spark, closed) if closed else {}).items():
+        groups.setdefault(header, []).extend(files)
+    return groups
+
+
+def _headers_by_spark(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
+    """The part of a file that starts at byte 0 is read in order by one task: its row of smallest id is the header."""
     lines = (
-        spark.read.text(list(paths))
+        spark.read.text([literal_path(p) for p in paths])
         .select(
             F.col("_metadata.file_path").alias("path"),
             F.col("_metadata.file_block_start").alias("start"),
@@ -91,7 +159,7 @@ def header_signatures(spark: SparkSession, paths: Sequence[str]) -> dict[str, li
     )
     groups: dict[str, list[str]] = {}
     for row in lines.collect():
-        groups.setdefault(row["header"].removeprefix("\ufeff"), []).append(row["path"])
+        groups.setdefault(row["header"].removeprefix("\ufeff"), []).append(plain_path(row["path"]))
     return groups
 
 
@@ -113,23 +181,27 @@ def read_results(
 
     Spark matches CSV columns by position, so files are read once per distinct header and united by
     name; a column a file lacks is NULL and an unnamed index column is dropped. Undeclared columns
-    are dropped too, or with ``extras`` passed through as text. ``ragged=False`` skips the header
+    are dropped too, or with ``extras`` passed through as text. Empty files give no rows. ``ragged=False`` skips the header
     pass for files known to share the declared header, and fails if one does not.
     """
 
     def finish(df: DataFrame) -> DataFrame:
-        df = df.withColumn(path_col, F.col("_metadata.file_path")) if path_col else df
+        df = df.withColumn(path_col, F.try_url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))) if path_col else df
         return _blank_to_null(df.drop(*INDEX_COLUMNS))
 
     if not ragged:
-        return finish(_csv_reader(spark, schema, multi_line).csv(list(paths)))
+        return finish(_csv_reader(spark, schema, multi_line).csv([literal_path(p) for p in paths]))
     types = {f.name: f.dataType for f in schema.fields}
     parts = []
     for header, files in sorted(header_signatures(spark, paths).items()):
         declared = T.StructType(
             [T.StructField(n, types.get(n, T.StringType())) for n in _header_names(header)]
         )
+        files = [literal_path(p) for p in files]
         parts.append(finish(_csv_reader(spark, declared, multi_line).csv(files)))
+    if not parts:
+        columns = [*schema.fields, *([T.StructField(path_col, T.StringType())] if path_col else [])]
+        return spark.createDataFrame([], T.StructType(columns))
     out = ragged_union(parts)
     absent = {n: F.lit(None).cast(types[n]) for n in schema.fieldNames() if n not in out.columns}
     out = out.withColumns(absent) if absent else out
@@ -153,9 +225,12 @@ def write_export(df: DataFrame, path: str, keys: Sequence[str] = ()) -> None:
     writer.csv(path)
 
 
-def read_export(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Read back an export, key folders included."""
-    df = _csv_reader(spark, schema).csv(path)
+def read_export(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
+    """Read back an export, key folders included; ``multi_line`` for text that holds line breaks.
+
+    A file with line breaks in its values cannot be read in several parts; write such exports in more files.
+    """
+    df = _csv_reader(spark, schema, multi_line).csv(path)
     return _blank_to_null(df).select(*[as_col(c) for c in schema.fieldNames()])
 
 
@@ -174,16 +249,36 @@ def covariate_series(
     """One external CSV with awkward headers: pick ``{header: name}`` columns and type them.
 
     Headers may be given as they stand in the file or normalised. ``date_col`` and ``number_cols``
-    are new names; the other columns stay text.
+    are new names; the other columns stay text. Files of a folder are matched by header, each for itself;
+    a date or number that is none fails the read.
     """
-    raw = spark.read.options(**_CSV_FORMAT).csv(path)
-    by_name = {**{normalised_name(c): c for c in raw.columns}, **{c: c for c in raw.columns}}
-    absent = [h for h in mapping if h not in by_name]
-    if absent:
-        raise ValueError(f"headers not found: {', '.join(absent)}")
-    out = raw.select(*[as_col(by_name[h]).alias(n) for h, n in mapping.items()])
-    out = _blank_to_null(out)
-    typed = {n: safe_cast(n, "double") for n in number_cols}
+    parts = []
+    for header, files in sorted(header_signatures(spark, _files_below(spark, path)).items()):
+        names = _header_names(header)
+        by_name = {**{normalised_name(c): c for c in names}, **{c: c for c in names}}
+        absent = [h for h in mapping if h not in by_name]
+        if absent:
+            raise ValueError(f"headers not found: {', '.join(absent)}")
+        text = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        raw = _csv_reader(spark, text).csv([literal_path(p) for p in files])
+        parts.append(raw.select(*[as_col(by_name[h]).alias(n) for h, n in mapping.items()]))
+    if not parts:
+        raise ValueError(f"headers not found: no file with a header at {path}")
+    out = _blank_to_null(ragged_union(parts))
+    typed = {n: _fitting(n, "double") for n in number_cols}
     if date_col is not None:
-        typed[date_col] = safe_cast(date_col, "date")
+        typed[date_col] = _fitting(date_col, "date")
     return out.withColumns(typed) if typed else out
+
+
+def _fitting(c: str, data_type: str) -> Column:
+    """Cast that fails, naming the value, where a text is not of the type."""
+    cast = safe_cast(c, data_type)
+    problem = F.raise_error(F.concat(F.lit(f"{c} is not a {data_type}: "), as_col(c)))
+    return F.when(as_col(c).isNotNull() & cast.isNull(), problem).otherwise(cast)
+
+
+def _files_below(spark: SparkSession, path: str) -> list[str]:
+    """The files of a path, a folder's hidden ones left out. Contents are not read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(literal_path(path))
+    return [r["path"] for r in listed.select("path").collect()]

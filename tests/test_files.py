@@ -152,3 +152,84 @@ def test_scratch_folder_comes_from_the_session(spark):
     first, second = shared_folder(spark, "t"), shared_folder(spark, "t")
     assert first.startswith(root + "/t-") and first != second
     assert materialise(spark.range(3).withColumn("s", F.lit("x")), "t").count() == 3
+
+
+ODD_NAMES = ["My DB", "50% [v1]", "a?b {x,y}", "plus+sign*"]
+
+
+@pytest.mark.parametrize("name", ODD_NAMES)
+def test_paths_with_blanks_and_pattern_characters(spark, tmp_path, name):
+    a = _write(tmp_path / name / "Incidence x.csv", "name,n,v\nx,1,1.5\n")
+    _write(tmp_path / name / "other.txt", "ignored")
+    assert [r.name for r in files.read_results(spark, [a], SCHEMA, ragged=False).collect()] == ["x"]
+    listed = files.classify_files(spark, str(tmp_path / name)).filter("incidence_estimates").collect()
+    out = files.read_results(spark, [r.path for r in listed], SCHEMA, path_col="path").collect()
+    assert [(r.name, r.path.removeprefix("file://").removeprefix("file:")) for r in out] == [("x", a)]
+
+
+def test_headers_by_spark_equal_headers_by_file(spark, tmp_path):
+    paths = [_write(tmp_path / "My DB" / f"{k}.csv", f"name,c{k % 2}\nx,{k}\n") for k in range(5)]
+    paths = [f"file:{p}" for p in paths]
+    groups = {h: sorted(p) for h, p in files.header_signatures(spark, paths).items()}
+    by_spark = {h: sorted(x.replace("file://", "file:") for x in p) for h, p in files._headers_by_spark(spark, paths).items()}
+    assert groups == by_spark == {"name,c0": [paths[0], paths[2], paths[4]], "name,c1": [paths[1], paths[3]]}
+
+
+def test_a_header_is_read_and_not_the_file(monkeypatch, tmp_path):
+    from pyarrow import fs
+
+    big = tmp_path / "big.csv"
+    big.write_bytes(b"name,n,v\n" + b"x,1,1.5\n" * 2_000_000)
+    read = []
+
+    class Counting:
+        def open_input_stream(self, path, real=fs.LocalFileSystem()):
+            return _counted(real.open_input_stream(path), read)
+
+    monkeypatch.setattr(fs, "LocalFileSystem", Counting)
+    assert files._first_line(f"file:{big}") == "name,n,v"
+    assert sum(read) <= files.HEAD_BYTES
+
+
+class _counted:
+    def __init__(self, stream, read):
+        self.stream, self.seen = stream, read
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *a):
+        self.stream.close()
+
+    def read(self, n):
+        got = self.stream.read(n)
+        self.seen.append(len(got))
+        return got
+
+
+def test_empty_files_give_no_rows(spark, tmp_path):
+    a = _write(tmp_path / "a.csv", "")
+    out = files.read_results(spark, [a], SCHEMA, path_col="path")
+    assert out.columns == ["name", "n", "v", "path"] and out.count() == 0
+    b = _write(tmp_path / "b.csv", "name,n,v\nx,1,1.5\n")
+    assert files.read_results(spark, [a, b], SCHEMA).count() == 1
+
+
+def test_export_keeps_edge_blanks_and_line_breaks(spark, tmp_path):
+    rows = [(" lead", 1, 1.0), ("trail ", 2, 2.0), ("two\nlines", 3, 3.0), (' "q" ', 4, 4.0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    files.write_export(df, str(tmp_path / "x"), ["n"])
+    back = files.read_export(spark, str(tmp_path / "x"), SCHEMA, multi_line=True)
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+
+
+def test_covariate_columns_are_matched_by_name_and_strict(spark, tmp_path):
+    _write(tmp_path / "c" / "a.csv", "Day,Entity,x y\n2020-01-01,A,1.5\n")
+    _write(tmp_path / "c" / "b.csv", "x y,extra,Day,Entity\n2.5,e,2020-01-02,B\nNA,e,NA,B\n")
+    names = {"Entity": "country", "Day": "date", "x.y": "si"}
+    out = files.covariate_series(spark, str(tmp_path / "c"), names, "date", ["si"])
+    day = dt.date(2020, 1, 1)
+    assert {tuple(r) for r in out.collect()} == {("A", day, 1.5), ("B", dt.date(2020, 1, 2), 2.5), ("B", None, None)}
+    bad = _write(tmp_path / "bad.csv", "Day,Entity,x y\nsoon,A,1.5\n")
+    with pytest.raises(Exception, match="date is not a date: soon"):
+        files.covariate_series(spark, bad, names, "date", ["si"]).collect()

@@ -142,7 +142,33 @@ def test_pivot_fails_on_two_rows_for_one_cell(spark):
     df = spark.createDataFrame([("i", "x", 1), ("i", "x", 2)], "id string, c string, v int")
     with pytest.raises(Exception, match="more than one row"):
         aggregates.pivot_wide(df, ["id"], "c", "v", ["x"]).collect()
-    assert aggregates.pivot_wide(df, ["id"], "c", "v", on_duplicate="max").collect()[0].x == 2
+
+
+def test_pivot_fails_on_a_value_without_a_column(spark):
+    df = spark.createDataFrame([("i", "A", 1), ("i", "B", 2)], "id string, c string, v int")
+    with pytest.raises(Exception, match="no column was asked for c B"):
+        aggregates.pivot_wide(df, ["id"], "c", "v", ["A"]).collect()
+    assert aggregates.pivot_wide(df.filter("c = 'A'"), ["id"], "c", "v", ["A"]).collect()[0].A == 1
+
+
+def test_flags_negate_only_when_told(spark):
+    df = spark.createDataFrame([("tracked",), (None,)], "t string")
+    out = projections.regex_flags(df, "t", {"not_tracked": "tracked", "other": ("tracked", True)}).collect()
+    assert [(r.not_tracked, r.other) for r in out] == [(True, False), (False, True)]
+
+
+def test_large_and_small_numbers_as_plain_text(spark):
+    df = spark.createDataFrame([(12345678.0, 1.5e-5, "1E7"), (0.1, -3e20, None)], "a double, b double, c string")
+    out = projections.unite_key(df, "k", ["a", "b", "c"]).select("k").collect()
+    assert [r.k for r in out] == ["12345678.0; 0.000015; 1E7", "0.1; -300000000000000000000.0; NA"]
+    shown = df.select(text.render_template("<a>|<b>", {"a": "a", "b": "b"}).alias("t")).collect()
+    assert [r.t for r in shown] == ["12345678.0|0.000015", "0.1|-300000000000000000000.0"]
+    assert {(r.column, r.value) for r in aggregates.facet_domains(df, ["a"]).collect()} == {("a", "12345678.0"), ("a", "0.1")}
+
+
+def test_plain_number_keeps_what_has_too_many_digits(spark):
+    df = spark.createDataFrame([(2.5e36,), (2.675,), (1e7,)], "v double")
+    assert [r.t for r in df.select(numbers.plain_number("v", 2).alias("t")).collect()] == ["2.5E36", "2.68", "10000000"]
 
 
 def test_scale_to_max_with_zero_index(spark):

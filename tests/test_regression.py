@@ -172,3 +172,35 @@ def test_portions_of_a_batch_give_the_same_fits(monkeypatch):
         assert [r["date"] for r in a["fitted"]] == [r["date"] for r in b["fitted"]]
         mu_a, mu_b = (np.array([r["mu"] for r in x["fitted"]], dtype=float) for x in (a, b))
         assert np.allclose(mu_a, mu_b, rtol=1e-9, equal_nan=True)
+
+
+@pytest.mark.parametrize("size", [1e2, 1e5, 1e6, 1e8])
+def test_counts_of_any_size_converge(spark, size):
+    rng = np.random.default_rng(int(math.log10(size)))
+    blocks = []
+    for k in range(60):
+        mean = size * np.exp(0.01 * np.arange(24) + 0.1 * rng.normal())
+        blocks.append(_rows(24, 14, outcome=f"o{k}", y=rng.poisson(mean)))
+    df = _frame(spark, *blocks)
+    fits = rg.fit_segmented(df).cache()
+    assert {r.status for r in fits.select("status").distinct().collect()} == {"ok"}
+    assert rg.residual_acf(fits).select("outcome_cohort_name").distinct().count() == 60
+    assert rg.residual_pacf(fits).select("outcome_cohort_name").distinct().count() == 60
+    one = _frame(spark, blocks[0])
+    row = {r.parameter: r.estimate for r in rg.coefficients(rg.fit_segmented(one, models=["step_slope"])).collect()}
+    data = VectorAssembler(inputCols=["step", "slope", "step_slope"], outputCol="f").transform(rg.design_terms(one))
+    glm = GeneralizedLinearRegression(
+        family="tweedie", variancePower=1.0, linkPower=0.0, offsetCol="offset", labelCol="n_events_sum", featuresCol="f", tol=1e-12
+    ).fit(data)
+    theirs = [glm.intercept, *glm.coefficients]
+    ours = [row[n] for n in ("(Intercept)", "intrv", "time", "intrv:time")]
+    assert np.allclose(ours, theirs, rtol=1e-6, atol=1e-8)
+    fits.unpersist()
+
+
+def test_residuals_of_a_fit_that_did_not_converge_stay(spark):
+    fits = rg.fit_segmented(_frame(spark, _rows(24, 14)), models=["with_intervention"], max_iterations=1)
+    assert fits.collect()[0].status == "not_converged"
+    out = rg.residual_series(fits).collect()
+    assert len(out) == 24 and {r.status for r in out} == {"not_converged"}
+    assert {r.status for r in rg.residual_acf(fits).collect()} == {"not_converged"}

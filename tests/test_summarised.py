@@ -48,9 +48,9 @@ def test_duplicate_estimates_are_not_formatted(spark):
 
 def test_unknown_and_keyless_templates_warn_and_change_nothing(spark):
     df = _rows(spark, [("a", "n", "1")])
-    with pytest.warns(UserWarning, match="has not been formatted"):
+    with pytest.warns(UserWarning, match="keys the data lacks"):
         assert _shown(format_estimates(df.drop("id"), ["<median>"])) == [("a", "n", "1")]
-    with pytest.warns(UserWarning, match="does not contain"):
+    with pytest.warns(UserWarning, match="without a <key>"):
         assert _shown(format_estimates(df.drop("id"), ["plain"])) == [("a", "n", "1")]
     assert format_estimates(df, None) is df
 
@@ -84,17 +84,35 @@ def test_split_places_values_by_position_and_fills(spark):
 @pytest.mark.parametrize("columns", [None, ["a", "b"], []])
 def test_unequal_lengths_fail(spark, columns):
     df = spark.createDataFrame([("a and b", "only one")], "n string, l string")
-    with pytest.raises(Exception, match="number does not match"):
+    with pytest.raises(Exception, match="different numbers of parts"):
         split_name_level(df, "n", "l", columns=columns).collect()
 
 
 def test_overwritten_columns_warn(spark):
     df = spark.createDataFrame([("x", "1", "old")], "n string, l string, x string")
-    with pytest.warns(UserWarning, match="overwritten"):
+    with pytest.warns(UserWarning, match="columns replaced"):
         out = split_name_level(df, "n", "l")
     assert out.collect()[0].x == "1"
 
 
+def test_parts_that_were_not_asked_for_fail(spark):
+    df = spark.createDataFrame([("age &&& region", "old &&& north")], "n string, l string")
+    with pytest.raises(Exception, match="not asked for"):
+        split_name_level(df, "n", "l", columns=["age"]).collect()
+
+
+def test_columns_clash_whatever_their_case(spark):
+    df = spark.createDataFrame([("Sex", "Both", "old")], "n string, l string, sex string")
+    with pytest.warns(UserWarning, match="columns replaced"):
+        out = split_name_level(df, "n", "l")
+    assert out.columns == ["Sex"] and out.collect()[0].Sex == "Both"
+
+
+def test_a_narrower_separator(spark):
+    df = spark.createDataFrame([("reason", "Sex: Both and age known")], "n string, l string")
+    assert split_name_level(df, "n", "l", separator=" &&& ").collect()[0].reason == "Sex: Both and age known"
+
+
 def test_split_all_without_strata(spark):
     df = spark.createDataFrame(
         [("c", "x", "overall", "overall", "overall", "overall")],
