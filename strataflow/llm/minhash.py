@@ -35,8 +35,7 @@ class Shingler:
         known = self.known
         if len(known) > CACHE:
             known.clear()
-        missing = [x for x in set(w) if x not in known]
-        known.update((x, xxhash.xxh64_intdigest(x, 1)) for x in missing)
+        known.update((x, xxhash.xxh64_intdigest(x, 1)) for x in set(w).difference(known))
         h = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
         size = min(self.words, len(h))
         rolled = np.full(len(h) - size + 1, size, np.uint64)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from typing import Iterator
 
@@ -30,10 +31,19 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# Byte-level vocabularies write each byte as a printable character: itself, or one from 256 on.
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_CHARACTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+TAILS = ".,!?;:"
+
+
 class Encoder:
     """Token ids of whole texts, from remembered ids of blank-separated words.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its words' ids.
+    The tokenizer drops white space and never joins across it, so a text's ids are its words' ids. It
+    also takes letters apart from marks: a word of letters only, lower-cased already or ASCII, with
+    one mark after it or none, goes to the vocabulary directly; every other word through the
+    tokenizer's own normalising and splitting.
     """
 
     def __init__(self, path: str):
@@ -42,20 +52,47 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self):
+        self.letters.clear()
+        self.known.clear()
+        self.known[""] = b""
+        self._whole(list(TAILS))
+
+    def _whole(self, words: list[str]):
+        for w, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False)):
+            self.known[w] = np.array(e.ids, "<u2").tobytes()
+
+    def _learn(self, words: set[str]):
+        known, letters, tokenize, others = self.known, self.letters, self.tokenizer.model.tokenize, []
+        for w in words:
+            core, tail = (w[:-1], known[w[-1]]) if w[-1] in TAILS else (w, b"")
+            if core.isascii():
+                core = core.lower()
+            elif not core.islower() or not unicodedata.is_normalized("NFC", core):
+                core = ""
+            if not core.isalpha():
+                others.append(w)
+                continue
+            ids = letters.get(core)
+            if ids is None:
+                shown = core if core.isascii() else core.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+                ids = letters[core] = b"".join([t.id.to_bytes(2, "little") for t in tokenize(shown)])
+            known[w] = ids + tail
+        self._whole(others)
 
     def __call__(self, batch: list[str]) -> list[np.ndarray]:
         """Ids of each text, the end id last; 16 bits hold the vocabulary's ids."""
         known = self.known
         if len(known) > CACHE:
-            known.clear()
-            known[""] = b""
+            self._forget()
         out, end = [], np.uint16(END_ID).tobytes()
         for text in batch:
             words = text.replace("\n", " ").split(" ")
-            missing = sorted({w for w in words if w not in known})
-            for w, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u2").tobytes()
+            self._learn(set(words).difference(known))
             out.append(np.frombuffer(b"".join(map(known.__getitem__, words)) + end, "<u2"))
         return out
 

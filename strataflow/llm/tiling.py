@@ -29,12 +29,12 @@ class Words:
         self.known: dict[bytes, int] = {}
 
     def __call__(self, text: str) -> np.ndarray:
-        w = text.encode().translate(self.TABLE).split(b" ")
+        w = text.encode().translate(self.TABLE).split()
         known = self.known
         if len(known) > CACHE:
             known.clear()
-        known.update((x, xxhash.xxh64_intdigest(x)) for x in set(w) if x not in known)
-        return np.fromiter((known[x] for x in w if x), np.uint64)
+        known.update((x, xxhash.xxh64_intdigest(x)) for x in set(w).difference(known))
+        return np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
 
 
 def rolling(words: np.ndarray, size: int) -> np.ndarray:

@@ -136,29 +136,39 @@ def estimate(patterns: list[str], counts: list[int], rounds: int = 60, prior: fl
 # ---- Hashed linear scorer -------------------------------------------------------------------------
 
 
+MARKS = ".,;:!?*#$%&|()[]{}<>\"'"
+
+
+def shape(word: str) -> str:
+    """Kind of the letters or digits, and the first marks after them."""
+    core = word.rstrip(MARKS)
+    if core.isalpha():
+        kind = "A" if core.isupper() and len(core) > 1 else "a" if core.islower() else "Aa"
+    else:
+        kind = "0" if core.isdigit() else "x" if core.isalnum() else "?" if core else ""
+    return kind + word[len(core) : len(core) + 3]
+
+
 class Hasher:
     """Unit-length vector of a text's hashed words, word shapes and repetitions."""
 
     def __init__(self):
-        self.known: dict[str, tuple[int, int]] = {}
+        self.known: dict[str, int] = {}
 
-    def _places(self, word: str) -> tuple[int, int]:
-        shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
-        shape = re.sub(r"(.)\1+", r"\1+", shape)
+    def _places(self, word: str) -> int:
         low = xxhash.xxh64_intdigest("w" + word.lower()) % DIMENSIONS
-        return low, xxhash.xxh64_intdigest("s" + shape) % DIMENSIONS
+        return low * DIMENSIONS + xxhash.xxh64_intdigest("s" + shape(word)) % DIMENSIONS
 
     def __call__(self, text: str) -> np.ndarray:
         words = text.split()
         known = self.known
         if len(known) > CACHE:
             known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = self._places(w)
-        at = np.array([known[w] for w in words], np.int64).ravel()
+        known.update((w, self._places(w)) for w in set(words).difference(known))
+        places = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        at = np.concatenate(np.divmod(places, DIMENSIONS))
         out = np.sqrt(np.bincount(at, minlength=DIMENSIONS)).astype(np.float32)
-        out[0] += np.float32(np.sqrt(sum(a == b for a, b in zip(words, words[1:]))))
+        out[0] += np.float32(np.sqrt(np.count_nonzero(places[1:] == places[:-1])))
         return out / np.float32(max(1e-6, np.sqrt(out @ out)))
 
 
@@ -178,7 +188,7 @@ def fit(x: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 0.1, decay
 
 
 def classify(docs: DataFrame, sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
-    """``doc_id``, ``votes``, ``weak_good`` (posterior of the votes), ``score``, ``keep`` of every row.
+    """``doc_id``, ``score``, ``keep`` of every row.
 
     Votes are counted over the whole table (at most 3^11 patterns reach the driver); the scorer learns
     the posteriors on about ``sample`` documents drawn by the hash of their text. ``score`` is its probability of good
@@ -195,7 +205,7 @@ def classify(docs: DataFrame, sample: int = SAMPLE, least: float = 0.5) -> DataF
     seen = materialise(map_rows(read, voted, "doc_id long, rk long, votes string"), "votes")
     patterns = seen.groupBy("votes").count().orderBy("votes").toArrow().to_pydict()
     if not patterns["votes"]:
-        return seen.select("doc_id", "votes", *[F.lit(0.0).alias(c) for c in ("weak_good", "score")], F.lit(False).alias("keep"))
+        return seen.select("doc_id", F.lit(0.0).alias("score"), F.lit(False).alias("keep"))
     _, _, good = estimate(patterns["votes"], patterns["count"])
 
     part = min(1.0, sample / sum(patterns["count"]))
@@ -220,9 +230,8 @@ def classify(docs: DataFrame, sample: int = SAMPLE, least: float = 0.5) -> DataF
         vector = Hasher()
         for b in batches:
             for i, t in zip(b["doc_id"], b["text"]):
-                v = votes(t)
                 x = vector(t)
                 score = float(1 / (1 + np.exp(-float(x @ weights) - bias))) if x.any() else 0.0
-                yield i, v, good[v], score, score >= least
+                yield i, score, score >= least
 
-    return map_rows(read, scored, "doc_id long, votes string, weak_good double, score double, keep boolean")
+    return map_rows(read, scored, "doc_id long, score double, keep boolean")

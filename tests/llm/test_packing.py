@@ -63,7 +63,8 @@ def test_odd_rows(odd, nothing, tokenizer):
 
 def test_words_encode_like_whole_texts(tokenizer):
     encode = packing.Encoder(packing.default_tokenizer())
-    texts = ["It's  we'll\tI'm\n\n'sx 'd", "é e\u0301 \u0301x", "<|endoftext|> a<|startoftext|>b", "x\u00a0y\u2003z \u0085", "12 3a4 !!?? 𝒳😀", "", " \n ", "İstanbul ΣΑΣ Σ"]
+    texts = ["It's  we'll\tI'm\n\n'sx 'd", "é e\u0301 \u0301x", "<|endoftext|> a<|startoftext|>b", "x\u00a0y\u2003z \u0085", "12 3a4 !!?? 𝒳😀", "", " \n ", "İstanbul ΣΑΣ Σ ς", "Than, ÉTÉ été. e\u0301te\u0301, ǅ ª º ß. ﬁ, 中文! ñ; don't: it's.", "x.. , .,", "".join(map(chr, range(0x250)))]
+    texts += [chr(c) + "a. " + "a" + chr(c) + ", " + chr(c) for c in range(0xA0, 0x3000, 7)]
     for text, ids in zip(texts, encode(texts)):
         assert ids.tolist() == ids_of(tokenizer, text)
 

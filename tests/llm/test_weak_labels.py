@@ -37,7 +37,7 @@ def test_odd_rows(odd, nothing):
     assert len(got) == odd.count()
     by = {}
     for r in got:
-        assert 0 <= r.score <= 1 and len(r.votes) == len(weak_labels.LABELLERS)
+        assert 0 <= r.score <= 1
         by.setdefault(r.doc_id, []).append(r)
     assert all(by[i][0].score == 0.0 and not by[i][0].keep for i in (1, 2, 3))
     assert by[7][0].score == by[8][0].score
