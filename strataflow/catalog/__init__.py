@@ -1,6 +1,6 @@
 """Queries registered for checking, the stand-in inputs they run on, and their SQL twins."""
 
-from . import model_queries, shape_queries, tidy_queries  # noqa: F401  (registration)
+from . import lake_queries, model_queries, shape_queries, tidy_queries  # noqa: F401  (registration)
 from .registry import QUERIES
 from .registry import SQL as SQL_TWINS
 

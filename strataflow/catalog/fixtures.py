@@ -120,6 +120,15 @@ def incidence(spark: SparkSession, sf_dir: str, persons: bool = True) -> DataFra
     )
 
 
+def with_intervals(df: DataFrame) -> DataFrame:
+    """Rows of other analysis intervals beside the monthly ones."""
+    months = F.col("n_events") * 3
+    other = [
+        df.withColumns({"analysis_interval": F.lit(name), "n_events": months}) for name in ("quarters", "years")
+    ]
+    return df.unionByName(other[0]).unionByName(other[1])
+
+
 def rates(spark: SparkSession, sf_dir: str, persons: bool = True) -> DataFrame:
     spread = F.lit(1.96) * F.sqrt("n_events")
 

@@ -15,11 +15,13 @@ SERIES_SQL = ", ".join(SERIES)
 
 
 def quarterly(spark, d):
-    return series.sr_series_quarterly(fx.incidence(spark, d, persons=False), timepoints=fx.TIMEPOINTS)
+    rows = fx.with_intervals(fx.incidence(spark, d, persons=False))
+    return series.sr_series_quarterly(rows, timepoints=fx.TIMEPOINTS)
 
 
 def monthly(spark, d):
-    return series.sr_series_monthly(fx.incidence(spark, d, persons=False), timepoints=fx.TIMEPOINTS)
+    rows = fx.with_intervals(fx.incidence(spark, d, persons=False))
+    return series.sr_series_monthly(rows, timepoints=fx.TIMEPOINTS)
 
 
 @query("sr_series_quarterly", "SELECT * FROM fx_sr_quarterly")

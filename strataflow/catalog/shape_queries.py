@@ -40,14 +40,18 @@ def country_dim(spark):
 
 @query(
     "left_join_attributes",
-    """SELECT c.*, a.denominator_sex, a.denominator_age_group FROM fx_characterisation c LEFT JOIN
-    (SELECT DISTINCT denominator_cohort_name, denominator_sex, denominator_age_group FROM fx_rates) a
-    ON c.group_level = a.denominator_cohort_name""",
+    """SELECT c.*, a.denominator_sex, a.denominator_age_group
+    FROM (SELECT * REPLACE (nullif(group_level, '5-LOW') AS group_level) FROM fx_characterisation) c LEFT JOIN
+    (SELECT DISTINCT denominator_cohort_name, denominator_sex, denominator_age_group FROM fx_rates
+     UNION ALL SELECT NULL, 'unknown', NULL) a
+    ON c.group_level IS NOT DISTINCT FROM a.denominator_cohort_name""",
 )
 def left_join_attributes(spark, d):
-    return joins.left_join_attributes(
-        fx.characterisation(spark, d), cohorts(spark, d), "group_level", "denominator_cohort_name"
-    )
+    """NULL keys on both sides match each other."""
+    rows = fx.characterisation(spark, d).withColumn("group_level", F.nullif("group_level", F.lit("5-LOW")))
+    unknown = spark.sql("SELECT cast(NULL AS string) denominator_cohort_name, 'unknown' denominator_sex, cast(NULL AS string) denominator_age_group")
+    attributes = cohorts(spark, d).unionByName(unknown)
+    return joins.left_join_attributes(rows, attributes, "group_level", "denominator_cohort_name")
 
 
 def cohorts(spark, d):

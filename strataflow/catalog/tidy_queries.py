@@ -45,12 +45,14 @@ def path_tag(spark, d):
     return projections.path_tag(pages, "url", [("/en/", "en"), ("/(fr|de)/", "fr or de")], "other", "tag")
 
 
-@query("csv_roundtrip", "SELECT * FROM fx_rates")
+@query("csv_roundtrip", """SELECT *, ' ' || outcome_cohort_name || chr(10) || '"x", ' AS note FROM fx_rates""")
 def csv_roundtrip(spark, d):
-    df = fx.rates(spark, d)
+    """Edge blanks, quotes and line breaks included. Writes when called."""
+    note = F.concat(F.lit(" "), "outcome_cohort_name", F.lit('\n"x", '))
+    df = fx.rates(spark, d).withColumn("note", note)
     path = shared_folder(spark, "export")
     files.write_export(df, path, ["database_name"])
-    return files.read_export(spark, path, df.schema)
+    return files.read_export(spark, path, df.schema, multi_line=True)
 
 
 @query(
@@ -65,8 +67,8 @@ def csv_roundtrip(spark, d):
     strftime(incidence_start_date, '%Y-%m') AS year_month FROM fx_rates""",
 )
 def load_results(spark, d):
-    """Result files of two layouts, written out and loaded back through the whole ETL."""
-    root = shared_folder(spark, "results")
+    """Result files of two layouts, written out and loaded back through the whole ETL. Writes when called."""
+    root = f"{shared_folder(spark, 'results')}/My DB [v1] 50%"
     df = fx.rates(spark, d).withColumnRenamed("database_name", "cdm_name")
     first = F.col("cdm_name").isin("ASIA", "AFRICA")
     one = df.filter(first).withColumn("analysis_id", F.lit(1))
@@ -282,7 +284,7 @@ def attrition_filter(spark, d):
 )
 def monthly_subset(spark, d):
     return filters.monthly_subset(
-        fx.incidence(spark, d), {"database_name": ["AFRICA"], "denominator_sex": ["O", "P"]}
+        fx.with_intervals(fx.incidence(spark, d)), {"database_name": ["AFRICA"], "denominator_sex": ["O", "P"]}
     )
 
 

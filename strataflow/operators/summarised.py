@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.missing import as_col, one_of
-from .joins import left_join_on, null_safe_anti_join
+from .joins import left_join_on
 from .projections import require_columns
 from .sets import bag_union, template_position
 from .sets import template_order as template_rank
@@ -154,10 +154,10 @@ def format_estimates(
     if keep_unformatted or not usable:
         left = df if keep_unformatted else df.filter(F.lit(False))
         if usable:
-            taken = settled.select(
-                *[as_col(c) for c in ids], F.explode(_taken_names(usable)).alias("estimate_name")
-            )
-            left = null_safe_anti_join(left, taken, [*ids, "estimate_name"])
+            # One join on the keys of the aggregation; a group's taken names come as one list.
+            taken = settled.select(*[as_col(c) for c in ids], _taken_names(usable).alias("__taken"))
+            gone = F.array_contains(as_col("__taken"), as_col("estimate_name"))
+            left = left_join_on(left, taken, ids).filter(~F.coalesce(gone, F.lit(False))).drop("__taken")
         names = [t.name for t in listed]
         if order is None:
             left = left.withColumn("format_id", template_position("estimate_name", names))

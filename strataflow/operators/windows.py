@@ -93,18 +93,24 @@ def trim_and_fill(
     )
 
 
-def nth_last_date(date_col: str, k: int) -> Column:
-    """Aggregate: the k-th last distinct date of a group; NULL when it has fewer.
+def nth_last_date(date_col: str, k: int, over=None) -> Column:
+    """Aggregate: the k-th last distinct date of a group, or of a window; NULL when it has fewer.
 
     Only distinct dates are gathered, and the calendar bounds those.
     """
-    return F.try_element_at(F.sort_array(F.collect_set(as_col(date_col)), asc=False), F.lit(k))
+    dates = F.collect_set(as_col(date_col))
+    return F.try_element_at(F.sort_array(dates if over is None else dates.over(over), asc=False), F.lit(k))
 
 
-def drop_last_dates(df: DataFrame, keys: Sequence[str], date_col: str, k: int = 5) -> DataFrame:
-    """Remove the rows of each series' last ``k`` distinct dates."""
+def drop_last_dates(
+    df: DataFrame, keys: Sequence[str], date_col: str, k: int = 5, written: bool = False
+) -> DataFrame:
+    """Remove the rows of each series' last ``k`` distinct dates.
+
+    ``written``: see :func:`with_group_stats`; the choice for a stored table of few series.
+    """
     return (
-        with_group_stats(df, keys, {"__cutoff": nth_last_date(date_col, k)})
+        with_group_stats(df, keys, {"__cutoff": nth_last_date(date_col, k)}, written)
         .filter(as_col(date_col) < as_col("__cutoff"))
         .drop("__cutoff")
     )

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from ..functions import numbers, quasipoisson, student_t
@@ -403,26 +404,23 @@ def forecast_plot_data(
     """Forecasts without lag, unrounded, with the observed rates, minus each series' last dates.
 
     ``raw`` is the output of ``raw_rate_series``; observed rates are shown for modelled series only.
-    Which series and dates there are is taken from the model input, so the models are fitted once.
+    Both are rolled up, so the cut needs one window over the rows of a series and no join.
     """
     modelled = _forecast(fit_segmented(series, keys, lagged=False, season=season), keys, None)
-    names = list(FORECAST_NAMES.values())
-    raw = raw.select(*modelled.columns)
-    points = outcome_gate(series, "outcome_cohort_name").select(
-        *[as_col(old).alias(new) for old, new in FORECAST_NAMES.items()],
-        as_col("incidence_start_date").alias("Date"),
-        F.lit(True).alias("__modelled"),
+    both = bag_union(
+        modelled.withColumn("__modelled", F.lit(True)),
+        raw.select(*modelled.columns, F.lit(False).alias("__modelled")),
     )
-    dates = bag_union(points, raw.select(*names, "Date", F.lit(False).alias("__modelled")))
-    cutoff = (
-        dates.groupBy(*[as_col(c) for c in names])
-        .agg(nth_last_date("Date", drop_last).alias("__cutoff"), F.bool_or("__modelled").alias("__modelled"))
-        .filter("__modelled")
-        .drop("__modelled")
+    # One row per series, model and period of the calendar: a series is small enough for a window.
+    series_rows = W.partitionBy(*[as_col(c) for c in FORECAST_NAMES.values()])
+    marked = both.withColumns(
+        {
+            "__cutoff": nth_last_date("Date", drop_last, over=series_rows),
+            "__shown": F.bool_or("__modelled").over(series_rows),
+        }
     )
-    # No cutoff, no match: observed rates of series that were not modelled fall out here.
-    both = left_join_on(bag_union(modelled, raw), cutoff, names)
-    return both.filter(as_col("Date") < as_col("__cutoff")).drop("__cutoff")
+    shown = marked.filter(as_col("__shown") & (as_col("Date") < as_col("__cutoff")))
+    return shown.drop("__cutoff", "__shown", "__modelled")
 
 
 def coefficients(fits: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
