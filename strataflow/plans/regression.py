@@ -24,7 +24,6 @@ from ..functions.missing import as_col, one_of
 from ..functions.quasipoisson import NOT_CONVERGED, OK, SATURATED, STATUS_NAMES, fit_block
 from ..functions.student_t import two_sided_p
 from ..operators.filters import POST_EVENT_PATTERN, outcome_gate
-from ..operators.joins import left_join_on
 from ..operators.projections import deviance_residuals
 from ..operators.sets import bag_union
 from ..operators.windows import lagged_count, nth_last_date

@@ -141,3 +141,46 @@ def test_written_sides_spare_the_shuffle_of_a_stored_table(spark, tmp_path):
     assert exchanges(written) == 0 and "BroadcastHashJoin" in plan_of(written)
     assert exchanges(lazy) > 0
     assert lazy.count() == 600 and lazy.exceptAll(written).count() == 0
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_few_groups_of_a_stored_table_are_written_first(spark, tmp_path, broadcast):
+    from strataflow.operators.sets import template_order
+
+    rows = spark.range(600).select(
+        F.concat(F.lit("n"), F.col("id") % 5).alias("estimate_name"),
+        F.date_add(F.lit("2019-01-01").cast("date"), (F.col("id") / 5).cast("int")).alias("d"),
+        F.col("id").alias("row"),
+    )
+    rows.write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    limits = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k, None) for k in limits}
+    try:
+        if not broadcast:
+            for k in limits:
+                spark.conf.set(k, "-1")
+        for f in (
+            lambda w: template_order(stored, ["n3", "n1"], "row", written=w),
+            lambda w: windows.drop_last_dates(stored, ["estimate_name"], "d", 5, written=w),
+        ):
+            lazy, written = f(False), f(True)
+            # Broadcast: the table is not shuffled. Without: its rows once, by the key.
+            assert exchanges(written) == (0 if broadcast else 2)
+            assert lazy.exceptAll(written).count() == 0 and lazy.count() == written.count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_forecast_plot_data_computes_a_series_once_and_joins_nothing(raw):
+    rates = raw.withColumns({c: F.col("n_events") for c in ("incidence", "incidence_95CI_lower", "incidence_95CI_upper")})
+    modelled = series.sr_series_quarterly(raw, timepoints=["2020-04-01"])
+    out = regression.forecast_plot_data(modelled, series.raw_rate_series(rates, ["2020-04-01"]))
+    assert exchanges(out) == 3 and "Join" not in plan_of(out)
+
+
+def test_unformatted_rows_come_by_one_join_on_the_groups(spark):
+    df = spark.createDataFrame([], SUMMARISED)
+    out = format_estimates(df, ["<count>", "<mean> (<min> to <max>)"], known_names=["count", "mean", "min", "max"])
+    assert plan_of(out).count("Join") <= 1 and "Generate explode" not in plan_of(out)
