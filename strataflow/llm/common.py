@@ -82,6 +82,26 @@ def bit_filter(hashes: DataFrame, column: str = "h") -> np.ndarray:
     return out
 
 
+def may_be_in(table, h: Column) -> Column:
+    """Whether a row's hash passes a broadcast bit table."""
+
+    @F.arrow_udf("boolean")
+    def test(hashes: pa.Array) -> pa.Array:
+        return pa.array(passes(table.value, hashes.to_numpy(zero_copy_only=False)))
+
+    return test(h)
+
+
+def apart(df: DataFrame, h: Column, hashes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two parts: rows whose hash is among ``hashes`` (column ``h``), with a few more, and the rest.
+
+    Few rows of a table are often concerned by a join; so only those are shuffled for it. Reads ``df`` twice.
+    """
+    bits = df.sparkSession.sparkContext.broadcast(bit_filter(hashes))
+    hit = may_be_in(bits, h)
+    return df.filter(hit), df.filter(~hit)
+
+
 def _place(h: Column, which: int, bits: int) -> Column:
     return F.shiftrightunsigned(h, 5 + 27 * which).bitwiseAND(F.lit((1 << bits) - 1)).cast("long")
 

@@ -6,13 +6,13 @@ import hashlib
 from typing import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialise
-from .common import bit_filter, map_rows, passes, text_key, texts
+from .common import apart, bit_filter, map_rows, passes, text_key, texts
 
 LONG_LINE = 50  # words; such a line is a chunk of its own
 MEAN_LINES = 2
@@ -83,14 +83,15 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     places = places.join(twice, "h", "left_semi")
     owners = places.groupBy("h", "chunk").agg(F.min(place).alias("owner"), F.max(place).alias("last"))
     owners = owners.filter(~F.col("owner").eqNullSafe(F.col("last"))).drop("last")
-    copies = places.join(owners, ["h", "chunk"]).filter(~place.eqNullSafe(F.col("owner")))
+    # Both sides grow with the input: a merge at every size, in which a hot chunk can be split.
+    copies = places.join(owners.hint("merge"), ["h", "chunk"]).filter(~place.eqNullSafe(F.col("owner")))
     return copies.select("doc_id", "rk", "first_line", "n_lines").distinct()
 
 
 def _without(text, ranges):
-    @F.pandas_udf("string")
-    def cleaned(text: pd.Series, ranges: pd.Series) -> pd.Series:
-        return pd.Series([_drop(t, r) for t, r in zip(text, ranges)], dtype=object)
+    @F.arrow_udf("string")
+    def cleaned(text: pa.Array, ranges: pa.Array) -> pa.Array:
+        return pa.array([_drop(t.as_py(), r.as_py()) for t, r in zip(text, ranges)], pa.string())
 
     return cleaned(text, ranges)
 
@@ -113,13 +114,19 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     )
     ranges = materialise(ranges.select(F.col("doc_id").alias("__id"), F.col("rk").alias("__rk"), "__ranges", "__lines"), "ranges")
     marked = docs.withColumn("__key", text_key())
-    same = marked["doc_id"].cast("long").eqNullSafe(ranges["__id"]) & (marked["__key"] == ranges["__rk"])
-    joined = marked.join(ranges, same, "left")
+    place = F.xxhash64(F.col("doc_id").cast("long"), "__key")
+    # Only texts that may lose lines are shuffled.
+    concerned, rest = apart(marked, place, ranges.select(F.xxhash64("__id", "__rk").alias("h")))
+    same = concerned["doc_id"].cast("long").eqNullSafe(ranges["__id"]) & (concerned["__key"] == ranges["__rk"])
+    joined = concerned.join(ranges.hint("merge"), same, "left")
     hit = F.when(F.col("__ranges").isNotNull(), F.col("text"))
     cleaned = joined.withColumn("__clean", _without(hit, F.col("__ranges")))
     kept = F.when(F.col("__ranges").isNotNull(), F.col("__clean")).otherwise(F.col("text")).alias("text")
-    columns = [kept if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns if c.lower() != "removed_lines"]
-    return cleaned.select(*columns, F.coalesce("__lines", F.lit(0)).cast("long").alias("removed_lines"))
+    others = [c for c in docs.columns if c.lower() != "removed_lines"]
+    columns = [kept if c.lower() == "text" else F.col(f"`{c}`") for c in others]
+    cleaned = cleaned.select(*columns, F.coalesce("__lines", F.lit(0)).cast("long").alias("removed_lines"))
+    unchanged = rest.select(*[F.col(f"`{c}`") for c in others], F.lit(0).cast("long").alias("removed_lines"))
+    return cleaned.unionByName(unchanged)
 
 
 def with_lengths(docs: DataFrame) -> DataFrame:
