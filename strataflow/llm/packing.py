@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import unicodedata
 import zlib
+from array import array
 from typing import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ END_ID = 1
 SHARD_TOKENS = 2_000_000  # tokens of one shard's index, about: the unit of retrieval and of parallel work
 QUERY_TERMS = 12
 K1, B = 1.2, 0.75
-CACHE = 400_000
+CACHE = 100_000
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -34,16 +35,16 @@ def default_tokenizer() -> str:
 # Byte-level vocabularies write each byte as a printable character: itself, or one from 256 on.
 _SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 BYTE_CHARACTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
-TAILS = ".,!?;:"
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Encoder:
     """Token ids of whole texts, from remembered ids of blank-separated words.
 
     The tokenizer drops white space and never joins across it, so a text's ids are its words' ids. It
-    also takes letters apart from marks: a word of letters only, lower-cased already or ASCII, with
-    one mark after it or none, goes to the vocabulary directly; every other word through the
-    tokenizer's own normalising and splitting.
+    also takes letters apart from marks: a word of letters with ASCII marks after it, or none, goes to
+    the vocabulary directly; every other word, and what normalising or lower-casing treats by its
+    surroundings, through the tokenizer's own steps.
     """
 
     def __init__(self, path: str):
@@ -60,7 +61,6 @@ class Encoder:
         self.letters.clear()
         self.known.clear()
         self.known[""] = b""
-        self._whole(list(TAILS))
 
     def _whole(self, words: list[str]):
         for w, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False)):
@@ -69,19 +69,27 @@ class Encoder:
     def _learn(self, words: set[str]):
         known, letters, tokenize, others = self.known, self.letters, self.tokenizer.model.tokenize, []
         for w in words:
-            core, tail = (w[:-1], known[w[-1]]) if w[-1] in TAILS else (w, b"")
-            if core.isascii():
-                core = core.lower()
-            elif not core.islower() or not unicodedata.is_normalized("NFC", core):
-                core = ""
+            core = w.rstrip(MARKS)
             if not core.isalpha():
                 others.append(w)
                 continue
-            ids = letters.get(core)
+            low = core.lower()
+            ids = letters.get(low)
             if ids is None:
-                shown = core if core.isascii() else core.encode().decode("latin-1").translate(BYTE_CHARACTERS)
-                ids = letters[core] = b"".join([t.id.to_bytes(2, "little") for t in tokenize(shown)])
-            known[w] = ids + tail
+                if low.isascii():
+                    shown = low
+                elif "\u03a3" in core or "\u0130" in core or not unicodedata.is_normalized("NFC", core):
+                    others.append(w)
+                    continue
+                else:
+                    shown = low.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+                ids = letters[low] = array("H", [t.id for t in tokenize(shown)]).tobytes()
+            if core is not w and len(core) < len(w):
+                tail = w[len(core) :]
+                if tail not in known:
+                    self._whole([tail])
+                ids += known[tail]
+            known[w] = ids
         self._whole(others)
 
     def __call__(self, batch: list[str]) -> list[np.ndarray]:
