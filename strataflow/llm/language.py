@@ -218,18 +218,16 @@ def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
     net = train(x, y, len(names)) if len(x) else None
     state: dict = {}
 
-    @F.pandas_udf("boolean")
-    def identified(batch):
-        import pandas as pd
-
+    @F.arrow_udf("boolean")
+    def identified(batch: pa.Array) -> pa.Array:
         if "scorer" not in state:
             state["scorer"] = Scorer(net) if net else None
         out: list[bool] = []
         for at in range(0, len(batch), 256):
-            part = list(batch[at : at + 256])
+            part = batch.slice(at, 256).to_pylist()
             got = _predict(pa.nulls(len(part)), part, state["scorer"], names)
             pairs = zip(got["lang_pred"].to_pylist(), got["score"].to_pylist())
             out += [lang != UNKNOWN and s >= least for lang, s in pairs]
-        return pd.Series(out, dtype=bool)
+        return pa.array(out, pa.bool_())
 
     return docs.filter(identified("text"))

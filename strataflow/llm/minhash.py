@@ -15,7 +15,7 @@ from .common import map_rows, texts, text_key
 
 PERMUTATIONS = 128
 BAND_ROWS = 6
-CACHE = 300_000
+CACHE = 100_000
 _RNG = np.random.Generator(np.random.PCG64(7))
 _A = (_RNG.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)

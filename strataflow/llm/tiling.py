@@ -14,7 +14,7 @@ from .common import bit_filter, map_rows, passes, text_key, texts
 
 SEED_WORDS = 5
 COVERAGE = 0.6
-CACHE = 300_000
+CACHE = 100_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 

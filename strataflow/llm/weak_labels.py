@@ -16,7 +16,7 @@ from .common import map_rows, text_key, texts
 
 DIMENSIONS = 4096
 SAMPLE = 4000  # documents the scorer is trained on, about
-CACHE = 300_000
+CACHE = 100_000
 SYMBOLS = re.compile(r"[^\w\s.,;:'\"()-]")
 GOOD, BAD, ABSTAIN = 1, -1, 0
 
