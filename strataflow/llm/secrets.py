@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialise
 from .common import text_key, texts
 
 # ---- Fixed values: the base patterns, in the order that breaks ties -------------------------------
@@ -87,7 +88,8 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     )
     # A weak part that overlaps a base finding is that finding.
     free = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    found = found.withColumn("weak", free)
+    # Places only, without texts: written once, as three steps below read it.
+    found = materialise(found.withColumn("weak", free), "found")
 
     linked = _linked(found, scope)
     back = found.alias("f").join(
