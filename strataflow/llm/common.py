@@ -16,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches hold few rows, as rows are whole texts: a session setting, lowered if it is higher."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, rows)
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` alone; a null text is an empty one. Other columns cannot clash."""
     return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -44,6 +52,7 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[dict]], Iterator[tuple]], s
                 out = []
         if out:
             yield flush(out)
+        pa.default_memory_pool().release_unused()  # the worker process lives on
 
     def small(batches):
         # Python objects of a few hundred rows at a time, however long the texts are.
