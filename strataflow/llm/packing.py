@@ -21,7 +21,7 @@ END_ID = 1
 SHARD_TOKENS = 2_000_000  # tokens of one shard's index, about: the unit of retrieval and of parallel work
 QUERY_TERMS = 12
 K1, B = 1.2, 0.75
-CACHE = 100_000
+CACHE = 400_000  # words a worker remembers: about 200 bytes each
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -47,12 +47,13 @@ class Encoder:
     surroundings, through the tokenizer's own steps.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.cache = cache
         self.known: dict[str, bytes] = {}
         self.letters: dict[str, bytes] = {}
         self._forget()
@@ -95,7 +96,7 @@ class Encoder:
     def __call__(self, batch: list[str]) -> list[np.ndarray]:
         """Ids of each text, the end id last; 16 bits hold the vocabulary's ids."""
         known = self.known
-        if len(known) > CACHE:
+        if len(known) > self.cache:
             self._forget()
         out, end = [], np.uint16(END_ID).tobytes()
         for text in batch:
@@ -109,14 +110,14 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def tokenised(docs: DataFrame, path: str) -> DataFrame:
+def tokenised(docs: DataFrame, path: str, cache: int = CACHE) -> DataFrame:
     """Full windows (checksum only), the rest of each document (its ids), and counts of documents by token.
 
     A row without a doc_id can be any of them: ``kind`` is w, r or c.
     """
 
     def rows(batches: Iterator[dict]):
-        encode = Encoder(path)
+        encode = Encoder(path, cache)
         having = np.zeros(1 << 16, np.int64)
         for b in batches:
             for doc_id, ids in zip(b["doc_id"], encode(b["text"])):
@@ -223,7 +224,7 @@ def pack_units(units: list[np.ndarray], index: Index) -> Iterator[list[tuple[int
         yield window
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, cache: int = CACHE) -> DataFrame:
     """Pieces of all documents, in sequences of at most 2048 tokens.
 
     A null text counts as empty and is one piece, the end id alone. Rows that share a doc_id are packed
@@ -234,7 +235,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     document has; what it holds is bounded by the average of ``SHARD_TOKENS``. Term statistics come from all documents.
     """
     path = tokenizer or default_tokenizer()
-    parts = tokenised(docs, path).withColumn("row", F.monotonically_increasing_id())
+    parts = tokenised(docs, path, cache).withColumn("row", F.monotonically_increasing_id())
     parts = materialise(parts, "tokens")
     rest = parts.filter("kind = 'r'").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("tokens")).first()
     rows = parts.filter("kind <> 'c'")
