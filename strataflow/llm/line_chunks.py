@@ -45,9 +45,47 @@ def chunks(text: str) -> Iterator[tuple[int, int, str]]:
             first = i + 1
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
+def windows(text: str) -> Iterator[tuple[int, int, bytes]]:
+    """(first line, lines, bytes) of the shortest runs of lines with ``LONG_LINE`` words or more.
+
+    For each line there is the shortest run that starts with it and the shortest that ends with it, each
+    once. Wherever a passage of so many words stands, its lines are covered by such runs within it: a
+    line with enough words after it by the run that starts there, one with enough before it by the run that
+    ends there, any other by the last run of the passage that starts before it.
+    """
+    raw = text.encode()
+    lines = raw.split(b"\n")
+    ends = np.cumsum([len(line.split()) for line in lines])
+    starts = np.cumsum([0, *(len(line) + 1 for line in lines)]).tolist()
+    before = np.concatenate([[0], ends[:-1]])
+    last = np.searchsorted(ends, before + LONG_LINE)
+    first = np.searchsorted(before, ends - LONG_LINE, side="right") - 1
+    runs = {(a, b) for a, b in enumerate(last.tolist()) if b < len(lines)}
+    runs |= {(a, b) for b, a in enumerate(first.tolist()) if a >= 0}
+    for a, b in sorted(runs):
+        yield a, b + 1 - a, raw[starts[a] : starts[b + 1] - 1]
+
+
+def _pieces(text: str, whole: bool) -> Iterator[tuple[int, int, bytes, bool]]:
+    """(first line, lines, bytes, whether a window) of the chunks and, if ``whole``, of the windows."""
+    for first, n, chunk in chunks(text):
+        yield first, n, chunk.encode(), False
+    if whole:
+        for first, n, piece in windows(text):
+            yield first, n, piece, True
+
+
+def _signed_hash(piece: bytes, window: bool) -> int:
+    return xxhash.xxh64_intdigest(piece, int(window)) - (1 << 63)
+
+
+def repeated_chunks(docs: DataFrame, whole: bool = False) -> DataFrame:
     """``doc_id``, ``rk``, ``first_line``, ``n_lines`` of every chunk to remove.
 
+    With ``whole``, of every window to remove too: so each repeated passage of ``LONG_LINE`` words or more
+    goes wholly, wherever chunks end. A window that overlaps the first place itself stays. Windows
+    overlap, so they are compared by their SHA-256 instead of their bytes.
+
     Of chunks with equal bytes anywhere in the table the first place stays: smallest doc_id (null
     first), then text hash, then line. Rows equal in doc_id and text are one document.
 
@@ -60,8 +98,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     def hashed(batches: Iterator[dict]):
         for b in batches:
             for i, k, t in zip(b["doc_id"], b["rk"], b["text"]):
-                for first, _, chunk in chunks(t):
-                    yield i, k, first, xxhash.xxh64_intdigest(chunk.encode()) - (1 << 63)
+                for first, _, piece, window in _pieces(t, whole):
+                    yield i, k, first, _signed_hash(piece, window)
 
     seen = map_rows(read, hashed, "doc_id long, rk long, first_line int, h long")
     twice = seen.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b"))
@@ -71,20 +109,26 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     def suspected(batches: Iterator[dict]):
         for b in batches:
             found = [
-                (i, k, first, n, xxhash.xxh64_intdigest(chunk.encode()) - (1 << 63), chunk)
+                (i, k, first, n, _signed_hash(piece, window), piece, window)
                 for i, k, t in zip(b["doc_id"], b["rk"], b["text"])
-                for first, n, chunk in chunks(t)
+                for first, n, piece, window in _pieces(t, whole)
             ]
             if found:
                 hits = passes(bits.value, np.array([f[4] for f in found], np.int64))
-                yield from (f for f, hit in zip(found, hits) if hit)
+                for (*f, piece, window), hit in zip(found, hits):
+                    if hit:
+                        yield *f, hashlib.sha256(piece).hexdigest() if window else piece.decode(), window
 
-    places = map_rows(read, suspected, "doc_id long, rk long, first_line int, n_lines int, h long, chunk string")
+    places = map_rows(read, suspected, "doc_id long, rk long, first_line int, n_lines int, h long, chunk string, window boolean")
     places = places.join(twice, "h", "left_semi")
-    owners = places.groupBy("h", "chunk").agg(F.min(place).alias("owner"), F.max(place).alias("last"))
+    owners = places.groupBy("h", "chunk", "window").agg(F.min(place).alias("owner"), F.max(place).alias("last"))
     owners = owners.filter(~F.col("owner").eqNullSafe(F.col("last"))).drop("last")
     # Both sides grow with the input: a merge at every size, in which a hot chunk can be split.
-    copies = places.join(owners.hint("merge"), ["h", "chunk"]).filter(~place.eqNullSafe(F.col("owner")))
+    copies = places.join(owners.hint("merge"), ["h", "chunk", "window"]).filter(~place.eqNullSafe(F.col("owner")))
+    if whole:
+        same = F.col("doc_id").eqNullSafe(F.col("owner.doc_id")) & (F.col("rk") == F.col("owner.rk"))
+        over = F.col("first_line") < F.col("owner.first_line") + F.col("n_lines")
+        copies = copies.filter(~(F.col("window") & same & over))
     return copies.select("doc_id", "rk", "first_line", "n_lines").distinct()
 
 
@@ -103,15 +147,18 @@ def _drop(text, ranges):
     return "\n".join(line for i, line in enumerate(text.split("\n")) if i not in gone)
 
 
-def remove_repeated(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated chunks taken out of ``text``, and ``removed_lines``; other columns as they are.
+def remove_repeated(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """``docs`` with repeated chunks, and repeated windows if ``whole``, taken out of ``text``, and ``removed_lines``; other columns as they are.
 
     A column named ``removed_lines`` is replaced. Lines end at line feeds. A null text stays null, a text all of whose lines go becomes empty, and no row goes.
     """
-    gone = repeated_chunks(docs)
+    gone = repeated_chunks(docs, whole)
     ranges = gone.groupBy("doc_id", "rk").agg(
         F.collect_list(F.struct("first_line", "n_lines")).alias("__ranges"), F.sum("n_lines").alias("__lines")
     )
+    if whole:
+        each = F.transform("__ranges", lambda r: F.sequence(r.first_line, r.first_line + r.n_lines - 1))
+        ranges = ranges.withColumn("__lines", F.size(F.array_distinct(F.flatten(each))).cast("long"))
     ranges = materialise(ranges.select(F.col("doc_id").alias("__id"), F.col("rk").alias("__rk"), "__ranges", "__lines"), "ranges")
     marked = docs.withColumn("__key", text_key())
     place = F.xxhash64(F.col("doc_id").cast("long"), "__key")

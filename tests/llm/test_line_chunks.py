@@ -75,3 +75,41 @@ def test_long_passages_go_and_single_short_lines_stay(spark):
         assert one not in got[k] and short in got[k]
         left = sum(x in got[k] for x in many.split("\n"))
         assert left <= 8
+
+
+def test_repeated_passages_go_wholly(spark):
+    rng = random.Random(11)
+    line = lambda n: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(n))
+    passages = [[line(rng.randint(5, 24) + 24 * (k == 2)) for _ in range(k)] for k in (2, 2, 3, 4, 7, 12) for _ in range(8)]
+    passages = [p for p in passages if sum(len(x.split()) for x in p) >= 50]
+    assert len(passages) > 25 and min(map(len, passages)) == 2
+    rows, alone = [(0, "\n".join(x for p in passages for x in [line(9), *p]))], []
+    for p in passages:
+        alone.append([line(rng.randint(3, 20)) for _ in range(4)])
+        rows.append((len(rows), "\n".join([*alone[-1][:2], *p, *alone[-1][2:]])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.removed_lines) for r in line_chunks.remove_repeated(df, whole=True).collect()}
+    assert got[0] == (rows[0][1], 0)
+    for k, (p, own) in enumerate(zip(passages, alone), 1):
+        assert got[k] == ("\n".join(own), len(p))
+
+
+def test_first_place_of_a_passage_that_repeats_itself_stays_whole(spark):
+    line = " ".join(f"w{k}" for k in range(20))
+    rows = [(1, "\n".join([line] * 12)), (2, "\n".join(["a b", *[line] * 5]))]
+    got = {r.doc_id: r.text for r in line_chunks.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string"), whole=True).collect()}
+    assert got[1].startswith(line) and got[2] == "a b"
+
+
+def test_windows_cover_every_passage():
+    rng = random.Random(3)
+    for _ in range(60):
+        sizes = [rng.choice([0, 1, 4, 9, 20, 49, 50, 70]) for _ in range(rng.randint(1, 12))]
+        text = "\n".join(" ".join(["w"] * n) for n in sizes)
+        runs = [(a, a + n) for a, n, piece in line_chunks.windows(text)]
+        for (a, b), (_, _, piece) in zip(runs, line_chunks.windows(text)):
+            assert piece.decode() == "\n".join(text.split("\n")[a:b]) and sum(sizes[a:b]) >= 50
+        for a in range(len(sizes)):
+            for b in range(a + 1, len(sizes) + 1):
+                if sum(sizes[a:b]) >= 50:
+                    assert {k for x, y in runs if a <= x and y <= b for k in range(x, y)} >= {k for k in range(a, b) if sizes[k]}
