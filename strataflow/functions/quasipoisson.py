@@ -17,6 +17,12 @@ ALIAS_TOLERANCE = 1e-9
 # Steps after convergence; each doubles the digits.
 POLISH = 2
 
+# A step that leaves the domain or raises the deviance is halved, this often at most.
+HALVINGS = 30
+
+# Linear predictors beyond this, about 1e300 counts or as small a part of one, are outside the domain.
+FARTHEST = 690.0
+
 OK, SATURATED, NO_ROWS, NO_PERSON_TIME, NOT_CONVERGED = range(5)
 STATUS_NAMES = ("ok", "saturated", "no_rows", "zero_person_time", "not_converged")
 
@@ -96,12 +102,36 @@ def _deviance(y: np.ndarray, mu: np.ndarray, used: np.ndarray) -> np.ndarray:
     counts; for small r a few terms of the series are exact to the last digit.
     """
     safe_mu = np.where(used, mu, 1.0)
-    r = np.where(used, (y - safe_mu) / safe_mu, 0.0)
+    with np.errstate(over="ignore"):
+        r = np.where(used, (y - safe_mu) / safe_mu, 0.0)
     near = np.abs(r) < 1e-3
-    far = np.where(near | (r <= -1), 1.0, r)
-    part = np.where(near, r * r * (1 / 2 - r * (1 / 6 - r * (1 / 12 - r * (1 / 20 - r / 30)))), (1 + far) * np.log1p(far) - far)
+    far = np.where(near | (r <= -1) | (r > 1e3), 1.0, r)
+    small = np.where(near, r, 0.0)
+    series = small * small * (1 / 2 - small * (1 / 6 - small * (1 / 12 - small * (1 / 20 - small / 30))))
+    part = np.where(near, series, (1 + far) * np.log1p(far) - far)
     part = np.where(r <= -1, 1.0, part)
-    return 2.0 * np.where(used, safe_mu * part, 0.0).sum(axis=1)
+    # Far above a tiny mean nothing cancels, and the ratio may not even be a number.
+    above = np.where(r > 1e3, y, 1.0)
+    whole = np.where(r > 1e3, above * (np.log(above) - np.log(safe_mu)) - (above - safe_mu), safe_mu * part)
+    return 2.0 * np.where(used, whole, 0.0).sum(axis=1)
+
+
+def _evaluated(basis: np.ndarray, coef: np.ndarray, off: np.ndarray, y: np.ndarray, used: np.ndarray):
+    """Linear predictor, means and deviance of coefficients; the deviance is infinite outside the domain."""
+    linear = np.einsum("snk,sk->sn", basis, coef) + off
+    inside = ~(used & ~(np.abs(linear) < FARTHEST)).any(axis=1)
+    mu = np.where(used & inside[:, None], np.exp(np.clip(linear, -FARTHEST, FARTHEST)), 1.0)
+    dev = _deviance(y, mu, used & inside[:, None])
+    return linear, mu, np.where(inside, dev, np.inf)
+
+
+def _direction(basis, coef, off, y, used, kept) -> np.ndarray:
+    """Newton's step from ``coef``, by singular values of the weighted terms instead of their products."""
+    _, mu, _ = _evaluated(basis, coef, off, y, used)
+    root = np.sqrt(np.where(used, mu, 0.0))
+    pull = np.where(used, (y - mu) / np.where(used, root, 1.0), 0.0)
+    inverse = np.linalg.pinv(basis * root[:, :, None], rcond=1e-14)
+    return np.einsum("skn,sn->sk", inverse, pull) * kept
 
 
 def fit_block(
@@ -115,7 +145,8 @@ def fit_block(
     """Fit every series on its used rows and predict all of its rows.
 
     A series has converged when its deviance changes by less than ``tolerance``, relatively; it then
-    takes ``POLISH`` more steps, which bring its coefficients to the last digits.
+    takes ``POLISH`` more steps, which bring its coefficients to the last digits. Until then a step that
+    leaves the domain, or raises the deviance by more than the tolerance, is halved, each series for itself.
     """
     n_series, n_rows, n_terms = x.shape
     n_obs = used.sum(axis=1)
@@ -147,10 +178,14 @@ def fit_block(
     off = np.where(used, offset, 0.0)
     basis, factor, kept = _orthonormal_terms(known_x, used)
 
+    # The first working values come from the counts; the first step must improve on a constant rate.
     mu = np.where(used, yy + 0.1, 1.0)
     eta = np.log(mu)
-    coef = np.zeros((at.size, n_terms))
-    dev = _deviance(yy, mu, used)
+    total, time = yy.sum(axis=1), np.where(used, np.exp(off), 0.0).sum(axis=1)
+    rate = np.log(np.maximum(total, 0.1) / time)
+    coef = np.einsum("snk,s->sk", basis, rate)
+    _, _, dev = _evaluated(basis, coef, off, yy, used)
+    first = np.ones(at.size, dtype=bool)
     rounds = np.zeros(at.size, dtype=int)
     done = np.zeros(at.size, dtype=bool)
     failed = np.zeros(at.size, dtype=bool)
@@ -164,24 +199,48 @@ def fit_block(
         working = np.where(u, eta[go] - off[go] + (yy[go] - m) / m, 0.0)
         right = np.einsum("snk,sn->sk", b, weight * working)
         new = _solve(_information(b, weight, kept[go]), right[:, :, None])[:, :, 0]
-        linear = np.einsum("snk,sk->sn", b, new) + off[go]
-        with np.errstate(over="ignore"):
-            new_mu = np.where(u, np.exp(linear), 1.0)
-        new_dev = _deviance(yy[go], new_mu, u)
-        bad = ~np.isfinite(new_dev) | (np.where(u, new_mu, 1.0) <= 0).any(axis=1)
-        good = go[~bad]
+        linear, new_mu, new_dev = _evaluated(b, new, off[go], yy[go], u)
         rounds[go] += 1
+        bar = dev[go] + tolerance * (np.abs(dev[go]) + 0.1)
+        astray = ~(new_dev <= bar) | ~np.isfinite(new_dev)
+        cut = astray.copy()
+        h = np.flatnonzero(astray & ~done[go])
+        if h.size:
+            # Weights that span many magnitudes spoil the normal equations: the step is solved for again, then shortened.
+            here = coef[go[h]]
+            way = _direction(b[h], here, off[go[h]], yy[go[h]], u[h], kept[go[h]])
+            far = np.abs(np.einsum("snk,sk->sn", b[h], way) * u[h]).max(axis=1)
+            part = np.log1p(far) / np.maximum(far, 1e-300)
+            for _ in range(HALVINGS):
+                new[h] = here + part[:, None] * way
+                linear[h], new_mu[h], new_dev[h] = _evaluated(b[h], new[h], off[go[h]], yy[go[h]], u[h])
+                astray[h] = ~(new_dev[h] <= bar[h]) | ~np.isfinite(new_dev[h])
+                part = np.where(astray[h], part / 2, part)
+                if not astray[h].any():
+                    break
+            # Close to the minimum a whole step and a shortened one are the same.
+            cut[h] = part * far < np.minimum(far, 1) * 0.5
+            cut[h] |= far > 1e-3
         # A step that goes astray after convergence is not taken.
-        failed[go[bad]] = ~done[go[bad]]
-        polish[go[bad]] = 0
+        failed[go[astray]] = ~done[go[astray]]
+        polish[go[astray]] = 0
+        kept_step = ~astray
+        good = go[kept_step]
         polish[good] -= done[good]
-        done[good] |= (np.abs(new_dev - dev[go]) / (np.abs(new_dev) + 0.1) < tolerance)[~bad]
+        change = np.abs(new_dev[kept_step] - dev[good])
+        # A shortened step may change little far from the minimum; only a whole one tells.
+        done[good] |= (change < tolerance * (np.abs(new_dev[kept_step]) + 0.1)) & ~first[good] & ~cut[kept_step]
+        first[good] = False
         coef[good], mu[good], eta[good], dev[good] = (
-            new[~bad],
-            new_mu[~bad],
-            linear[~bad],
-            new_dev[~bad],
+            new[kept_step],
+            new_mu[kept_step],
+            linear[kept_step],
+            new_dev[kept_step],
         )
+    # What no step could improve stays where its series began or was last.
+    never = np.flatnonzero(first)
+    if never.size:
+        eta[never], mu[never], dev[never] = _evaluated(basis[never], coef[never], off[never], yy[never], used[never])
 
     rank = kept.sum(axis=1)
     df = fit.n_obs[at] - rank

@@ -288,7 +288,7 @@ def fit_segmented(
     gate: str | None = POST_EVENT_PATTERN,
     outcome_col: str = "outcome_cohort_name",
     tolerance: float = 1e-8,
-    max_iterations: int = 25,
+    max_iterations: int = 50,
 ) -> DataFrame:
     """Fit the models to every series: one row per series and model.
 

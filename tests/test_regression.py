@@ -10,6 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import functions as F
 
+from strataflow.functions.quasipoisson import OK, fit_block
 from strataflow.functions.student_t import two_sided_p
 from strataflow.plans import regression as rg
 
@@ -204,3 +205,73 @@ def test_residuals_of_a_fit_that_did_not_converge_stay(spark):
     out = rg.residual_series(fits).collect()
     assert len(out) == 24 and {r.status for r in out} == {"not_converged"}
     assert {r.status for r in rg.residual_acf(fits).collect()} == {"not_converged"}
+
+
+def _spiky(mean, size, second=False, n_series=1500, n=28, seed=7):
+    """Lagged series with spikes of up to 10^size times the rest: plain reweighting overshoots on some of them."""
+    rng = np.random.default_rng(seed)
+    y = rng.poisson(mean, (n_series, n)).astype(float) + 1
+    for k in range(n_series):
+        for _ in range(rng.integers(1, 3)):
+            y[k, rng.integers(n)] *= 10.0 ** rng.uniform(1, size)
+        if second:
+            y[k, rng.integers(n)] += 10.0 ** rng.uniform(1, 5)
+    y = np.round(y)
+    pt = 1000.0 + rng.integers(0, 100, (n_series, n))
+    time = np.tile(np.arange(1.0, n + 1), (n_series, 1))
+    after = (np.arange(n) >= rng.integers(8, 20, n_series)[:, None]).astype(float)
+    lag = np.concatenate([np.full((n_series, 1), np.nan), y[:, :-1]], 1)
+    season = [np.tile((np.arange(n) % 4 == q) * 1.0, (n_series, 1)) for q in (1, 2)]
+    x = np.stack([np.ones_like(time), lag, after, time, *season, after * time], 2)
+    return x, y, pt, np.isfinite(x).all(2)
+
+
+def _at_minimum(fit, x, y, used):
+    """Whether the residuals are orthogonal to every term, relative to the sum's size."""
+    rest = np.where(used, y - fit.mu, 0.0)
+    terms = np.where(used[:, :, None], np.nan_to_num(x), 0.0)
+    slope = np.abs(np.einsum("snk,sn->sk", terms, rest))
+    return (slope <= 1e-6 * np.einsum("snk,sn->sk", np.abs(terms), np.where(used, y + fit.mu, 0.0)) + 1e-9).all(1)
+
+
+@pytest.mark.parametrize("mean", [2, 20])
+def test_spiky_series_converge_by_shortened_steps(mean, recwarn):
+    x, y, pt, used = _spiky(mean, 4)
+    fit = fit_block(x, y, pt, used, 1e-8, 50)
+    ok = fit.status == OK
+    assert ok.mean() > 0.99 and (fit.status[~ok] == rg.NOT_CONVERGED).all() and fit.iterations[ok].max() < 50
+    assert _at_minimum(fit, x, y, used)[ok].all()
+    assert not [w for w in recwarn if issubclass(w.category, RuntimeWarning)]
+
+
+def test_series_no_step_improves_claim_no_answer(recwarn):
+    """Spikes of a million and their lags pull some means to e^-150 and less, where rounding leaves no way down."""
+    x, y, pt, used = _spiky(3, 6, second=True)
+    fit = fit_block(x, y, pt, used, 1e-8, 50)
+    ok = fit.status == OK
+    assert 0.9 < ok.mean() < 1 and (fit.status[~ok] == rg.NOT_CONVERGED).all()
+    assert _at_minimum(fit, x, y, used)[ok].mean() > 0.99
+    assert not [w for w in recwarn if issubclass(w.category, RuntimeWarning)]
+
+
+def test_a_round_limit_is_a_status(recwarn):
+    x, y, pt, used = _spiky(2, 4)
+    fit = fit_block(x, y, pt, used, 1e-8, 3)
+    short = fit.status == rg.NOT_CONVERGED
+    assert short.any() and (fit.iterations[short] == 3).all()
+    assert not [w for w in recwarn if issubclass(w.category, RuntimeWarning)]
+
+
+def test_halving_leaves_ordinary_fits_alone():
+    """Large and small counts converge to the fit of a plain Newton iteration."""
+    rng = np.random.default_rng(3)
+    n = 40
+    x = np.stack([np.ones(n), np.arange(n) / n, np.arange(n) % 4 == 1], 1)[None]
+    for scale in (1.0, 1e6):
+        y = rng.poisson(scale * np.exp(1 + x[0] @ [0.5, 1.0, 0.3])).astype(float)[None]
+        fit = fit_block(x, y, np.ones((1, n)), np.ones((1, n), bool), 1e-8, 50)
+        b = np.array([math.log(y.mean()), 0.0, 0.0])
+        for _ in range(60):
+            mu = np.exp(x[0] @ b)
+            b = b + np.linalg.solve(x[0].T @ (x[0] * mu[:, None]), x[0].T @ (y[0] - mu))
+        assert fit.status[0] == OK and np.allclose(fit.estimate[0], b, rtol=1e-9)
