@@ -5,8 +5,9 @@ from __future__ import annotations
 import csv
 import re
 import sys
+from functools import reduce
 from typing import Iterator, Mapping, Sequence
-from urllib.parse import quote, unquote
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -96,71 +97,82 @@ def _blank_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.nullif(as_col(c), F.lit("")) for c in texts}) if texts else df
 
 
-HEAD_BYTES = 1 << 16
+# Files up to this size are read whole to find their header, many in a task.
+SMALL_FILE = 1 << 20
+# Larger files looked into by one job.
+_AT_ONCE = 100
 
 
-def _first_line(path: str) -> str | None:
-    """The first line of a file, read until it ends; None where the file's store opens in Spark only."""
-    from pyarrow import fs
+def _uncut(spark: SparkSession) -> SparkSession:
+    """A session like this one whose scans do not cut files."""
+    side = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if value is not None and side.conf.isModifiable(name):
+            side.conf.set(name, value)
+    side.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 50))
+    return side
 
-    try:
-        local = re.fullmatch(r"(?:file:(?://)?)?(/.*)", path, re.S)
-        store, inner = (fs.LocalFileSystem(), local[1]) if local else fs.FileSystem.from_uri(quote(path, safe=":/@"))
-        with store.open_input_stream(inner) as stream:
-            head = b""
-            while b"\n" not in head and (more := stream.read(HEAD_BYTES)):
-                head += more
-        return re.split(r"\r?\n|\r", head.decode("utf-8"), maxsplit=1)[0]
-    except (OSError, pa.ArrowInvalid, pa.ArrowNotImplementedError):
-        return None
+
+def _lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """The lines of files as bytes, with their file's path."""
+    return spark.read.text([literal_path(p) for p in paths]).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.col("value").cast("binary").alias("line"),
+    )
 
 
-def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        paths = batch.column(0).to_pylist()
-        lines = [_first_line(p) for p in paths]
-        yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(lines, pa.string())], ["path", "header"])
+        paths, texts = batch["path"].to_pylist(), []
+        for path, line in zip(paths, batch["line"].to_pylist()):
+            try:
+                texts.append(line.decode("utf-8").removeprefix("\ufeff"))
+            except UnicodeDecodeError as e:
+                raise ValueError(f"the header of {unquote(path)} is not UTF-8 text: {e}") from None
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.string())], ["path", "header"])
+
+
+def _heads(spark: SparkSession, paths: Sequence[str]) -> Iterator[DataFrame]:
+    """``path``, ``line`` (the first one) of the files, small and large ones apart; empty files have none."""
+    listed = spark.read.format("binaryFile").load([literal_path(p) for p in paths]).select("path", "length")
+    sizes = {r["path"]: r["length"] for r in listed.filter(as_col("length") > 0).collect()}
+    large = [p for p, n in sizes.items() if n > SMALL_FILE]
+    small = [p for p, n in sizes.items() if n <= SMALL_FILE]
+    side = _uncut(spark) if large else spark
+    for at in range(0, len(large), _AT_ONCE):
+        # A task for each file: one partition, so the limit needs no exchange, and it ends the scan.
+        each = [_lines(side, [p]).select("path", "line").coalesce(1).limit(1) for p in large[at : at + _AT_ONCE]]
+        yield reduce(DataFrame.unionByName, each)
+    if small:
+        # The part of a file that starts at byte 0 is read in order by one task: its row of smallest id is the first.
+        numbered = _lines(spark, small).withColumn("id", F.monotonically_increasing_id())
+        yield numbered.filter(as_col("start") == 0).groupBy("path").agg(F.min_by("line", "id").alias("line"))
 
 
 def header_signatures(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
     """Files grouped by header line; empty files are left out.
 
-    Executors open the listed files and read each up to its first line end, then files are grouped by
-    header; the driver receives one row per distinct header. Files in a store that only Spark can open
-    are read by Spark, whole, in one pass.
+    Spark opens the files, wherever they lie: small ones whole, many in a task; each larger one in a task of
+    its own under a limit of one line, so that only a buffer of the file is read. The driver
+    receives one row per distinct header. A file that is missing or may not be read, and a header
+    that is not UTF-8 text, fail.
     """
-    listed = spark.createDataFrame([(p,) for p in paths], "path string")
-    heads = listed.repartition(min(len(paths), 64)).mapInArrow(_heads, "path string, header string")
     groups: dict[str, list[str]] = {}
-    closed: list[str] = []
-    for row in heads.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect():
-        if row["header"] is None:
-            closed = row["paths"]
-        elif row["header"]:
-            groups.setdefault(row["header"].removeprefix("\ufeff"), []).extend(row["paths"])
-    for header, files in (_headers_by_spark(spark, closed) if closed else {}).items():
-        groups.setdefault(header, []).extend(files)
+    for heads in _heads(spark, paths):
+        named = heads.mapInArrow(_decoded, "path string, header string")
+        for row in named.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect():
+            if row["header"]:
+                groups.setdefault(row["header"], []).extend(plain_path(p) for p in row["paths"])
     return groups
 
 
-def _headers_by_spark(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
-    """The part of a file that starts at byte 0 is read in order by one task: its row of smallest id is the header."""
-    lines = (
-        spark.read.text([literal_path(p) for p in paths])
-        .select(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("start"),
-            F.monotonically_increasing_id().alias("id"),
-            "value",
-        )
-        .filter(as_col("start") == 0)
-        .groupBy("path")
-        .agg(F.min_by("value", "id").alias("header"))
-    )
-    groups: dict[str, list[str]] = {}
-    for row in lines.collect():
-        groups.setdefault(row["header"].removeprefix("\ufeff"), []).append(plain_path(row["path"]))
-    return groups
+def _only_utf8(df: DataFrame) -> DataFrame:
+    """Fails, naming the file, where bytes that are no UTF-8 text were read as replacement characters."""
+    problem = F.raise_error(F.concat(F.lit("not UTF-8 text in "), F.col("_metadata.file_path")))
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    checked = {c: F.when(F.contains(as_col(c), F.lit("\ufffd")), problem).otherwise(as_col(c)) for c in texts}
+    return df.withColumns(checked) if checked else df
 
 
 def _header_names(header: str) -> list[str]:
@@ -186,8 +198,12 @@ def read_results(
     """
 
     def finish(df: DataFrame) -> DataFrame:
-        df = df.withColumn(path_col, F.try_url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))) if path_col else df
-        return _blank_to_null(df.drop(*INDEX_COLUMNS))
+        tagged = df
+        if path_col:
+            path = F.try_url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+            tagged = df.withColumn(path_col, path)
+        kept = [c for c in tagged.columns if c not in INDEX_COLUMNS]
+        return _blank_to_null(_only_utf8(tagged).select(*[as_col(c) for c in kept]))
 
     if not ragged:
         return finish(_csv_reader(spark, schema, multi_line).csv([literal_path(p) for p in paths]))
@@ -260,7 +276,7 @@ def covariate_series(
         if absent:
             raise ValueError(f"headers not found: {', '.join(absent)}")
         text = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        raw = _csv_reader(spark, text).csv([literal_path(p) for p in files])
+        raw = _only_utf8(_csv_reader(spark, text).csv([literal_path(p) for p in files]))
         parts.append(raw.select(*[as_col(by_name[h]).alias(n) for h, n in mapping.items()]))
     if not parts:
         raise ValueError(f"headers not found: no file with a header at {path}")

@@ -167,44 +167,72 @@ def test_paths_with_blanks_and_pattern_characters(spark, tmp_path, name):
     assert [(r.name, r.path.removeprefix("file://").removeprefix("file:")) for r in out] == [("x", a)]
 
 
-def test_headers_by_spark_equal_headers_by_file(spark, tmp_path):
-    paths = [_write(tmp_path / "My DB" / f"{k}.csv", f"name,c{k % 2}\nx,{k}\n") for k in range(5)]
-    paths = [f"file:{p}" for p in paths]
-    groups = {h: sorted(p) for h, p in files.header_signatures(spark, paths).items()}
-    by_spark = {h: sorted(x.replace("file://", "file:") for x in p) for h, p in files._headers_by_spark(spark, paths).items()}
-    assert groups == by_spark == {"name,c0": [paths[0], paths[2], paths[4]], "name,c1": [paths[1], paths[3]]}
-
-
-def test_a_header_is_read_and_not_the_file(monkeypatch, tmp_path):
-    from pyarrow import fs
+def _groups(spark, paths):
+    found = files.header_signatures(spark, paths)
+    return {h: sorted(p.replace("file://", "file:") for p in ps) for h, ps in found.items()}
 
-    big = tmp_path / "big.csv"
-    big.write_bytes(b"name,n,v\n" + b"x,1,1.5\n" * 2_000_000)
-    read = []
 
-    class Counting:
-        def open_input_stream(self, path, real=fs.LocalFileSystem()):
-            return _counted(real.open_input_stream(path), read)
-
-    monkeypatch.setattr(fs, "LocalFileSystem", Counting)
-    assert files._first_line(f"file:{big}") == "name,n,v"
-    assert sum(read) <= files.HEAD_BYTES
+def test_headers_of_small_and_large_files(spark, tmp_path, monkeypatch):
+    paths = [_write(tmp_path / "My DB" / f"{k} 50%.csv", f"\ufeffname,c{k % 2}\r\nx,{k}\r\n") for k in range(5)]
+    paths = [f"file:{p}" for p in paths]
+    want = {"name,c0": [paths[0], paths[2], paths[4]], "name,c1": [paths[1], paths[3]]}
+    assert _groups(spark, paths) == want
+    monkeypatch.setattr(files, "SMALL_FILE", 0)
+    assert _groups(spark, paths) == want
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    assert _groups(spark, paths[:1]) == {"name,c0": paths[:1]} and spark.conf.get("spark.sql.files.maxPartitionBytes") == before
 
 
-class _counted:
-    def __init__(self, stream, read):
-        self.stream, self.seen = stream, read
+def _bytes_read(spark):
+    """What this machine's file system has handed out so far."""
+    seen = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics()
+    return sum(x.getBytesRead() for x in seen if x.getScheme() == "file")
 
-    def __enter__(self):
-        return self
 
-    def __exit__(self, *a):
-        self.stream.close()
+def test_a_header_is_read_and_not_the_file_in_a_store_only_spark_opens(spark, tmp_path):
+    from pyarrow import fs
 
-    def read(self, n):
-        got = self.stream.read(n)
-        self.seen.append(len(got))
-        return got
+    big = tmp_path / "in" / "big.csv"
+    big.parent.mkdir()
+    with big.open("wb") as out:
+        out.write(b"name,n,v\n")
+        for _ in range(25):
+            out.write(b"x,1,1.5\n" * 1_000_000)
+    assert big.stat().st_size > 200_000_000
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.store.link./in", f"file:{big.parent}")
+    with pytest.raises(Exception):
+        fs.FileSystem.from_uri("viewfs://store/in/big.csv")
+    before = _bytes_read(spark)
+    found = files.header_signatures(spark, ["viewfs://store/in/big.csv"])
+    assert found == {"name,n,v": ["viewfs://store/in/big.csv"]}
+    assert _bytes_read(spark) - before < 1_000_000
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        files.header_signatures(spark, ["viewfs://store/in/none.csv"])
+
+
+@pytest.mark.parametrize("first", ["name,n,v", "namex,n,v"])
+@pytest.mark.parametrize("many", [70_000, 700_000])
+def test_characters_may_lie_across_any_byte(spark, tmp_path, first, many):
+    """Multi-byte characters at even and odd places, in files below and above the size read whole."""
+    a = tmp_path / "a.csv"
+    a.write_text(f"{first}\n" + "é" * many + ",1,1.5\n", encoding="utf-8")
+    rows = files.read_results(spark, [str(a)], SCHEMA, extras=True).collect()
+    assert [(r.n, r.v) for r in rows] == [(1, 1.5)] and max(len(x) for x in rows[0] if isinstance(x, str)) == many
+
+
+@pytest.mark.parametrize("small", [1 << 18, 0])
+def test_files_that_are_not_utf8_fail_by_name(spark, tmp_path, monkeypatch, small):
+    monkeypatch.setattr(files, "SMALL_FILE", small)
+    a, b = tmp_path / "head latin.csv", tmp_path / "body latin.csv"
+    a.write_bytes("name,n,v,Größe\nx,1,1.5,2\n".encode("latin-1"))
+    b.write_bytes("name,n,v\nGröße,1,1.5\n".encode("latin-1"))
+    with pytest.raises(Exception, match="head latin.csv is not UTF-8"):
+        files.read_results(spark, [str(a)], SCHEMA)
+    with pytest.raises(Exception, match="not UTF-8 text in .*body%20latin.csv"):
+        files.read_results(spark, [str(b)], SCHEMA).collect()
+    # Columns that are not read are not looked at.
+    assert [r.n for r in files.read_results(spark, [str(b)], SCHEMA).select("n").collect()] == [1]
 
 
 def test_empty_files_give_no_rows(spark, tmp_path):
