@@ -50,13 +50,16 @@ def _weighted(source: str) -> str:
       CASE WHEN used THEN ln(mu) - off + (y - mu) / mu ELSE 0 END AS z FROM {source}"""
 
 
-def fit_sql(series: str, lagged: bool) -> str:
-    """All rows of all models: state after the last round, with the orthogonal columns in place."""
+def fit_sql(series: str, lagged: bool, together: str = f"{KEYS}, model") -> str:
+    """All rows of all models: state after the last round, with the orthogonal columns in place.
+
+    Rows equal in ``together`` are fitted as one.
+    """
     own_lag = f"{'TRUE' if lagged else 'FALSE'} AND model <> 'step_slope'"
     xs = ", ".join(f"x{j}" for j in range(1, P + 1))
     return f"""WITH RECURSIVE m AS MATERIALIZED (
   SELECT s.*, model, LAG(n_events_sum) OVER (PARTITION BY {KEYS}, model ORDER BY time) AS lag_y,
-    row_number() OVER (ORDER BY {KEYS}, model, time) AS rid, dense_rank() OVER (ORDER BY {KEYS}, model) AS sid
+    row_number() OVER (ORDER BY {KEYS}, model, time) AS rid, dense_rank() OVER (ORDER BY {together}) AS sid
   FROM {series} s, (VALUES ('with_intervention'), ('remove_intervention'), ('step_slope')) v(model)),
 d AS MATERIALIZED (
   SELECT rid, sid, n_events_sum AS y, ln(person_years_sum) AS off,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..plans import correlation, regression, series
+from ..plans import correlation, pooled, regression, series
 from ..plans.series import SERIES, STRATUM
 from . import fixtures as fx
 from .registry import query
@@ -69,6 +69,21 @@ def seasonal_basis(spark, d):
     return rows.join(regression.seasonal_basis(spark), "quarter")
 
 
+def _spline_sql(column: int) -> str:
+    """A cubic B-spline on evenly spaced knots is a sum of truncated powers; periods are added up."""
+    at = f"(quarter - 1) / 0.6 - {column - 3} + 5 * p - k"
+    return f"""round(list_sum(list_transform(range(-2, 3), lambda p: list_sum(list_transform(range(0, 5), lambda k:
+      [1, -4, 6, -4, 1][k + 1] * pow(greatest({at}, 0), 3) / 6)))), 9) + 0.0 AS season_{column}"""
+
+
+@query("seasonal_spline", f"SELECT {SERIES_SQL}, time, quarter, {', '.join(map(_spline_sql, (1, 2, 3, 4)))} FROM fx_sr_quarterly")
+def seasonal_spline(spark, d):
+    rows = quarterly(spark, d).select(*SERIES, "time", "quarter")
+    basis = regression.seasonal_basis(spark, "spline")
+    rounded = {f"season_{i}": F.round(f"season_{i}", 9) + 0.0 for i in (1, 2, 3, 4)}
+    return rows.join(basis, "quarter").withColumns(rounded)
+
+
 # ---- regression ---------------------------------------------------------------------------
 
 Z = "1.959963984540054"
@@ -97,6 +112,30 @@ def fit_segmented(spark, d):
     )
 
 
+# The spline spans the same levels, so its fits are those of the other basis.
+@query(
+    "fit_spline",
+    f"""SELECT DISTINCT {SERIES_SQL}, model, status, n_obs, rank, df_residual, round(deviance, 6) AS deviance,
+    round(dispersion, 6) AS dispersion FROM fx_fit""",
+)
+def fit_spline(spark, d):
+    fits = regression.fit_segmented(quarterly(spark, d), season="spline")
+    rounded = [F.round(c, 6).alias(c) for c in ("deviance", "dispersion")]
+    return fits.select(*SERIES, "model", "status", "n_obs", "rank", "df_residual", *rounded)
+
+
+@query(
+    "fit_pooled",
+    """SELECT model, status, CAST(n_obs AS BIGINT) AS n_obs, rank, CAST(df_residual AS BIGINT) AS df_residual,
+    round(deviance, 4) AS deviance, round(dispersion, 6) AS dispersion, parameter, round(estimate, 7) AS estimate,
+    round(std_error, 7) AS std_error, round(t_value, 4) AS t_value, round(p_value, 6) AS p_value FROM fx_pooled""",
+)
+def fit_pooled(spark, d):
+    digits = {"deviance": 4, "dispersion": 6, "estimate": 7, "std_error": 7, "t_value": 4, "p_value": 6}
+    out = pooled.fit_pooled(quarterly(spark, d), lagged=True)
+    return out.withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
 # Deviances of large counts are compared by their leading digits.
 @query(
     "fit_large_counts",

@@ -155,3 +155,5 @@ FROM fx_sr_quarterly
 """
 VIEWS["fx_fit_large"] = fit_sql("fx_sr_large", lagged=False)
 VIEWS["fx_coefficients"] = coefficient_sql("fx_fit")
+VIEWS["fx_fit_pooled"] = fit_sql("fx_sr_quarterly", lagged=True, together="model")
+VIEWS["fx_pooled"] = coefficient_sql("fx_fit_pooled", keys="status, n_obs, rank, dispersion")

@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from ..functions import numbers, quasipoisson, student_t
+from ..functions import numbers, quasipoisson, splines, student_t
 from ..functions.missing import as_col, one_of
 from ..functions.quasipoisson import NOT_CONVERGED, OK, SATURATED, STATUS_NAMES, fit_block
+from ..functions.splines import periodic_basis
 from ..functions.student_t import two_sided_p
 from ..operators.filters import POST_EVENT_PATTERN, outcome_gate
 from ..operators.projections import deviance_residuals
@@ -32,7 +33,7 @@ from .correlation import acf_of_arrays, pacf
 from .series import FORECAST_NAMES, SERIES, forecast_columns
 
 # The fitting code travels with the plan, so executors need numpy and pyarrow but not this package.
-for _module in (sys.modules[__name__], quasipoisson, student_t):
+for _module in (sys.modules[__name__], quasipoisson, splines, student_t):
     cloudpickle.register_pickle_by_value(_module)
 
 # ---- Fixed values: model specifications and their display names -----------------------------
@@ -57,9 +58,16 @@ SEASON_BASIS = {
 # ---- End of fixed values --------------------------------------------------------------------
 
 
+def season_basis(mode: str) -> dict[int, tuple[float, ...]]:
+    """Quarter -> seasonal columns; ``spline`` is a periodic cubic spline that closes at the fourth quarter."""
+    if mode == "spline":
+        return {q: tuple(row) for q, row in zip((1, 2, 3, 4), periodic_basis((1, 2, 3, 4)).tolist())}
+    return SEASON_BASIS[mode]
+
+
 def seasonal_basis(spark: SparkSession, mode: str = "wrap") -> DataFrame:
     """The seasonal term as a four-row table: quarter -> season_1, season_2, ..."""
-    basis = SEASON_BASIS[mode]
+    basis = season_basis(mode)
     width = len(basis[1])
     rows = [(q, *values) for q, values in basis.items()]
     return literal_table(spark, rows, ["quarter", *[f"season_{i + 1}" for i in range(width)]])
@@ -129,7 +137,7 @@ def _spec_terms(model: str, lagged: bool, season: str | None, block: dict[str, n
         terms.append(("intrv", block["intrv"]))
     terms.append(("time", block["time"]))
     if season is not None and model != STEP_SLOPE:
-        basis = SEASON_BASIS[season]
+        basis = season_basis(season)
         for i in range(len(basis[1])):
             level = np.array([0.0, *[basis[q][i] for q in (1, 2, 3, 4)]])
             terms.append((f"season_{i + 1}", level[block["quarter"].astype(int)]))
