@@ -246,6 +246,19 @@ def pivot_database(spark, d):
     )
 
 
+# A database that is empty in some file has a column of its own.
+@query(
+    "pivot_null_database",
+    f"""SELECT group_level, strata_level, variable_name, variable_level, estimate_name,
+    {_pivot_sql([x for x in DATABASES if x != "ASIA"], "cdm_name", "estimate_value")},
+    MAX(CASE WHEN cdm_name = 'ASIA' THEN estimate_value END) AS "NA" FROM {WHITELISTED_SQL} GROUP BY 1, 2, 3, 4, 5""",
+)
+def pivot_null_database(spark, d):
+    given = whitelisted(spark, d).withColumn("cdm_name", F.nullif("cdm_name", F.lit("ASIA")))
+    ids = ["group_level", "strata_level", "variable_name", "variable_level", "estimate_name"]
+    return aggregates.pivot_database(given, ids, "cdm_name", "estimate_value")
+
+
 ROW_IDS = ["cdm_name", "group_level", "strata_name", "strata_level", "variable_name", "variable_level"]
 ROW_IDS_SQL = ", ".join(ROW_IDS)
 NAMES = ["count", "mean", "min", "max"]

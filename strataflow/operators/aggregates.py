@@ -145,6 +145,10 @@ def series_status(
     )
 
 
+# Name of the column for NULL.
+NULL_COLUMN = "NA"
+
+
 def pivot_wide(
     df: DataFrame,
     ids: Sequence[str],
@@ -152,28 +156,42 @@ def pivot_wide(
     value: str,
     values: Sequence[str] | None = None,
 ) -> DataFrame:
-    """One column per value of ``col``.
+    """One column per value of ``col``, in the order of ``values``; NULL has the column ``NA``.
 
-    Written as conditional aggregates: one shuffle on the ids, where a built-in pivot takes two.
-    Without ``values`` one distinct job finds them. Two rows for one cell fail the job, and so does a
-    value that is not in ``values``: to leave some out, filter first.
+    One shuffle, on the ids, however many columns there are: rows are aggregated to cells, cells to one
+    array per id, of which each column is an element. Without ``values`` one distinct job finds them, in
+    text order, NULL last if there is any; an input without rows then gives the ids only. Two rows for
+    one cell fail the job, and so does a value, or NULL, that is not in ``values``: to leave some out, filter first.
     """
     if values is None:
-        found = df.select(as_col(col)).distinct().filter(as_col(col).isNotNull()).collect()
-        values = sorted(r[0] for r in found)
-    other = F.max(F.when(~as_col(col).isin(list(values)), as_col(col)))
-    cells = []
-    for v in values:
-        here = as_col(col) == F.lit(v)
-        cell = F.when(
-            F.count(F.when(here, F.lit(1))) > 1,
-            F.raise_error(F.lit(f"more than one row for a cell of column {v}")),
-        ).otherwise(F.max(F.when(here, as_col(value))))
-        if not cells:
-            missing = F.concat(F.lit(f"no column was asked for {col} "), other.cast("string"))
-            cell = F.when(other.isNotNull(), F.raise_error(missing)).otherwise(cell)
-        cells.append(cell.alias(v))
-    return df.groupBy(*_cols(ids)).agg(*cells)
+        found = [r[0] for r in df.select(as_col(col)).distinct().collect()]
+        values = [*sorted(v for v in found if v is not None), *([None] if None in found else [])]
+    values = list(values)
+    names = [NULL_COLUMN if v is None else str(v) for v in values]
+    if len(set(names)) < len(names):
+        raise ValueError(f"two columns would have the same name: {sorted(n for n in set(names) if names.count(n) > 1)}")
+    asked = F.concat(F.lit(f"no column was asked for {col} "), F.coalesce(as_col(col).cast("string"), F.lit("NULL")))
+    place = F.raise_error(asked).cast("int")
+    places = [x for n, v in enumerate(values) if v is not None for x in (F.lit(v).cast(df.schema[col].dataType), F.lit(n))]
+    if places:
+        place = F.coalesce(F.create_map(*places)[as_col(col)], place)
+    if None in values:
+        place = F.when(as_col(col).isNull(), F.lit(values.index(None))).otherwise(place)
+    rows = df.select(*_cols(ids), place.alias("__place"), as_col(value).alias("__value"))
+    # A cell is one row, so partial sums before the shuffle would only repeat them.
+    rows = rows.repartition(*_cols(ids)) if ids else rows.coalesce(1)
+    twice = F.raise_error(F.concat(F.lit("more than one row for a cell of column "), F.array(*map(F.lit, names))[F.col("__place")]))
+    cell = F.when(F.count(F.lit(1)) > 1, twice).otherwise(F.max("__value"))
+    cells = rows.groupBy(*_cols(ids), "__place").agg(cell.alias("__value"))
+    # Absent cells are filled in, then sorting puts each at its place.
+    absent = F.array_except(F.sequence(F.lit(0), F.lit(len(names) - 1)), F.transform("__cells", lambda c: c["__place"]))
+    none = F.lit(None).cast(df.schema[value].dataType)
+    filled = F.transform(absent, lambda p: F.struct(p.alias("__place"), none.alias("__value")))
+    wide = cells.groupBy(*_cols(ids)).agg(F.collect_list(F.struct("__place", "__value")).alias("__cells"))
+    if not names:
+        return wide.filter(F.size("__cells") >= 0).select(*_cols(ids))
+    wide = wide.withColumn("__cells", F.array_sort(F.concat("__cells", filled)))
+    return wide.select(*_cols(ids), *[F.col("__cells")[n]["__value"].alias(name) for n, name in enumerate(names)])
 
 
 def pivot_database(

@@ -43,7 +43,8 @@ def table_one(
 
     ``cohorts`` holds denominator_cohort_name, denominator_sex and denominator_age_group.
     ``databases`` and ``columns`` (see ``split_all``) declare the data-dependent columns; leaving
-    them out costs one distinct job each.
+    them out costs one distinct job each. A row without a database goes to the column ``NA``. An input
+    without rows gives a table without rows.
     """
     kept = estimate_whitelist(
         alias_recode(df, "cdm_name", aliases), TABLE_ONE_TYPES, TABLE_ONE_ESTIMATES
@@ -57,7 +58,10 @@ def table_one(
         template_order=False,
         known_names=TABLE_ONE_ESTIMATES,
     )
-    named = variable_label(split_all(formatted, columns=columns), "variable_name", "variable_level")
+    split = split_all(formatted, columns=columns)
+    if "cohort_name" not in split.columns and split.isEmpty():
+        split = split.withColumn("cohort_name", F.lit(None).cast("string"))
+    named = variable_label(split, "variable_name", "variable_level")
     named = rename_display(
         named.drop("variable_level", "estimate_type", "estimate_name"),
         {"cdm_name": "Database", "cohort_name": "Outcome", "variable_name": "Variable"},

@@ -151,6 +151,43 @@ def test_pivot_fails_on_a_value_without_a_column(spark):
     assert aggregates.pivot_wide(df.filter("c = 'A'"), ["id"], "c", "v", ["A"]).collect()[0].A == 1
 
 
+def test_null_is_a_column_of_the_pivot_or_fails(spark):
+    rows = [(1, "A", "x"), (1, None, "kept"), (2, None, "too"), (None, "A", None)]
+    df = spark.createDataFrame(rows, "id int, c string, v string")
+    wide = aggregates.pivot_wide(df, ["id"], "c", "v")
+    assert wide.columns == ["id", "A", "NA"]
+    assert {tuple(r) for r in wide.collect()} == {(1, "x", "kept"), (2, None, "too"), (None, None, None)}
+    with pytest.raises(Exception, match="no column was asked for c NULL"):
+        aggregates.pivot_wide(df, ["id"], "c", "v", ["A"]).collect()
+    assert aggregates.pivot_wide(df, ["id"], "c", "v", [None, "A"]).columns == ["id", "NA", "A"]
+    with pytest.raises(ValueError, match="NA"):
+        aggregates.pivot_wide(df.unionByName(spark.createDataFrame([(3, "NA", "y")], df.schema)), ["id"], "c", "v")
+    with pytest.raises(Exception, match="more than one row for a cell of column NA"):
+        aggregates.pivot_wide(df.unionByName(df), ["id"], "c", "v", [None, "A"]).filter("id = 2").collect()
+
+
+def test_pivots_of_nothing(spark):
+    df = spark.createDataFrame([], "id int, c string, v int")
+    assert aggregates.pivot_wide(df, ["id"], "c", "v").columns == ["id"]
+    assert aggregates.pivot_wide(df, ["id"], "c", "v").count() == 0
+    assert aggregates.pivot_wide(df, ["id"], "c", "v", ["x", "y"]).columns == ["id", "x", "y"]
+    one = spark.createDataFrame([(1, 7, 1.5), (2, 9, 2.5)], "id int, c int, v double")
+    assert aggregates.pivot_wide(one, [], "c", "v").collect() == [(1.5, 2.5)]
+    with pytest.raises(Exception, match="no column was asked for c 7"):
+        aggregates.pivot_wide(one.limit(1), ["id"], "c", "v", []).collect()
+
+
+def test_table_one_of_nothing(spark):
+    from strataflow.plans.table_one import table_one
+    from strataflow.sources import schemas
+
+    cohorts = spark.createDataFrame([], "denominator_cohort_name string, denominator_sex string, denominator_age_group string")
+    empty = spark.createDataFrame([], schemas.SUMMARISED_RESULT)
+    out = table_one(empty.withColumn("result_id", F.lit(1)), cohorts)
+    assert out.count() == 0 and {"Outcome", "Variable", "Sex", "Age group"} <= set(out.columns)
+    assert "A" in table_one(empty.withColumn("result_id", F.lit(1)), cohorts, databases=["A"]).columns
+
+
 def test_flags_negate_only_when_told(spark):
     df = spark.createDataFrame([("tracked",), (None,)], "t string")
     out = projections.regex_flags(df, "t", {"not_tracked": "tracked", "other": ("tracked", True)}).collect()

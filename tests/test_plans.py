@@ -57,6 +57,22 @@ SUMMARISED = (
 )
 
 
+def test_a_thousand_columns_take_one_exchange(spark):
+    names = [f"db{k:04d}" for k in range(1000)]
+    cells = spark.range(5000).select(
+        (F.col("id") % 7).alias("i"),
+        F.format_string("db%04d", F.col("id").cast("int") % 1000).alias("c"),
+        F.when(F.col("id") % 11 != 0, F.col("id").cast("string")).alias("v"),
+    ).dropDuplicates(["i", "c"])
+    wide = aggregates.pivot_wide(cells, ["i"], "c", "v", names)
+    rows = {r["i"]: r.asDict() for r in wide.collect()}
+    assert wide.columns == ["i", *names] and len(rows) == 7
+    for r in cells.collect():
+        assert rows[r.i][r.c] == r.v
+    stored = spark.createDataFrame([], "i long, c string, v string")
+    assert exchanges(aggregates.pivot_wide(stored, ["i"], "c", "v", names)) == 1
+
+
 def test_formatting_is_one_aggregation_and_splitting_none(spark):
     df = spark.createDataFrame([], SUMMARISED)
     out = format_estimates(df, ["<count>", "<mean> (<min> to <max>)"], keep_unformatted=False, known_names=["count", "mean", "min", "max"])
