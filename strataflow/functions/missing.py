@@ -20,16 +20,16 @@ def as_col(c: Column | str) -> Column:
     return c
 
 
-def strict_sum(c: Column | str) -> Column:
-    """Sum that is NULL as soon as one input is NULL."""
+def strict_sum(c: Column | str, total: Column | None = None) -> Column:
+    """Sum that is NULL as soon as one input is NULL; ``total`` is the way to add up, if not the built-in one."""
     c = as_col(c)
-    return F.when(F.count(c) == F.count(F.lit(1)), F.sum(c))
+    return F.when(F.count(c) == F.count(F.lit(1)), F.sum(c) if total is None else total)
 
 
-def strict_avg(c: Column | str) -> Column:
+def strict_avg(c: Column | str, total: Column | None = None) -> Column:
     """Mean that is NULL as soon as one input is NULL."""
     c = as_col(c)
-    return F.when(F.count(c) == F.count(F.lit(1)), F.avg(c))
+    return F.when(F.count(c) == F.count(F.lit(1)), F.avg(c) if total is None else total / F.count(c))
 
 
 def matches(c: Column | str, pattern: str) -> Column:

@@ -6,8 +6,10 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import dates, numbers
+from ..functions.exact import exact_sum
 from ..functions.missing import as_col, matches, plain_text, strict_avg, strict_sum
 from .filters import POST_EVENT_PATTERN
 
@@ -16,6 +18,12 @@ def _cols(names: Sequence[str]) -> list[Column]:
     return [as_col(n) for n in names]
 
 
+def _sum_of(df: DataFrame, c: str) -> Column:
+    """Sum that does not depend on partitioning: of doubles by whole numbers, of other types it never does."""
+    floating = isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))
+    return exact_sum(c) if floating else F.sum(as_col(c))
+
+
 def distinct_cohorts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Distinct attribute combinations."""
     return df.select(*_cols(cols)).distinct()
@@ -38,7 +46,7 @@ def monthly_sum_country(
     value: str = "cases",
 ) -> DataFrame:
     """Cases per month and country; NULL if any input is."""
-    return df.groupBy(*_cols(keys)).agg(strict_sum(value).alias(value))
+    return df.groupBy(*_cols(keys)).agg(strict_sum(value, _sum_of(df, value)).alias(value))
 
 
 def monthly_mean_index(
@@ -46,12 +54,12 @@ def monthly_mean_index(
 ) -> DataFrame:
     """Mean of a daily index per month, dated the first of the month; NULL if any day is."""
     month = dates.month_start(date_col).alias(date_col)
-    return df.groupBy(*_cols(keys), month).agg(strict_avg(value).alias(value))
+    return df.groupBy(*_cols(keys), month).agg(strict_avg(value, exact_sum(value)).alias(value))
 
 
 def _event_sum(na_event_fill: float) -> Column:
     filled = F.coalesce(as_col("n_events").cast("double"), F.lit(float(na_event_fill)))
-    return F.sum(filled).alias("n_events_sum")
+    return exact_sum(filled).alias("n_events_sum")
 
 
 def quarterly_rollup(
@@ -69,7 +77,7 @@ def quarterly_rollup(
         *_cols(keys),
         F.year(as_col(date_col)).alias("year"),
         F.quarter(as_col(date_col)).alias("quarter"),
-    ).agg(_event_sum(na_event_fill), strict_sum("person_years").alias("person_years_sum"))
+    ).agg(_event_sum(na_event_fill), strict_sum("person_years", _sum_of(df, "person_years")).alias("person_years_sum"))
     return rolled.withColumn(date_col, dates.quarter_start("year", "quarter"))
 
 
@@ -85,7 +93,7 @@ def monthly_rollup(
         F.year(as_col(date_col)).alias("year"),
         F.quarter(as_col(date_col)).alias("quarter"),
         F.month(as_col(date_col)).alias("month"),
-    ).agg(_event_sum(na_event_fill), strict_sum("person_years").alias("person_years_sum"))
+    ).agg(_event_sum(na_event_fill), strict_sum("person_years", _sum_of(df, "person_years")).alias("person_years_sum"))
     return rolled.withColumn(date_col, F.make_date(as_col("year"), as_col("month"), F.lit(1)))
 
 
