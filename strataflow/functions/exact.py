@@ -5,64 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .missing import as_col
-
 # A number is cut into its whole part and four pieces of 26 bits after the binary point.
 _BITS = 26
-_WHOLE = float(1 << _BITS)
-_LARGEST = float(1 << 52)
+_MASK = (1 << _BITS) - 1
+_LARGEST = f"{1 << 52}D"
 
 
-def _let(value: Column, use) -> Column:
-    """``use`` of a value that is written, and computed, once."""
-    return F.transform(F.array(value), use)[0]
+def _let(value: str, name: str, use: str) -> str:
+    """``use`` of a value that is written, and computed, once under a name."""
+    return f"transform(array({value}), {name} -> {use})[0]"
 
 
-def _pieces(x: Column) -> list[Column]:
+def _pieces(x: str) -> list[str]:
     """Whole numbers that make up ``x``; nothing above 2^-104 is rounded."""
-    mask = F.lit((1 << _BITS) - 1)
-    whole = x.cast("long")
-    scaled = (x - whole.cast("double")) * _LARGEST
-    upper = scaled.cast("long")
-    lower = ((scaled - upper.cast("double")) * _LARGEST).cast("long")
-    return [whole, *(p for half in (upper, lower) for p in (F.shiftright(half, _BITS), half.bitwiseAND(mask)))]
+    scaled = f"(({x} - cast(cast({x} as bigint) as double)) * {_LARGEST})"
+    upper = f"cast({scaled} as bigint)"
+    lower = f"cast(({scaled} - cast({upper} as double)) * {_LARGEST} as bigint)"
+    return [f"cast({x} as bigint)", *(p for half in (upper, lower) for p in (f"shiftright({half}, {_BITS})", f"{half} & {_MASK}L"))]
 
 
-def _carried(sums: Column) -> Column:
+def _carried(sums: str) -> str:
     """The same number with pieces from 0 to 2^26; the whole part has the sign."""
-    out = [sums[n] for n in range(5)]
+    out = [f"{sums}[{n}]" for n in range(5)]
     for n in (4, 3, 2, 1):
-        out[n - 1] = out[n - 1] + F.shiftright(out[n], _BITS)
-        out[n] = out[n].bitwiseAND(F.lit((1 << _BITS) - 1))
-    return F.array(*out)
+        out[n - 1] = f"({out[n - 1]} + shiftright({out[n]}, {_BITS}))"
+    return f"array({out[0]}, {', '.join(f'{piece} & {_MASK}L' for piece in out[1:])})"
 
 
-def _joined(sums: Column) -> Column:
+def _joined(sums: str) -> str:
     """The double next to the number, from pieces of one sign, the smallest first."""
-    total = sums[4].cast("double")
+    total = f"cast({sums}[4] as double)"
     for n in (3, 2, 1, 0):
-        total = sums[n].cast("double") + total / _WHOLE
+        total = f"(cast({sums}[{n}] as double) + {total} / {1 << _BITS}D)"
     return total
 
 
-def exact_sum(c: Column | str) -> Column:
-    """Sum of a double column, the same to the last bit whatever the partitioning; NULL if all inputs are.
+def exact_sum(expression: str) -> Column:
+    """Sum of a double, given as SQL, the same to the last bit whatever the partitioning; NULL if all inputs are.
 
     Every number is cut into whole numbers, whose sums are exact, and the sums are put together once.
     Digits below 2^-104 are cut off. Numbers of 2^52 and more, infinite ones and NaN are added as
-    doubles. A sum of whole parts beyond 64 bits fails.
+    doubles. A sum of whole parts beyond 64 bits fails. It is one SQL text, since built column by column
+    it would take longer to write than to run.
     """
-    x = as_col(c).cast("double")
-    plain = F.abs(x) < _LARGEST  # not so for NaN, which is larger than all
-    sums = F.array(*[F.sum(piece) for piece in _pieces(F.when(plain, x))])
-
-    def signed(carried: Column) -> Column:
-        opposite = _let(F.transform(carried, lambda s: -s), lambda s: -_joined(_carried(s)))
-        return F.when(carried[0] < 0, opposite).otherwise(_joined(carried))
-
-    total = _let(_let(sums, _carried), signed)
-    rest = F.sum(F.when(~plain, x))
-    return _let(
-        F.struct(total.alias("exact"), rest.alias("rest")),
-        lambda s: F.when(s["rest"].isNull(), s["exact"]).otherwise(F.coalesce(s["exact"], F.lit(0.0)) + s["rest"]),
-    )
+    x = f"cast({expression} as double)"
+    plain = f"abs({x}) < {_LARGEST}"  # not so for NaN, which is larger than all
+    sums = ", ".join(f"sum({piece})" for piece in _pieces(f"if({plain}, {x}, NULL)"))
+    opposite = _let("transform(c, p -> -p)", "n", _let(_carried("n"), "m", f"-{_joined('m')}"))
+    total = _let(f"array({sums})", "s", _let(_carried("s"), "c", f"if(c[0] < 0, {opposite}, {_joined('c')})"))
+    rest = f"sum(if({plain}, NULL, {x}))"
+    both = _let(f"struct({total} AS exact, {rest} AS rest)", "b", "if(b.rest IS NULL, b.exact, coalesce(b.exact, 0D) + b.rest)")
+    return F.expr(both)
+
+
+def quoted(name: str) -> str:
+    """A column name as SQL."""
+    return "`" + name.replace("`", "``") + "`"

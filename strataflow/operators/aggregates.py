@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dates, numbers
-from ..functions.exact import exact_sum
+from ..functions.exact import exact_sum, quoted
 from ..functions.missing import as_col, matches, plain_text, strict_avg, strict_sum
 from .filters import POST_EVENT_PATTERN
 
@@ -21,7 +21,7 @@ def _cols(names: Sequence[str]) -> list[Column]:
 def _sum_of(df: DataFrame, c: str) -> Column:
     """Sum that does not depend on partitioning: of doubles by whole numbers, of other types it never does."""
     floating = isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))
-    return exact_sum(c) if floating else F.sum(as_col(c))
+    return exact_sum(quoted(c)) if floating else F.sum(as_col(c))
 
 
 def distinct_cohorts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -54,11 +54,11 @@ def monthly_mean_index(
 ) -> DataFrame:
     """Mean of a daily index per month, dated the first of the month; NULL if any day is."""
     month = dates.month_start(date_col).alias(date_col)
-    return df.groupBy(*_cols(keys), month).agg(strict_avg(value, exact_sum(value)).alias(value))
+    return df.groupBy(*_cols(keys), month).agg(strict_avg(value, exact_sum(quoted(value))).alias(value))
 
 
 def _event_sum(na_event_fill: float) -> Column:
-    filled = F.coalesce(as_col("n_events").cast("double"), F.lit(float(na_event_fill)))
+    filled = f"coalesce(cast(n_events as double), {float(na_event_fill)}D)"
     return exact_sum(filled).alias("n_events_sum")
 
 
