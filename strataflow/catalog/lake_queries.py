@@ -83,3 +83,16 @@ def lake_attrition_flow(spark, d):
     root = _written(fx.attrition_long(spark, d), "attrition_infection.csv")
     loaded = lake.load_results(spark, root)["attrition_infection"]
     return incidence.attrition_flow(loaded)
+
+
+# Files of more than 64 KB whose long text puts characters of two bytes across every buffer's end.
+@query(
+    "load_accented",
+    """SELECT cdm_name, outcome_cohort_name, CAST(reason_id AS INTEGER) AS reason_id, md5(reason || ' ' || repeat('é', 9001)) AS reason
+    FROM fx_attrition""",
+)
+def load_accented(spark, d):
+    long = F.concat("reason", F.lit(" "), F.repeat(F.lit("é"), 9001))
+    given = fx.attrition(spark, d).withColumn("reason", long)
+    loaded = lake.load_results(spark, _written(given.coalesce(1), "Incidence_attrition.csv"))["incidence_attrition"]
+    return loaded.select("cdm_name", "outcome_cohort_name", "reason_id", F.md5("reason").alias("reason"))
