@@ -1,8 +1,13 @@
-"""Retrieval packing: a sharded BM25 index finds, for a seed document, unused neighbours to fill its window."""
+"""Retrieval packing: a sharded BM25 index finds, for a seed document, unused neighbours to fill its window.
+
+Documents are dealt to shards by what they are about, so that a seed's neighbours lie in its own shard
+however many shards there are.
+"""
 
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
 from array import array
@@ -10,7 +15,7 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialise
@@ -18,9 +23,11 @@ from .common import map_rows, texts
 
 WINDOW = 2048
 END_ID = 1
-SHARD_TOKENS = 2_000_000  # tokens of one shard's index, about: the unit of retrieval and of parallel work
-QUERY_TERMS = 12
+SHARD_TOKENS = 500_000  # tokens of one shard's index, about: the unit of retrieval and of parallel work
+THEME_WINDOWS = 8  # a theme's documents fill this many windows at least, about
 K1, B = 1.2, 0.75
+TERMS = np.random.Generator(np.random.PCG64(7)).permutation(1 << 16)  # one random order of all terms
+ORDER = np.argsort(TERMS)
 CACHE = 400_000  # words a worker remembers: about 200 bytes each
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -44,7 +51,8 @@ class Encoder:
     The tokenizer drops white space and never joins across it, so a text's ids are its words' ids. It
     also takes letters apart from marks: a word of letters with ASCII marks after it, or none, goes to
     the vocabulary directly; every other word, and what normalising or lower-casing treats by its
-    surroundings, through the tokenizer's own steps.
+    surroundings, through the tokenizer's own steps. Where a text spells an added token, that token's id
+    stands there and the parts around it are encoded each for itself, as the tokenizer does.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
@@ -52,7 +60,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content: np.array([i], "<u2").tobytes() for i, t in added.items()}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.spelt = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.added else None
         self.cache = cache
         self.known: dict[str, bytes] = {}
         self.letters: dict[str, bytes] = {}
@@ -95,16 +106,22 @@ class Encoder:
 
     def __call__(self, batch: list[str]) -> list[np.ndarray]:
         """Ids of each text, the end id last; 16 bits hold the vocabulary's ids."""
-        known = self.known
-        if len(known) > self.cache:
+        if len(self.known) > self.cache:
             self._forget()
         out, end = [], np.uint16(END_ID).tobytes()
         for text in batch:
-            words = text.replace("\n", " ").split(" ")
-            self._learn(set(words).difference(known))
-            out.append(np.frombuffer(b"".join(map(known.__getitem__, words)) + end, "<u2"))
+            if any(map(text.__contains__, self.added)):
+                raw = b"".join(self.added.get(part) or self._part(part) for part in self.spelt.split(text))
+            else:
+                raw = self._part(text)
+            out.append(np.frombuffer(raw + end, "<u2"))
         return out
 
+    def _part(self, text: str) -> bytes:
+        words = text.replace("\n", " ").split(" ")
+        self._learn(set(words).difference(self.known))
+        return b"".join(map(self.known.__getitem__, words))
+
 
 def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
@@ -150,32 +167,71 @@ def _document_counts(parts: DataFrame) -> np.ndarray:
     return out
 
 
+def bm25(terms, tf, length, idf: np.ndarray, mean_length: float) -> np.ndarray:
+    """Weight of a term that stands ``tf`` times in a unit of a length."""
+    tf = tf.astype(np.float32)
+    return idf[terms] * tf * np.float32(K1 + 1) / (tf + np.float32(K1) * (1 - B + B * length / np.float32(mean_length))).astype(np.float32)
+
+
+def themes(units: list[np.ndarray], idf: np.ndarray, mean_length: float) -> tuple[np.ndarray, np.ndarray]:
+    """Two telling terms of each unit; -1 where it has no second one.
+
+    Telling are terms with at least half the greatest weight of the unit. Of them the first two in one random
+    order of all terms are chosen, so the chance that two units agree is what their telling terms have in common.
+    ``idf`` is 0 for terms that are not to be chosen unless there is no other.
+    """
+    sizes = np.array([len(u) for u in units])
+    key, tf = np.unique(np.repeat(np.arange(len(units)), sizes) << 16 | np.concatenate(units), return_counts=True)
+    owner, terms = key >> 16, key & 0xFFFF
+    weight = bm25(terms, tf, sizes[owner].astype(np.float32), idf, mean_length)
+    starts = np.flatnonzero(np.diff(owner, prepend=-1))
+    telling = weight * 2 >= np.maximum.reduceat(weight, starts)[owner]
+    order = np.where(telling, ORDER[terms], len(ORDER))
+    out = []
+    for _ in range(2):
+        first = np.minimum.reduceat(order, starts)
+        out.append(np.where(first < len(ORDER), TERMS[first % len(ORDER)], -1))
+        order[order == first[owner]] = len(ORDER)
+    return out[0], out[1]
+
+
 class Index:
-    """BM25 postings of a shard's units."""
+    """BM25 postings of a shard's units; terms that many units hold stand in a table instead."""
 
     def __init__(self, units: list[np.ndarray], idf: np.ndarray, mean_length: float):
         found = [np.unique(u, return_counts=True) for u in units]
-        sizes = [len(t) for t, _ in found]
-        terms = np.concatenate([t for t, _ in found])
-        tf = np.concatenate([c for _, c in found]).astype(np.float32)
-        owner = np.repeat(np.arange(len(units)), sizes)
+        self.n = n = len(units)
+        self.own = np.cumsum([0, *(len(t) for t, _ in found)])
+        self.own_terms = terms = np.concatenate([t for t, _ in found])
+        tf = np.concatenate([c for _, c in found])
+        owner = np.repeat(np.arange(n), np.diff(self.own))
         length = np.array([len(u) for u in units], np.float32)[owner]
-        weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / np.float32(mean_length)))
-        self.own = np.cumsum([0, *sizes])
-        self.own_terms, self.own_weight = terms, weight
-        order = np.argsort(terms, kind="stable")
-        self.owner, self.weight = owner[order], weight[order]
-        self.bounds = np.searchsorted(terms[order], np.arange((1 << 16) + 1))
-        self.n = len(units)
+        weight = bm25(terms, tf, length, idf, mean_length)
+        # The table has at most four places for each posting.
+        common = np.flatnonzero(np.bincount(terms, minlength=1 << 16) * 4 > n)
+        self.column = np.full(1 << 16, -1, np.int64)
+        self.column[common] = np.arange(len(common))
+        at = self.column[terms]
+        self.table = np.zeros((n, len(common)), np.float32)
+        self.table[owner[at >= 0], at[at >= 0]] = weight[at >= 0]
+        rare = np.flatnonzero(at < 0)
+        rare = rare[np.argsort(terms[rare], kind="stable")]
+        self.owner, self.weight = owner[rare], weight[rare]
+        self.bounds = np.searchsorted(terms[rare], np.arange((1 << 16) + 1))
 
     def scores(self, unit: int) -> np.ndarray:
-        """BM25 of all units for the seed's most telling terms."""
-        mine = slice(self.own[unit], self.own[unit + 1])
-        terms, weight = self.own_terms[mine], self.own_weight[mine]
-        out = np.zeros(self.n, np.float32)
-        for t in terms[np.argsort(-weight, kind="stable")[:QUERY_TERMS]]:
-            a, b = self.bounds[t], self.bounds[t + 1]
-            out[self.owner[a:b]] += self.weight[a:b]
+        """BM25 of all units for all terms of the seed."""
+        terms = self.own_terms[self.own[unit] : self.own[unit + 1]]
+        at = self.column[terms]
+        asked = np.zeros(self.table.shape[1], np.float32)
+        asked[at[at >= 0]] = 1
+        out = self.table @ asked
+        rare = terms[at < 0].astype(np.int64)
+        first = self.bounds[rare]
+        many = self.bounds[rare + 1] - first
+        if many.sum():
+            postings = np.arange(many.sum()) + np.repeat(first - (np.cumsum(many) - many), many)
+            out += np.bincount(self.owner[postings], self.weight[postings], self.n).astype(np.float32)
         return out
 
 
@@ -224,51 +280,90 @@ def pack_units(units: list[np.ndarray], index: Index) -> Iterator[list[tuple[int
         yield window
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, cache: int = CACHE) -> DataFrame:
+def _themed(rests: DataFrame, idf: np.ndarray, mean_length: float) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                first, second = themes([np.frombuffer(x, "<u2") for x in batch["ids"].to_pylist()], idf, mean_length)
+                columns = [*batch.columns, pa.array(first, pa.int64()), pa.array(second, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "theme", "second"])
+
+    given = rests.select("doc_id", "start", "length", "doc_tokens", "ids", "row")
+    return given.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary, row long, theme long, second long")
+
+
+def dealt(themed: DataFrame, shard_tokens: int) -> DataFrame:
+    """Units with ``bucket``, ``part``, ``salt``: together the name of their shard, of about ``shard_tokens``.
+
+    Themes that fit a shard are put together whole, several to a shard. A larger theme is cut by the second
+    term; units that share both terms and still exceed a shard are dealt by the hash of their row.
+    The sizes are exact sums over all units, pairs of terms are never more than the vocabulary's.
+    """
+    tokens, most = F.col("tokens"), F.lit(shard_tokens)
+    of_theme = Window.partitionBy("theme")
+    sizes = themed.groupBy("theme", "second").agg(F.sum("length").alias("tokens"))
+    sizes = sizes.withColumns({
+        "whole": F.sum("tokens").over(of_theme),
+        "light": F.sum(F.when(tokens <= most, tokens)).over(of_theme),
+    })
+    sizes = materialise(sizes, "themes")
+    fits = F.col("whole") <= most
+    small = sizes.filter(fits).agg(F.sum("tokens")).first()[0] or 0
+
+    def one_of(c: str, n) -> Column:
+        return F.pmod(F.xxhash64(c), F.greatest(F.lit(1), F.ceil(n / most)).cast("long"))
+
+    light = tokens <= most
+    names = {
+        "bucket": F.when(fits, F.lit(-1)).otherwise(F.col("theme")),
+        "part": F.when(fits | light, F.lit(-2)).otherwise(F.col("second")),
+        "salt": F.when(fits, one_of("theme", F.lit(small))).when(light, one_of("second", F.col("light"))).otherwise(one_of("row", tokens)),
+    }
+    return themed.join(sizes, ["theme", "second"]).withColumns(names).drop("theme", "second", *sizes.columns[2:])
+
+
+def pack(docs: DataFrame, tokenizer: str | None = None, cache: int = CACHE, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Pieces of all documents, in sequences of at most 2048 tokens.
 
     A null text counts as empty and is one piece, the end id alone. Rows that share a doc_id are packed
     each for itself. Windows that a document fills alone are sequences of their own; what is left of
     it is a seed or a neighbour. Every sequence is full except the last of each shard. An empty table gives no pieces.
 
-    A shard is chosen by the hash of the row's number, so shards are even however many copies a
-    document has; what it holds is bounded by the average of ``SHARD_TOKENS``. Term statistics come from all documents.
+    A shard holds documents that share telling terms (:func:`themes`, :func:`dealt`), about ``shard_tokens`` tokens
+    of them; telling are terms of great BM25 weight that stand in enough documents to fill some windows.
+    Statistics of terms come from all documents. What windows hold does not depend on how files
+    are split, unless more than a shard of documents share both terms; ``sequence_id`` does.
     """
     path = tokenizer or default_tokenizer()
     parts = tokenised(docs, path, cache).withColumn("row", F.monotonically_increasing_id())
     parts = materialise(parts, "tokens")
     rest = parts.filter("kind = 'r'").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("tokens")).first()
-    rows = parts.filter("kind <> 'c'")
     having = _document_counts(parts)
     # Every document has the end id exactly where its text ends.
     documents = int(having[END_ID])
     idf = np.log1p((documents - having + 0.5) / (having + 0.5)).clip(0).astype(np.float32)
     mean_length = max(1.0, (rest["tokens"] or 0) / max(1, rest["n"]))
-    shards = max(1, -(-(rest["tokens"] or 0) // SHARD_TOKENS))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
+    telling = np.where(having * mean_length >= THEME_WINDOWS * WINDOW, idf, 0).astype(np.float32)
+    themed = materialise(_themed(parts.filter("kind = 'r'"), telling, mean_length), "themes")
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def shard(group: pa.Table) -> pa.Table:
-        g = group.sort_by("row").to_pydict()
-        number, out = g["shard"][0] << 32, []
-        rests = []
-        for k, kind in enumerate(g["kind"]):
-            if kind == "w":
-                out.append((g["doc_id"][k], g["start"][k], WINDOW, g["crc"][k], g["doc_tokens"][k], number, 0))
-                number += 1
-            else:
-                rests.append(k)
-        if rests:
-            units = [np.frombuffer(g["ids"][k], "<u2") for k in rests]
-            for window in pack_units(units, Index(units, idf, mean_length)):
-                offset = 0
-                for u, first, n in window:
-                    k = rests[u]
-                    crc = _crc(units[u][first : first + n])
-                    out.append((g["doc_id"][k], g["start"][k] + first, n, crc, g["doc_tokens"][k], number, offset))
-                    offset += n
-                number += 1
+        g = group.sort_by([(c, "ascending") for c in ("doc_id", "start", "doc_tokens", "ids", "row")]).to_pydict()
+        units = [np.frombuffer(x, "<u2") for x in g["ids"]]
+        out = []
+        for window in pack_units(units, Index(units, idf, mean_length)):
+            # A seed is used up by its window, so its row names the sequence.
+            offset, sequence = 0, g["row"][window[0][0]]
+            for u, first, n in window:
+                crc = _crc(units[u][first : first + n])
+                out.append((g["doc_id"][u], g["start"][u] + first, n, crc, g["doc_tokens"][u], sequence, offset))
+                offset += n
         return pa.table([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
 
-    return dealt.groupBy("shard").applyInArrow(shard, PIECE)
+    packed = dealt(themed, shard_tokens).groupBy("bucket", "part", "salt").applyInArrow(shard, PIECE)
+    full = parts.filter("kind = 'w'").select(
+        "doc_id", "start", "length", F.col("crc").alias("ids_crc32"), "doc_tokens", F.col("row").alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+    )
+    return full.unionByName(packed)

@@ -10,9 +10,7 @@ from strataflow.llm import packing
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(packing.default_tokenizer())
 
 
 def ids_of(tokenizer, text):
@@ -64,6 +62,7 @@ def test_odd_rows(odd, nothing, tokenizer):
 def test_words_encode_like_whole_texts(tokenizer):
     encode = packing.Encoder(packing.default_tokenizer())
     texts = ["It's  we'll\tI'm\n\n'sx 'd", "é e\u0301 \u0301x", "<|endoftext|> a<|startoftext|>b", "x\u00a0y\u2003z \u0085", "12 3a4 !!?? 𝒳😀", "", " \n ", "İstanbul ΣΑΣ Σ ς", "Than, ÉTÉ été. e\u0301te\u0301, ǅ ª º ß. ﬁ, 中文! ñ; don't: it's.", "x.. , .,", "".join(map(chr, range(0x250)))]
+    texts += ["<|endoftext|>", "x<|endoftext|>y <|startoftext|>", "<|ENDOFTEXT|> <|endoftext", "a\u0301<|endoftext|>\u0301\n<|startoftext|><|endoftext|>"]
     texts += [chr(c) + "a. " + "a" + chr(c) + ", " + chr(c) for c in range(0xA0, 0x3000, 7)]
     for text, ids in zip(texts, encode(texts)):
         assert ids.tolist() == ids_of(tokenizer, text)
@@ -83,10 +82,9 @@ def test_neighbours_come_by_bm25():
     index = packing.Index(units, idf, 50.0)
     # Scores are BM25, term by term.
     seed, other = 0, 7
-    terms, tf = np.unique(units[seed], return_counts=True)
-    weight = idf[terms] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(units[seed]) / 50.0))
+    terms = np.unique(units[seed])
     want = 0.0
-    for t in terms[np.argsort(-weight, kind="stable")[: packing.QUERY_TERMS]]:
+    for t in terms:
         f = int((units[other] == t).sum())
         want += idf[t] * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(units[other]) / 50.0))
     assert abs(index.scores(seed)[other] - want) < 1e-3
@@ -94,3 +92,50 @@ def test_neighbours_come_by_bm25():
     assert sum(n for w in windows for _, _, n in w) == sum(map(len, units))
     same = [np.mean([topic[u] == topic[w[0][0]] for u, _, _ in w]) for w in windows]
     assert np.mean(same) > 0.9
+
+
+TOPICS = 40
+
+
+def topical(spark, tmp_path, name, files):
+    """Documents of 40 topics; a window of one topic needs documents from anywhere in the table."""
+    rng = np.random.default_rng(5)
+    words = [f"{a}{b}{c}{d}" for a in "bdfgklmn" for b in "aeiou" for c in "prstvz" for d in ("on", "el", "ix", "um", "as")]
+    rows = []
+    for k in range(4000):
+        topic = k % TOPICS
+        own = rng.choice(words[topic * 25 : topic * 25 + 25], 90)
+        rows.append((k, " ".join([*own, *rng.choice(words[1000:], 30)])))
+    path = str(tmp_path / name)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(files).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def windows_of(pieces):
+    held = defaultdict(list)
+    for p in pieces:
+        held[p.sequence_id].append((p.offset, p.doc_id, p.start, p.length))
+    return sorted(tuple(sorted(w)) for w in held.values())
+
+
+def test_many_shards_find_the_neighbours_that_one_finds(spark, tmp_path, tokenizer):
+    docs = topical(spark, tmp_path, "a", 3)
+    share = {}
+    for tokens in (1 << 40, 60_000):
+        got = windows_of(packing.pack(docs, shard_tokens=tokens).collect())
+        share[tokens] = np.mean([np.mean([d % TOPICS == w[0][1] % TOPICS for _, d, _, _ in w]) for w in got])
+    assert share[1 << 40] > 0.9 and share[60_000] > share[1 << 40] - 0.02
+
+
+def test_windows_do_not_depend_on_files(spark, tmp_path):
+    one, other = (windows_of(packing.pack(topical(spark, tmp_path, f"f{n}", n), shard_tokens=100_000).collect()) for n in (1, 7))
+    assert one == other
+
+
+def test_a_theme_larger_than_a_shard_is_dealt_out(spark):
+    rows = [(k, k % 3, 1) for k in range(900)] + [(1000 + k, 3, k % 50) for k in range(900)] + [(5000 + k, 4 + k % 90, -1) for k in range(900)]
+    units = spark.createDataFrame([(r, 100, a, b) for r, a, b in rows], "row long, length long, theme long, second long")
+    got = packing.dealt(units, 10_000).groupBy("bucket", "part", "salt").sum("length").collect()
+    assert sum(r["sum(length)"] for r in got) == 270_000
+    assert max(r["sum(length)"] for r in got) < 40_000 and 20 <= len(got) < 40
+    assert {r.part for r in got if r.bucket in (0, 1, 2)} == {1}
