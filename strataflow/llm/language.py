@@ -14,13 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialise
 
 WINDOW = 192
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBEDDING = 6
 SAMPLE_PER_LANGUAGE = 1500  # windows; the bound of the training sample
-LANGUAGES = 200  # most frequent ones that get a class
+SAMPLE = 60_000  # windows of all languages together
 UNKNOWN = "und"
 
 
@@ -139,29 +140,41 @@ def windows_of(raw: bytes) -> np.ndarray:
 # ---- Spark ------------------------------------------------------------------------------------
 
 
-def training_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, seed: str = "w"):
-    """Windows and class numbers of at most about ``per_language`` documents of each language, one window of each.
+def training_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, seed: str = "w", windows: int = SAMPLE):
+    """Windows and class numbers of at most ``per_language`` distinct texts of each language, one window of each.
 
-    The documents are those whose text hash falls below a share set from the exact count of their
-    language, so the sample spreads over the whole table. The window is a place in the text that the
-    text's hash chooses.
+    Every language has a class. With many of them each gets fewer texts, so that all together are ``windows`` at most (one of
+    each language at least). The texts are those whose hash falls below a share set from the exact count of distinct
+    texts of their language, so the sample spreads over the whole table and a text counts once, however
+    many rows repeat it. The window is a place in the text that the text's hash chooses.
     """
+    drawn_by = F.xxhash64(F.lit(seed), "text")
     labelled = (
         docs.select("doc_id", F.col("lang").cast("string"), "text")
         .filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     )
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
+    counts = labelled.groupBy("lang").agg(F.count_distinct(drawn_by).alias("n"))
+    counts = materialise(counts, "languages")
+    names = sorted(r["lang"] for r in counts.select("lang").collect())
+    if not names:
         return [], np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64)
-    names = sorted(r["lang"] for r in counts)
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, per_language / r["count"]))])
-    draw = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    each = max(1, min(per_language, windows // len(names)))
+    # Some more than wanted, so that chance leaves no language short; the first by hash are taken. All, if few.
+    share = F.lit(each + 6 * each**0.5 + 20) / F.col("n")
     n = F.length("text")
     start = F.pmod(F.xxhash64("text", F.lit(seed)), F.greatest(n - WINDOW + 1, F.lit(1))) + 1
-    drawn = labelled.filter(draw < share[F.col("lang")]).select("lang", F.substr("text", start.cast("int"), F.lit(WINDOW)).alias("w"))
-    got = drawn.toArrow()
-    order = sorted(zip(got["lang"].to_pylist(), got["w"].to_pylist()))
-    x = np.concatenate([windows_of(w.encode()[:WINDOW]) for _, w in order]) if order else np.zeros((0, WINDOW), np.uint8)
+    cut = labelled.select("lang", drawn_by.alias("o"), F.substr("text", start.cast("int"), F.lit(WINDOW)).alias("w"))
+    near = cut.join(counts, "lang").filter(F.pmod("o", F.lit(1 << 40)) / F.lit(float(1 << 40)) < share)
+    texts_of = near.groupBy("lang", "o").agg(F.min("w").alias("w"))
+    got = texts_of.select("lang", F.pmod("o", F.lit(1 << 40)).alias("o"), "w").toArrow().sort_by([(c, "ascending") for c in ("lang", "o", "w")])
+    order: list[tuple[str, str]] = []
+    taken: dict[str, int] = {}
+    for lang, w in zip(got["lang"].to_pylist(), got["w"].to_pylist()):
+        taken[lang] = taken.get(lang, 0) + 1
+        if taken[lang] <= each:
+            order.append((lang, w))
+    order.sort()
+    x = np.concatenate([windows_of(w.encode()[:WINDOW]) for _, w in order])
     number = {name: k for k, name in enumerate(names)}
     return names, x, np.array([number[name] for name, _ in order], np.int64)
 

@@ -187,11 +187,21 @@ def fit(x: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 0.1, decay
     return w[:-1], float(w[-1])
 
 
+def distinct_sample(read: DataFrame, distinct: int, sample: int) -> DataFrame:
+    """``rk``, ``text`` of about ``sample`` of the ``distinct`` texts, each once however many rows repeat it.
+
+    A few more are drawn, so that chance leaves none of the sample out.
+    """
+    share = (sample + 6 * sample**0.5 + 20) / max(1, distinct)
+    some = read.filter(F.pmod(F.xxhash64("rk"), F.lit(1 << 40)) / F.lit(float(1 << 40)) < share)
+    return some.groupBy("rk").agg(F.min("text").alias("text"))
+
+
 def classify(docs: DataFrame, sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
     """``doc_id``, ``score``, ``keep`` of every row.
 
     Votes are counted over the whole table (at most 3^11 patterns reach the driver); the scorer learns
-    the posteriors on about ``sample`` documents drawn by the hash of their text. ``score`` is its probability of good
+    the posteriors on at most ``sample`` distinct texts, drawn by their hash. ``score`` is its probability of good
     quality, ``keep`` that it is at least ``least``. A null text counts as empty; a text without words has
     score 0. Equal texts score alike. An empty table gives an empty table.
     """
@@ -208,17 +218,17 @@ def classify(docs: DataFrame, sample: int = SAMPLE, least: float = 0.5) -> DataF
         return seen.select("doc_id", F.lit(0.0).alias("score"), F.lit(False).alias("keep"))
     _, _, good = estimate(patterns["votes"], patterns["count"])
 
-    part = min(1.0, sample / sum(patterns["count"]))
-    drawn = read.filter(F.pmod(F.col("rk"), F.lit(1 << 20)) < int(part * (1 << 20)))
+    drawn = distinct_sample(read, seen.agg(F.count_distinct("rk")).first()[0], sample)
 
     def hashed(batches: Iterator[dict]):
         vector = Hasher()
         for b in batches:
-            for t in b["text"]:
+            for k, t in zip(b["rk"], b["text"]):
                 x = vector(t)
-                yield votes(t), np.flatnonzero(x).tolist(), x[x != 0].tolist()
+                yield k, votes(t), np.flatnonzero(x).tolist(), x[x != 0].tolist()
 
-    got = map_rows(drawn, hashed, "votes string, at array<int>, value array<float>").toArrow().to_pydict()
+    got = map_rows(drawn, hashed, "rk long, votes string, at array<int>, value array<float>").toArrow()
+    got = got.sort_by("rk").slice(0, sample).to_pydict()
     x = np.zeros((max(1, len(got["votes"])), DIMENSIONS), np.float32)
     for row, at, value in zip(x, got["at"], got["value"]):
         row[at] = value

@@ -40,6 +40,33 @@ def test_odd_rows(odd, nothing):
     assert not {1, 2, 3, 10} & set(kept) and {7, 8, 9} <= set(kept)
 
 
+def test_copies_do_not_fill_the_sample(spark):
+    """Half of all rows are one text: it is one example, and the bound holds."""
+    rows = [(k, "the same words again and again" if k % 2 else f"some text {k} of many", "en") for k in range(6000)]
+    names, x, y = language.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 500)
+    assert names == ["en"] and len(x) == len(y) == 500
+    assert len(np.unique(x, axis=0)) == 500
+    learned = {t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    names, x, y = language.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 5000)
+    assert len(x) == len(learned)
+
+
+def test_every_language_has_a_class(spark):
+    """300 languages, each with characters of its own."""
+    rows, at = [], 0
+    for k in range(300):
+        for n in range(6):
+            rows.append((at, chr(0x4E00 + 7 * k) * (20 + n) + " " + chr(0x4E00 + 7 * k + 1) * 9, f"l{k:03d}"))
+            at += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = sorted({lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1})
+    assert len(learned) > 290
+    names, x, y = language.training_sample(docs, 4)
+    assert names == learned and set(y) == set(range(len(names))) and np.bincount(y).max() <= 4
+    names, x, y = language.training_sample(docs, 4, windows=600)
+    assert names == learned and np.bincount(y).min() >= 1 and len(x) <= 600
+
+
 def test_lookup_tables_equal_the_network():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 256, (30, language.WINDOW)).astype(np.uint8)
