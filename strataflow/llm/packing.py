@@ -135,11 +135,13 @@ def tokenised(docs: DataFrame, path: str, cache: int = CACHE) -> DataFrame:
 
     def rows(batches: Iterator[dict]):
         encode = Encoder(path, cache)
-        having = np.zeros(1 << 16, np.int64)
+        having, last = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         for b in batches:
             for doc_id, ids in zip(b["doc_id"], encode(b["text"])):
-                having[np.unique(ids)] += 1
                 n, whole = len(ids), len(ids) // WINDOW * WINDOW
+                place = np.arange(n)
+                last[ids] = place
+                having[ids[last[ids] == place]] += 1  # each id once, where it stands last
                 for at in range(0, whole, WINDOW):
                     yield "w", doc_id, at, WINDOW, n, _crc(ids[at : at + WINDOW]), None
                 if n > whole:
@@ -298,7 +300,9 @@ def dealt(themed: DataFrame, shard_tokens: int) -> DataFrame:
 
     Themes that fit a shard are put together whole, several to a shard. A larger theme is cut by the second
     term; units that share both terms and still exceed a shard are dealt by the hash of their row.
-    The sizes are exact sums over all units, pairs of terms are never more than the vocabulary's.
+    The sizes are exact sums over all units. What is joined to the units are two small tables: of the large themes (never
+    more than the vocabulary), and of pairs that exceed a shard (one for each shard's tokens at most). Both are written
+    first, so Spark broadcasts one only if its size allows it.
     """
     tokens, most = F.col("tokens"), F.lit(shard_tokens)
     of_theme = Window.partitionBy("theme")
@@ -307,20 +311,23 @@ def dealt(themed: DataFrame, shard_tokens: int) -> DataFrame:
         "whole": F.sum("tokens").over(of_theme),
         "light": F.sum(F.when(tokens <= most, tokens)).over(of_theme),
     })
-    sizes = materialise(sizes, "themes")
+    sizes = materialise(sizes, "sizes")
     fits = F.col("whole") <= most
     small = sizes.filter(fits).agg(F.sum("tokens")).first()[0] or 0
+    large = materialise(sizes.filter(~fits).groupBy("theme").agg(F.max(F.coalesce("light", F.lit(0))).alias("light")), "large")
+    heavy = materialise(sizes.filter(~fits & (tokens > most)).select("theme", "second", "tokens"), "heavy")
 
     def one_of(c: str, n) -> Column:
         return F.pmod(F.xxhash64(c), F.greatest(F.lit(1), F.ceil(n / most)).cast("long"))
 
-    light = tokens <= most
+    fits, light = F.col("light").isNull(), tokens.isNull()
     names = {
         "bucket": F.when(fits, F.lit(-1)).otherwise(F.col("theme")),
-        "part": F.when(fits | light, F.lit(-2)).otherwise(F.col("second")),
+        "part": F.when(light, F.lit(-2)).otherwise(F.col("second")),
         "salt": F.when(fits, one_of("theme", F.lit(small))).when(light, one_of("second", F.col("light"))).otherwise(one_of("row", tokens)),
     }
-    return themed.join(sizes, ["theme", "second"]).withColumns(names).drop("theme", "second", *sizes.columns[2:])
+    sized = themed.join(large, "theme", "left").join(heavy, ["theme", "second"], "left")
+    return sized.withColumns(names).drop("theme", "second", "light", "tokens")
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, cache: int = CACHE, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
