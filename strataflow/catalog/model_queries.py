@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..plans import correlation, pooled, regression, series
 from ..plans.series import SERIES, STRATUM
+from ..sources.bucketed import read_bucketed
+from ..sources.scratch import shared_folder
 from . import fixtures as fx
 from .registry import query
 from .shape_queries import TIDY_SQL, tidy_rates
@@ -34,6 +36,15 @@ def sr_series_monthly(spark, d):
     return monthly(spark, d).withColumn("person_years_sum", F.round("person_years_sum", 5))
 
 
+@query("stored_series", "SELECT * FROM fx_sr_quarterly")
+def stored_series(spark, d):
+    """The quarterly series from rolled-up rows stored by series keys."""
+    path = shared_folder(spark, "rollup")
+    series.write_rollup(fx.with_intervals(fx.incidence(spark, d, persons=False)), path, buckets=8)
+    stored = series.series_from_rollup(read_bucketed(spark, path), timepoints=fx.TIMEPOINTS)
+    return stored.withColumn("person_years_sum", F.round("person_years_sum", 5))
+
+
 @query(
     "raw_rate_series",
     f"""SELECT incidence_start_date AS "Date", incidence AS "Forecast", incidence_95CI_lower AS "Lower_95_CI",

@@ -12,6 +12,7 @@ from ..functions.missing import as_col
 from ..operators.aggregates import monthly_rollup, quarterly_rollup
 from ..operators.filters import complete_rows, drop_timepoint_row, monthly_subset
 from ..operators.windows import at_timepoints, intervention_flag, time_index, trim_and_fill
+from ..sources.bucketed import write_bucketed
 
 STRATUM = (
     "database_name",
@@ -24,12 +25,16 @@ SERIES = (*STRATUM, "timepoint")
 _DATE = "incidence_start_date"
 
 
-def _model_input(
-    rolled: DataFrame, keys: Sequence[str], timepoints: Sequence[date | str], zero_sum_fill: float
+def series_from_rollup(
+    rolled: DataFrame,
+    keys: Sequence[str] = STRATUM,
+    timepoints: Sequence[date | str] = (),
+    zero_sum_fill: float = 5.0,
 ) -> DataFrame:
     """Flag, cut and number rolled-up periods.
 
-    Timepoints multiply the rolled-up rows, never the raw ones; both windows share one exchange.
+    Timepoints multiply the rolled-up rows, never the raw ones; both windows share one exchange, and
+    need none on a rollup of :func:`write_rollup`.
     """
     series = [*keys, "timepoint"]
     timed = at_timepoints(rolled, timepoints)
@@ -47,7 +52,7 @@ def sr_series_quarterly(
 ) -> DataFrame:
     """Quarterly counts, person-years, intervention flag and time index per series."""
     rolled = quarterly_rollup(monthly_subset(df), keys, na_event_fill)
-    return _model_input(rolled, keys, timepoints, zero_sum_fill)
+    return series_from_rollup(rolled, keys, timepoints, zero_sum_fill)
 
 
 def sr_series_monthly(
@@ -59,7 +64,25 @@ def sr_series_monthly(
 ) -> DataFrame:
     """The same at month grain, quarter kept for the seasonal term."""
     rolled = monthly_rollup(monthly_subset(df), keys, na_event_fill)
-    return _model_input(rolled, keys, timepoints, zero_sum_fill)
+    return series_from_rollup(rolled, keys, timepoints, zero_sum_fill)
+
+
+def write_rollup(
+    df: DataFrame,
+    path: str,
+    keys: Sequence[str] = STRATUM,
+    period: str = "quarter",
+    na_event_fill: float = 1.0,
+    buckets: int = 200,
+) -> None:
+    """Roll up once and store the rows by series keys, to be read with ``sources.bucketed.read_bucketed``.
+
+    Any choice of timepoints, models and residual checks then starts from the stored rows and moves none of them. A
+    series has at most one row per ``period`` (``quarter`` or ``month``), so no bucket grows with a hot stratum.
+    """
+    rollups = {"quarter": quarterly_rollup, "month": monthly_rollup}
+    rolled = rollups[period](monthly_subset(df), keys, na_event_fill)
+    write_bucketed(rolled, path, keys, [_DATE], buckets)
 
 
 # Names of forecast columns and models.

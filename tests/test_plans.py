@@ -9,6 +9,7 @@ from strataflow.operators import aggregates, joins, windows
 from strataflow.operators.summarised import format_estimates, split_all
 from strataflow.plans import correlation, regression, series
 from strataflow.plans.series import SERIES, STRATUM
+from strataflow.sources.bucketed import read_bucketed, write_bucketed
 
 SCHEMA = (
     "database_name string, outcome_cohort_name string, denominator_age_group string, denominator_sex string, "
@@ -50,6 +51,39 @@ def test_fitting_and_correlating_add_no_exchange(raw):
     assert exchanges(r) == 2 and exchanges(correlation.pacf(r, SERIES)) == 2
 
 
+def test_stored_rollups_move_nothing(spark, tmp_path):
+    rows = spark.range(4000).selectExpr(
+        "concat('db', id % 5) as database_name", "concat('o', id % 3) as outcome_cohort_name",
+        "if(id % 2 = 0, '0 to 150', null) as denominator_age_group", "'Both' as denominator_sex", "'months' as analysis_interval",
+        "make_date(2018 + cast(id % 48 div 12 as int), 1 + cast(id % 12 as int), 1) as incidence_start_date",
+        "cast(5 + id % 7 as double) as n_events", "100.0D + id % 11 as person_years",
+    )
+    at = ["2020-03-01", "2020-04-01"]
+    for period, whole in (("quarter", series.sr_series_quarterly), ("month", series.sr_series_monthly)):
+        path = str(tmp_path / f"it's {period}")
+        series.write_rollup(rows, path, period=period, buckets=4)
+        stored = series.series_from_rollup(read_bucketed(spark, path), timepoints=at)
+        assert exchanges(stored) == 0
+        assert sorted(map(str, stored.collect())) == sorted(map(str, whole(rows, timepoints=at).collect()))
+    fits = regression.fit_segmented(stored)
+    assert exchanges(fits) == 0 and exchanges(regression.residual_acf(fits)) == 0
+    assert fits.count() == 3 * stored.select(*SERIES).distinct().count()
+    # Every bucket is one file.
+    assert len(list((tmp_path / "it's month" / "rows").glob("*.parquet"))) <= 4
+    with pytest.raises(Exception, match="(?i)exist"):
+        series.write_rollup(rows, path, period="month", buckets=4)
+
+
+def test_a_table_cut_short_cannot_be_read(spark, tmp_path):
+    before = {t.name for t in spark.catalog.listTables()}
+    failing = spark.range(10).selectExpr("id", "if(id = 7, raise_error('lost'), id) as v")
+    with pytest.raises(Exception, match="lost"):
+        write_bucketed(failing, str(tmp_path / "t"), ["id"], buckets=2)
+    with pytest.raises(Exception):
+        read_bucketed(spark, str(tmp_path / "t"))
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 SUMMARISED = (
     "cdm_name string, group_name string, group_level string, strata_name string, strata_level string, variable_name string, "
     "variable_level string, estimate_name string, estimate_type string, estimate_value string, "
