@@ -5,22 +5,25 @@ Each query writes its files when it is called.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans import incidence, lake, table_one
-from ..sources.scratch import shared_folder
+from ..sources.commits import publish, published, versions
+from ..sources.scratch import materialise, shared_folder
 from . import fixtures as fx
 from .registry import query
 from .shape_queries import DATABASES, PARTS, TABLE_ONE_SQL, cohorts
 from .tidy_queries import PRIORITY_LABELS
 
 
-def _written(df: DataFrame, name: str) -> str:
+def _written(df: DataFrame, name: str, root: str | None = None) -> str:
     """A folder of quoted CSV with an unnamed row index, ``NA`` and ``TRUE``/``FALSE``."""
     flags = {f.name: F.upper(F.col(f.name).cast("string")) for f in df.schema if f.dataType == T.BooleanType()}
-    root = f"{shared_folder(df.sparkSession, 'lake')}/My DB [v1]"
+    root = root or f"{shared_folder(df.sparkSession, 'lake')}/My DB [v1]"
     indexed = df.withColumns(flags).select(F.monotonically_increasing_id().alias(""), "*")
     options = {"header": True, "quoteAll": True, "nullValue": "NA", "escape": '"'}
     indexed.write.options(**options, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{root}/{name}")
@@ -96,3 +99,48 @@ def load_accented(spark, d):
     given = fx.attrition(spark, d).withColumn("reason", long)
     loaded = lake.load_results(spark, _written(given.coalesce(1), "Incidence_attrition.csv"))["incidence_attrition"]
     return loaded.select("cdm_name", "outcome_cohort_name", "reason_id", F.md5("reason").alias("reason"))
+
+
+@query(
+    "load_new_files",
+    """SELECT cdm_name, outcome_cohort_name, CAST(reason_id AS INTEGER) AS reason_id, reason,
+    CAST(number_records AS DOUBLE) AS number_records, CAST(number_subjects AS DOUBLE) AS number_subjects,
+    CAST(excluded_records AS DOUBLE) AS excluded_records, CAST(excluded_subjects AS DOUBLE) AS excluded_subjects FROM fx_attrition""",
+)
+def load_new_files(spark, d):
+    """Two loads into one lake: the second reads the files of one more database only."""
+    given = materialise(fx.attrition(spark, d), "attrition")
+    late = F.col("cdm_name") == "ASIA"
+    lake_root = f"{shared_folder(spark, 'silver')}/silver"
+    root = _written(given.filter(~late), "first/Incidence_attrition.csv")
+    lake.load_new(spark, root, lake_root)
+    _written(given.filter(late), "second/Incidence_attrition.csv", root)
+    lake.load_new(spark, root, lake_root)
+    return published(spark, lake_root)["incidence_attrition"].select(*given.columns)
+
+
+@query(
+    "lake_versions",
+    """WITH o AS (SELECT o_orderpriority, CASE WHEN o_orderstatus = 'P' THEN 'P' END AS state, o_custkey % 3 AS third FROM orders),
+    v AS (SELECT 1 AS version, * FROM o WHERE third = 0 UNION ALL SELECT 2, * FROM o WHERE third < 2
+      UNION ALL SELECT 3, * FROM o WHERE third = 2)
+    SELECT version, o_orderpriority, state, COUNT(*) AS orders FROM v GROUP BY ALL""",
+)
+def lake_versions(spark, d):
+    """A table begun, added to and replaced: each version stays readable."""
+    orders = fx.table(spark, d, "orders").select(
+        "o_orderpriority",
+        F.when(F.col("o_orderstatus") == "P", F.lit("P")).alias("state"),
+        (F.col("o_custkey") % 3).alias("third"),
+    )
+    root = f"{shared_folder(spark, 'versions')}/lake"
+    for third, append in ((0, ()), (1, ["orders"]), (2, ())):
+        part = {"orders": orders.filter(F.col("third") == third).drop("third")}
+        publish(spark, root, part, append, layout={"orders": ["o_orderpriority"]})
+    counted = [
+        published(spark, root, v)["orders"].groupBy(F.lit(v).alias("version"), "o_orderpriority", "state").agg(
+            F.count(F.lit(1)).alias("orders")
+        )
+        for v in versions(spark, root)
+    ]
+    return reduce(DataFrame.unionByName, counted)

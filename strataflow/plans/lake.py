@@ -21,7 +21,8 @@ from ..operators.projections import (
     rename_display,
 )
 from ..sources import dims, schemas
-from ..sources.files import FILE_CLASSES, classify_files, covariate_series, read_results
+from ..sources.commits import publish, published, versions, write_laid_out
+from ..sources.files import FILE_CLASSES, classify_files, classify_paths, covariate_series, literal_path, read_results
 
 # Short names of the rate columns.
 RATE_NAMES = {
@@ -30,6 +31,13 @@ RATE_NAMES = {
     "incidence_100000_pys_95CI_upper": "incidence_95CI_upper",
 }
 
+# How the large tables are laid out.
+SILVER_LAYOUT = {"incidence_estimates": ["database_name", "analysis_interval"]}
+# Tables of distinct rows over all files.
+DISTINCT_TABLES = {"denominator_cohorts"}
+# The table of files an incremental load has read.
+LOADED = "loaded_files"
+
 
 def tidy_estimates(df: DataFrame) -> DataFrame:
     """Names, aliases, calendar columns and defaults of the estimates."""
@@ -52,8 +60,10 @@ def paths_by_class(spark: SparkSession, root: str) -> dict[str, list[str]]:
 
 def load_results(spark: SparkSession, root: str, ragged: bool = True) -> dict[str, DataFrame]:
     """All tables of a result folder, tidied, by name; a class without files is absent."""
-    paths = paths_by_class(spark, root)
+    return _tables(spark, paths_by_class(spark, root), ragged)
+
 
+def _tables(spark: SparkSession, paths: Mapping[str, list[str]], ragged: bool) -> dict[str, DataFrame]:
     def read(name: str, schema, path_col: str | None = None) -> DataFrame | None:
         if not paths[name]:
             return None
@@ -113,14 +123,41 @@ def policy_index(spark: SparkSession, path: str) -> DataFrame:
 def write_silver(
     tables: Mapping[str, DataFrame], root: str, partition_by: Mapping[str, list[str]] | None = None
 ) -> None:
-    """Write tidied tables as Parquet, estimates laid out by database and interval.
+    """Write tidied tables as Parquet, estimates laid out by database and interval."""
+    layout = {**SILVER_LAYOUT, **(partition_by or {})}
+    for name, df in tables.items():
+        write_laid_out(df, f"{root.rstrip('/')}/{name}", layout.get(name, []))
 
-    Rebalancing by the layout columns gives few, even files; adaptive execution splits a database
-    that outgrows one task.
+
+def load_new(spark: SparkSession, source: str, root: str, ragged: bool = True) -> int:
+    """Publish what a result folder's new files hold, and return the version of the lake at ``root``.
+
+    Only files that no earlier load has read are read, and only their paths reach the driver: the
+    folder's listing meets the table ``loaded_files`` in an anti-join. Their rows, and their names in that
+    table, become visible in one commit, so a load that dies can be run again. Cohort
+    attributes are kept distinct over all loads. Without new files nothing is committed. A file that
+    was changed after it was loaded fails by name; rows of files that were removed since stay. A folder
+    without files of a class gives version 0.
     """
-    layout = {"incidence_estimates": ["database_name", "analysis_interval"], **(partition_by or {})}
-    for name, df in tables.items():
-        by = layout.get(name, [])
-        out = df.hint("rebalance", *[as_col(c) for c in by]) if by else df
-        writer = out.write.mode("errorifexists")
-        (writer.partitionBy(*by) if by else writer).parquet(f"{root.rstrip('/')}/{name}")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(literal_path(source))
+    found = classify_paths(listed.select("path", "length", F.col("modificationTime").alias("modified")))
+    found = found.filter(reduce(or_, [F.col(name) for name in FILE_CLASSES]))
+    before = published(spark, root)
+    if LOADED in before:
+        known = before[LOADED].select("path", F.struct("length", "modified").alias("was"))
+        now = F.struct("length", "modified")
+        changed = found.join(known.filter(as_col("was").isNotNull()), "path").filter(now != as_col("was"))
+        names = [r["path"] for r in changed.select("path").orderBy("path").limit(10).collect()]
+        if names:
+            raise ValueError(f"changed since they were loaded: {', '.join(names)}")
+        found = found.join(known, "path", "left_anti")
+    rows = found.collect()
+    if not rows:
+        return max(versions(spark, root), default=0)
+    tables = _tables(spark, {name: [r["path"] for r in rows if r[name]] for name in FILE_CLASSES}, ragged)
+    # What was read, not what the folder holds by now.
+    files = [(r["path"], r["length"], r["modified"]) for r in rows]
+    tables[LOADED] = spark.createDataFrame(files, "path string, length long, modified timestamp")
+    for name in DISTINCT_TABLES & set(tables) & set(before):
+        tables[name] = before[name].unionByName(tables[name]).distinct()
+    return publish(spark, root, tables, append=set(tables) - DISTINCT_TABLES, layout=SILVER_LAYOUT)
