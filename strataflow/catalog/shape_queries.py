@@ -436,6 +436,25 @@ def split_all(spark, d):
     return summarised.split_all(fx.summarised(spark, d), columns=PARTS)
 
 
+@query(
+    "split_known_levels",
+    """SELECT c_custkey, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'MACHINERY and tools' ELSE c_mktsegment END AS segment,
+    CASE WHEN c_custkey % 3 = 0 THEN 'overall' ELSE r_name END AS region
+    FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+)
+def split_known_levels(spark, d):
+    """A level that holds the separator keeps its parts, as it is known from rows of a single name."""
+    placed = fx.table(spark, d, "customer").join(fx.places(spark, d), F.col("c_nationkey") == F.col("n_nationkey"))
+    segment = F.when(F.col("c_mktsegment") == "MACHINERY", F.lit("MACHINERY and tools")).otherwise(F.col("c_mktsegment"))
+    single = F.col("c_custkey") % 3 == 0
+    df = placed.select(
+        "c_custkey",
+        F.when(single, "segment").otherwise("segment and region").alias("strata_name"),
+        F.when(single, segment).otherwise(F.concat(segment, F.lit(" and "), "r_name")).alias("strata_level"),
+    )
+    return summarised.split_strata(df, columns=["segment", "region"], known={})
+
+
 _ROUND_SQL = r"regexp_replace(CAST(CAST(round_even(CAST(estimate_value AS DOUBLE), 2) AS DECIMAL(38,2)) AS VARCHAR), '\.?0+$', '')"
 _LABEL_SQL = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PRIORITY_LABELS.items())
 TABLE_ONE_SQL = f"""WITH r AS (

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import as_col, null_safe_match
 from ..sources.scratch import materialise
+from ..sources.stored import few_keys, is_stored
 
 
 def _join_keeping_left(
@@ -81,7 +82,7 @@ def lookup_country(
 
 
 def with_group_stats(
-    df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column], written: bool = False
+    df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column], written: bool | None = None
 ) -> DataFrame:
     """Attach aggregates of a row's group to every row of it.
 
@@ -90,9 +91,13 @@ def with_group_stats(
 
     ``written`` suits few groups: their aggregates go to the shared folder first. The size of a
     written table is known when the join is planned, so a small one is broadcast and the rows of
-    ``df`` are not shuffled; a large one is joined by shuffling as before. Use it when ``df`` is a
+    ``df`` are not shuffled; a large one is joined by shuffling as before. It pays when ``df`` is a
     stored table: a computed one would be computed a second time, where one plan shares its shuffles.
+    By default a stored table's groups are counted by a sketch, in one pass over the key columns, and written
+    first if they are few enough to be broadcast. The result is the same either way.
     """
+    if written is None:
+        written = is_stored(df) and few_keys(df, keys, len(stats))
     grouped = df.groupBy(*[as_col(k) for k in keys]).agg(*[c.alias(n) for n, c in stats.items()])
     return left_join_on(df, materialise(grouped, "stats") if written else grouped, keys)
 
@@ -103,7 +108,7 @@ def scale_to_max(
     value: str,
     keys: Sequence[str],
     out: str | None = None,
-    written: bool = False,
+    written: bool | None = None,
 ) -> DataFrame:
     """Bring ``index`` onto the scale of ``value``: divide by max(index) / max(value) of the group.
 

@@ -35,13 +35,13 @@ def template_order(
     names: Sequence[str],
     order: str,
     name_col: str = "estimate_name",
-    written: bool = False,
+    written: bool | None = None,
 ) -> DataFrame:
     """Add ``format_id`` and ``name_first_id``, the keys to sort a group's rows by.
 
     Template names take their position 1..n; every other name comes after them, in the order of
     first appearance, which is what ``name_first_id`` orders by. ``written``: see
-    :func:`with_group_stats`; the choice for a stored table, as names are few.
+    :func:`with_group_stats`.
     """
     first = with_group_stats(df, [name_col], {"name_first_id": F.min(as_col(order))}, written)
     return first.withColumn("format_id", template_position(name_col, names))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.missing import as_col, one_of
 from .joins import left_join_on
+from .levels import combined_levels
 from .projections import require_columns
 from .sets import bag_union, template_position
 from .sets import template_order as template_rank
@@ -204,23 +205,32 @@ def split_name_level(
     fill: str | None = OVERALL,
     columns: Sequence[str] | None = None,
     separator: str = text.LEVEL_SEPARATOR,
+    known: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """One column per distinct part of ``name``, holding the part of ``level`` at the same place.
 
     Names and levels of different length fail the job. Rows without a part get ``fill``. The new
     columns take the place of the pair. ``columns`` names the parts to expect and spares the
     distinct job that finds them; a part it does not name fails the job. ``separator`` is the pattern
-    between parts; give a narrower one where levels hold the word ``and``.
+    between parts; give a narrower one where levels hold the word ``and``. Or give ``known``, levels by
+    name, an empty mapping too: levels with too many parts are then read by the known ones and
+    those seen elsewhere in the table (:func:`.levels.combined_levels`).
     """
     require_columns(df, [name, level])
     parts = list(columns) if columns is not None else _distinct_parts(df, [name], separator)[name]
     # Column names ignore case.
     folded = {p.lower() for p in parts}
-    clash = [c for c in df.columns if c.lower() in folded]
+    given = df.columns
+    clash = [c for c in given if c.lower() in folded]
     if clash:
         warnings.warn(f"columns replaced by parts of {name}: {', '.join(clash)}")
 
     names, levels = text.split_levels(name, separator), text.split_levels(level, separator)
+    if known is not None:
+        read = combined_levels(df, name, level, known, separator)
+        read = read.select(as_col("name").alias("__name"), as_col("level").alias("__level"), as_col("parts").alias("__parts"))
+        df = df.join(read, (as_col(name) == as_col("__name")) & (as_col(level) == as_col("__level")), "left")
+        levels = F.coalesce(as_col("__parts"), levels)
     own = F.array_remove(names, OVERALL)
     checked = (
         F.when(
@@ -246,7 +256,7 @@ def split_name_level(
 
     new = [value(p).alias(p) for p in parts]
     out: list[Column] = []
-    for c in df.columns:
+    for c in given:
         if c == name:
             if keep:
                 out += [as_col(name), as_col(level)]
@@ -261,16 +271,16 @@ def split_name_level(
     return df.select(*out)
 
 
-def split_group(df, keep=False, fill=OVERALL, columns=None, separator=text.LEVEL_SEPARATOR) -> DataFrame:
-    return split_name_level(df, "group_name", "group_level", keep, fill, columns, separator)
+def split_group(df, keep=False, fill=OVERALL, columns=None, separator=text.LEVEL_SEPARATOR, known=None) -> DataFrame:
+    return split_name_level(df, "group_name", "group_level", keep, fill, columns, separator, known)
 
 
-def split_strata(df, keep=False, fill=OVERALL, columns=None, separator=text.LEVEL_SEPARATOR) -> DataFrame:
-    return split_name_level(df, "strata_name", "strata_level", keep, fill, columns, separator)
+def split_strata(df, keep=False, fill=OVERALL, columns=None, separator=text.LEVEL_SEPARATOR, known=None) -> DataFrame:
+    return split_name_level(df, "strata_name", "strata_level", keep, fill, columns, separator, known)
 
 
-def split_additional(df, keep=False, fill=OVERALL, columns=None, separator=text.LEVEL_SEPARATOR) -> DataFrame:
-    return split_name_level(df, "additional_name", "additional_level", keep, fill, columns, separator)
+def split_additional(df, keep=False, fill=OVERALL, columns=None, separator=text.LEVEL_SEPARATOR, known=None) -> DataFrame:
+    return split_name_level(df, "additional_name", "additional_level", keep, fill, columns, separator, known)
 
 
 def split_all(
@@ -279,16 +289,18 @@ def split_all(
     fill: str | None = OVERALL,
     columns: Mapping[str, Sequence[str]] | None = None,
     separator: str = text.LEVEL_SEPARATOR,
+    known: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """Split the group, strata and additional pairs.
 
-    ``columns`` may list the expected parts under ``group``, ``strata`` and ``additional``.
+    ``columns`` may list the expected parts under ``group``, ``strata`` and ``additional``. ``known``: see
+    :func:`split_name_level`.
     """
     columns = dict(columns or {})
     open_pairs = [p for p in ("group", "strata", "additional") if columns.get(p) is None]
     if open_pairs:
         found = _distinct_parts(df, [f"{p}_name" for p in open_pairs], separator)
         columns |= {p: found[f"{p}_name"] for p in open_pairs}
-    df = split_group(df, keep, fill, columns.get("group"), separator)
-    df = split_strata(df, keep, fill, columns.get("strata"), separator)
-    return split_additional(df, keep, fill, columns.get("additional"), separator)
+    df = split_group(df, keep, fill, columns.get("group"), separator, known)
+    df = split_strata(df, keep, fill, columns.get("strata"), separator, known)
+    return split_additional(df, keep, fill, columns.get("additional"), separator, known)

@@ -22,20 +22,30 @@ def _series(keys: Sequence[str], date_col: str):
     return W.partitionBy(*[as_col(k) for k in keys]).orderBy(as_col(date_col))
 
 
-def group_min_id(df: DataFrame, cols: Sequence[str], order: str, out: str = "group_id") -> DataFrame:
-    """Smallest row id of the group a row belongs to."""
-    return with_group_stats(df, cols, {out: F.min(as_col(order))})
+def group_min_id(
+    df: DataFrame, cols: Sequence[str], order: str, out: str = "group_id", written: bool | None = None
+) -> DataFrame:
+    """Smallest row id of the group a row belongs to. ``written``: see :func:`with_group_stats`."""
+    return with_group_stats(df, cols, {out: F.min(as_col(order))}, written)
 
 
 def complete_groups(
-    df: DataFrame, cols: Sequence[str], names: Sequence[str], name_col: str = "estimate_name"
+    df: DataFrame,
+    cols: Sequence[str],
+    names: Sequence[str],
+    name_col: str = "estimate_name",
+    written: bool | None = None,
 ) -> DataFrame:
-    """Rows of the named estimates, in groups that hold each of them exactly once."""
+    """Rows of the named estimates, in groups that hold each of them exactly once.
+
+    ``written``: see :func:`with_group_stats`.
+    """
     named = df.filter(one_of(name_col, names))
     counted = with_group_stats(
         named,
         cols,
         {"__n": F.count(F.lit(1)), "__names": F.count_distinct(as_col(name_col))},
+        written,
     )
     full = (as_col("__n") == len(names)) & (as_col("__names") == len(names))
     return counted.filter(full).drop("__n", "__names")
@@ -103,11 +113,11 @@ def nth_last_date(date_col: str, k: int, over=None) -> Column:
 
 
 def drop_last_dates(
-    df: DataFrame, keys: Sequence[str], date_col: str, k: int = 5, written: bool = False
+    df: DataFrame, keys: Sequence[str], date_col: str, k: int = 5, written: bool | None = None
 ) -> DataFrame:
     """Remove the rows of each series' last ``k`` distinct dates.
 
-    ``written``: see :func:`with_group_stats`; the choice for a stored table of few series.
+    ``written``: see :func:`with_group_stats`.
     """
     return (
         with_group_stats(df, keys, {"__cutoff": nth_last_date(date_col, k)}, written)

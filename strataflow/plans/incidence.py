@@ -163,20 +163,22 @@ def attrition_flow(
     keys: Sequence[str] = ("cdm_name", "cohort_name"),
     columns: Mapping[str, Sequence[str]] | None = None,
     separator: str = LEVEL_SEPARATOR,
+    known: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """Flow of every cohort: a node per step, with what is lost on the way to the next step.
 
     Input is a summarised result whose strata hold ``reason`` and whose additional pair holds
     ``reason_id``; ``columns`` lists other parts where there are some, and a part not listed fails the
-    job. A reason that holds `` and `` is split there, which fails too: give ``separator=" &&& "`` for
-    such results. Steps of one cohort are few, so the window over a cohort stays small.
+    job. A reason that holds `` and `` is split there, which fails too: give ``separator=" &&& "`` or
+    ``known={}`` (:func:`.split_name_level`) for such results. Steps of one cohort are few, so the window over a cohort stays small.
     """
     parts = columns or {
         "group": ["cohort_name"],
         "strata": ["reason"],
         "additional": ["reason_id"],
     }
-    split = split_all(df.withColumn("additional_level", as_col("additional_level").cast("string")), columns=parts, separator=separator)
+    typed = df.withColumn("additional_level", as_col("additional_level").cast("string"))
+    split = split_all(typed, columns=parts, separator=separator, known=known)
     wide = pivot_attrition(split, [*keys, "reason_id", "reason"])
     steps = W.partitionBy(*[as_col(k) for k in keys]).orderBy("reason_id")
     return wide.withColumns(
