@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FILTER_BITS = (20, 26)
+# An Arrow batch ends after the row with which its texts reach so many code points.
+BATCH_CHARS = 1 << 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,19 +41,7 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[dict]], Iterator[tuple]], s
     arrow = pa.schema(_arrow_schema(df.sparkSession, schema))
 
     def run(batches):
-        def flush(out):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], schema=arrow
-            )
-
-        out = []
-        for row in rows(batch.to_pydict() for batch in small(batches)):
-            out.append(row)
-            if len(out) >= block:
-                yield flush(out)
-                out = []
-        if out:
-            yield flush(out)
+        yield from batched(rows(batch.to_pydict() for batch in small(batches)), arrow, block)
         pa.default_memory_pool().release_unused()  # the worker process lives on
 
     def small(batches):
@@ -63,6 +53,25 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[dict]], Iterator[tuple]], s
     return df.mapInArrow(run, schema)
 
 
+def batched(rows: Iterator[tuple], schema: pa.Schema, block: int, chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``block`` rows, fewer where texts are long: a batch ends when they reach ``chars`` code points."""
+    long = [k for k, t in enumerate(schema.types) if pa.types.is_string(t) or pa.types.is_binary(t)]
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+
+    out, held = [], 0
+    for row in rows:
+        out.append(row)
+        for k in long:
+            held += len(row[k] or "")
+        if len(out) >= block or held >= chars:
+            yield batch(out)
+            out, held = [], 0
+    if out:
+        yield batch(out)
+
+
 def _arrow_schema(spark, schema):
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string

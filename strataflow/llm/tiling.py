@@ -16,6 +16,7 @@ SEED_WORDS = 5
 COVERAGE = 0.6
 CACHE = 100_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
 class Words:
@@ -46,42 +47,72 @@ def rolling(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+class Runs:
+    """Karp-Rabin hashes of the runs of a word sequence, of any length, from one pass over it.
+
+    The base is odd, so it has an inverse modulo 2^64: with sums of word * base^-place, the hash of a run
+    is a difference of two sums times a power of the base.
+    """
+
+    def __init__(self, words: np.ndarray):
+        n = len(words)
+        self.words = words
+        self.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, BASE)]))
+        inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, INVERSE)]))
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(words * inverse[:n], dtype=np.uint64)])
+
+    def unmarked(self, free: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the runs of ``size`` free words."""
+        if len(self.words) < size:
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        taken = np.cumsum(np.concatenate([[0], ~free]))
+        at = np.flatnonzero(taken[size:] == taken[:-size])
+        return at, self.power[at + size - 1] * (self.sums[at + size] - self.sums[at])
+
+
 def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (place in item, place in text, words), each word in one tile at most.
 
     The longest common run of unmarked words is marked first, ties by place in the item, then in the
     text; runs shorter than ``least`` do not count.
+
+    Per length, runs of equal hash are gone through once: a run that a tile has touched stays
+    touched, so repetitive texts do not cost a comparison for each two of their runs.
     """
     found = []
+    x, y = Runs(item), Runs(text)
     free_item, free_text = np.ones(len(item), bool), np.ones(len(text), bool)
     # Only a text word that the item has can be in a tile.
     free_text &= np.isin(text, item)
-    size = _longest(item, text, free_item, free_text, least, len(item))
+    size = _longest(x, y, free_item, free_text, least, len(item))
     while size >= least:
-        for i, j in _matches(item, text, free_item, free_text, size):
-            if free_item[i : i + size].all() and free_text[j : j + size].all():
-                found.append((i, j, size))
-                free_item[i : i + size] = False
-                free_text[j : j + size] = False
-        size = _longest(item, text, free_item, free_text, least, size - 1)
+        at_item, groups = _common(x, y, free_item, free_text, size)
+        for i, h in at_item:
+            # All tiles of this round are as long as the run: one that overlaps it covers an end of it.
+            if not (free_item[i] and free_item[i + size - 1]):
+                continue
+            left = groups[h]
+            while left and not (free_text[left[-1]] and free_text[left[-1] + size - 1]):
+                left.pop()
+            for j in reversed(left):
+                if free_text[j] and free_text[j + size - 1] and np.array_equal(item[i : i + size], text[j : j + size]):
+                    found.append((i, j, size))
+                    free_item[i : i + size] = False
+                    free_text[j : j + size] = False
+                    break
+        size = _longest(x, y, free_item, free_text, least, size - 1)
     return found
 
 
-def _runs(words: np.ndarray, free: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of unmarked runs."""
-    if len(words) < size:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    taken = np.cumsum(np.concatenate([[0], ~free]))
-    at = np.flatnonzero(taken[size:] == taken[:-size])
-    h = np.zeros(len(at), np.uint64)
-    for i in range(size):
-        h = h * BASE + words[at + i]
-    return at, h
+def _longest(x: Runs, y: Runs, free_item, free_text, least: int, most: int) -> int:
+    """Length of the longest common unmarked run, by bisection: a common run has common shorter runs. 0: none."""
 
+    def common(size: int) -> bool:
+        at_item, groups = _common(x, y, free_item, free_text, size)
+        return any(
+            np.array_equal(x.words[i : i + size], y.words[j : j + size]) for i, h in at_item for j in reversed(groups[h])
+        )
 
-def _longest(item, text, free_item, free_text, least: int, most: int) -> int:
-    """Length of the longest common unmarked run, by bisection: a common run has common shorter runs. 0: none."""
-    common = lambda size: next(_matches(item, text, free_item, free_text, size), None) is not None
     if most < least or not common(least):
         return 0
     low, high = least, most
@@ -91,20 +122,15 @@ def _longest(item, text, free_item, free_text, least: int, most: int) -> int:
     return low
 
 
-def _matches(item, text, free_item, free_text, size: int) -> Iterator[tuple[int, int]]:
-    """Places of equal runs: hashes first, then the words."""
-    at_i, h_i = _runs(item, free_item, size)
-    at_j, h_j = _runs(text, free_text, size)
-    if not len(at_i) or not len(at_j):
-        return
-    hit = np.isin(h_j, h_i)
-    at_j, h_j = at_j[hit], h_j[hit]
-    order = np.argsort(h_j, kind="stable")
-    at_j, h_j = at_j[order], h_j[order]
-    for i, h in zip(at_i.tolist(), h_i):
-        for j in at_j[np.searchsorted(h_j, h) : np.searchsorted(h_j, h, "right")].tolist():
-            if np.array_equal(item[i : i + size], text[j : j + size]):
-                yield i, j
+def _common(x: Runs, y: Runs, free_item, free_text, size: int) -> tuple[list[tuple[int, int]], dict[int, list[int]]]:
+    """Runs whose hash both sides have: (place, hash) in the item by place, and places in the text by hash, last first."""
+    at_i, h_i = x.unmarked(free_item, size)
+    at_j, h_j = y.unmarked(free_text, size)
+    in_text, in_item = np.isin(h_i, h_j), np.isin(h_j, h_i)
+    groups: dict[int, list[int]] = {}
+    for j, h in zip(at_j[in_item][::-1].tolist(), h_j[in_item][::-1].tolist()):
+        groups.setdefault(h, []).append(j)
+    return list(zip(at_i[in_text].tolist(), h_i[in_text].tolist())), groups
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, words: int = SEED_WORDS) -> DataFrame:
@@ -121,7 +147,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text")).filter("text is not null")
-    items = items.groupBy("text").agg(F.min("item_id").alias("item_id"))
+    items = materialise(items.groupBy("text").agg(F.min("item_id").alias("item_id")), "items")
 
     def seeds_of(batches: Iterator[dict]):
         split = Words()
@@ -131,10 +157,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
                 size = min(words, len(w))
                 if size:
                     for at, h in enumerate(rolling(w, size).astype(np.int64).tolist()):
-                        yield h, i, t, len(w), size, at
+                        yield h, i, len(w), size, at
 
     seeds = materialise(
-        map_rows(items, seeds_of, "h long, item_id long, item string, item_words int, size int, at int"), "seeds"
+        map_rows(items, seeds_of, "h long, item_id long, item_words int, size int, at int"), "seeds"
     )
     sizes = sorted(r["size"] for r in seeds.select("size").distinct().collect())
     bits = spark.sparkContext.broadcast(bit_filter(seeds.select("h").distinct()))
@@ -156,7 +182,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     # Each seed covers at most its own words, so seeds of a pair bound what tiles can cover.
     pairs = met.groupBy("doc_id", "rk", "item_id", "item_words").agg(F.sum("size").alias("most"))
     pairs = pairs.filter(F.col("most") >= coverage * F.col("item_words")).select("doc_id", "rk", "item_id")
-    whole = seeds.filter("at = 0").select("item_id", "item").distinct()
+    whole = items.select("item_id", F.col("text").alias("item"))
     same = F.col("p.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("p.rk") == F.col("t.rk"))
     once = hits.select("doc_id", "rk", "text").distinct()
     both = pairs.alias("p").join(whole, "item_id").alias("p").join(once.alias("t"), same)

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -94,3 +95,39 @@ def test_reordered_and_partial_passages(spark, odd, nothing):
     assert {r.doc_id for r in hit} == {4, None} and len(hit) == 2
     left = tiling.drop_contaminated(odd, one)
     assert left.columns == odd.columns and left.count() == odd.count() - 4
+
+
+def test_hashes_of_runs_equal_those_of_seeds():
+    words = np.random.default_rng(1).integers(0, 1 << 64, 400, np.uint64)
+    runs = tiling.Runs(words)
+    for size in (1, 2, 5, 77, 400):
+        at, h = runs.unmarked(np.ones(400, bool), size)
+        assert at.tolist() == list(range(401 - size)) and np.array_equal(h, tiling.rolling(words, size))
+    assert len(runs.unmarked(np.ones(400, bool), 401)[0]) == 0
+    assert tiling.tiles(words[:0], words, 1) == tiling.tiles(words, words[:0], 1) == []
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_repetitive_texts_equal_brute_force(seed):
+    rng = random.Random(seed)
+    item, text = ([rng.choice((1, 1, 1, 2)) for _ in range(n)] for n in (rng.randint(1, 18), rng.randint(1, 22)))
+    got = tiling.tiles(np.array(item, np.uint64), np.array(text, np.uint64), 1 + seed % 4)
+    assert sorted(got) == brute_tiles(item, text, 1 + seed % 4)
+
+
+def test_long_and_repetitive_texts_do_not_cost_a_square():
+    """Ten times 2,000 words against 8,000 of them, of one word or of a phrase that repeats."""
+    start = time.process_time()
+    for period in (1, 7, 50):
+        item, text = (np.arange(n, dtype=np.uint64) % np.uint64(period) for n in (20_000, 80_000))
+        assert sum(n for _, _, n in tiling.tiles(item, text, 5)) == 20_000
+    assert time.process_time() - start < 20
+
+
+def test_a_long_item_is_no_part_of_its_seeds(spark):
+    words = [f"w{k}" for k in range(20_000)]
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    moved = words[9_000:] + ["else"] + words[:5_000]
+    docs = spark.createDataFrame([(1, " ".join(moved)), (2, " ".join(words[:9_000]))], "doc_id long, text string")
+    got = tiling.contaminated(docs, items).collect()
+    assert [(r.doc_id, r.item_words, r.covered_words, r.n_tiles) for r in got] == [(1, 20_000, 16_000, 2)]
