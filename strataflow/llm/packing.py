@@ -15,6 +15,7 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ K1, B = 1.2, 0.75
 TERMS = np.random.Generator(np.random.PCG64(7)).permutation(1 << 16)  # one random order of all terms
 ORDER = np.argsort(TERMS)
 CACHE = 400_000  # words a worker remembers: about 200 bytes each
+GROUP_CHARS = 1 << 22  # texts whose words are looked up together hold so many code points, about
+BLANK = re.compile("[ \n]")
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -45,6 +48,10 @@ BYTE_CHARACTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b n
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def _strings(a: pa.Array) -> list[str]:
+    return a.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     """Token ids of whole texts, from remembered ids of blank-separated words.
 
@@ -53,6 +60,8 @@ class Encoder:
     the vocabulary directly; every other word, and what normalising or lower-casing treats by its
     surroundings, through the tokenizer's own steps. Where a text spells an added token, that token's id
     stands there and the parts around it are encoded each for itself, as the tokenizer does.
+
+    Arrow splits and numbers the words of many texts at once; Python sees each different word once a group.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
@@ -61,72 +70,111 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder()
-        self.added = {t.content: np.array([i], "<u2").tobytes() for i, t in added.items()}
+        self.added = {t.content: np.array([i], "<u2") for i, t in added.items()}
         longest_first = sorted(self.added, key=len, reverse=True)
         self.spelt = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.added else None
         self.cache = cache
-        self.known: dict[str, bytes] = {}
-        self.letters: dict[str, bytes] = {}
-        self._forget()
-
-    def _forget(self):
-        self.letters.clear()
-        self.known.clear()
-        self.known[""] = b""
-
-    def _whole(self, words: list[str]):
-        for w, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u2").tobytes()
-
-    def _learn(self, words: set[str]):
-        known, letters, tokenize, others = self.known, self.letters, self.tokenizer.model.tokenize, []
-        for w in words:
-            core = w.rstrip(MARKS)
+        self.letters: dict[str, bytes] = {}  # by letters, A-Z lower-cased; empty where the whole word decides
+        self.whole: dict[str, bytes] = {}
+
+    def _letters(self, cores: list[str]) -> list[bytes]:
+        known, tokenize = self.letters, self.tokenizer.model.tokenize
+        out = list(map(known.get, cores))
+        for k in [k for k, raw in enumerate(out) if raw is None]:
+            core = cores[k]
             if not core.isalpha():
-                others.append(w)
-                continue
-            low = core.lower()
-            ids = letters.get(low)
-            if ids is None:
-                if low.isascii():
-                    shown = low
-                elif "\u03a3" in core or "\u0130" in core or not unicodedata.is_normalized("NFC", core):
-                    others.append(w)
-                    continue
-                else:
-                    shown = low.encode().decode("latin-1").translate(BYTE_CHARACTERS)
-                ids = letters[low] = array("H", [t.id for t in tokenize(shown)]).tobytes()
-            if core is not w and len(core) < len(w):
-                tail = w[len(core) :]
-                if tail not in known:
-                    self._whole([tail])
-                ids += known[tail]
-            known[w] = ids
-        self._whole(others)
-
-    def __call__(self, batch: list[str]) -> list[np.ndarray]:
-        """Ids of each text, the end id last; 16 bits hold the vocabulary's ids."""
-        if len(self.known) > self.cache:
-            self._forget()
-        out, end = [], np.uint16(END_ID).tobytes()
-        for text in batch:
-            if any(map(text.__contains__, self.added)):
-                raw = b"".join(self.added.get(part) or self._part(part) for part in self.spelt.split(text))
+                raw = b""
+            elif core.isascii():
+                raw = array("H", [t.id for t in tokenize(core)]).tobytes()
+            elif "\u03a3" in core or "\u0130" in core or not unicodedata.is_normalized("NFC", core):
+                raw = b""
             else:
-                raw = self._part(text)
-            out.append(np.frombuffer(raw + end, "<u2"))
+                shown = core.lower().encode().decode("latin-1").translate(BYTE_CHARACTERS)
+                raw = array("H", [t.id for t in tokenize(shown)]).tobytes()
+            known[core] = out[k] = raw
         return out
 
-    def _part(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        self._learn(set(words).difference(self.known))
-        return b"".join(map(self.known.__getitem__, words))
+    def _whole(self, words: list[str]) -> list[bytes]:
+        new = [w for w in dict.fromkeys(words) if w not in self.whole]
+        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
+            self.whole[w] = np.array(e.ids, "<u2").tobytes()
+        return [self.whole[w] for w in words]
+
+    def _words(self, words: pa.Array) -> list[bytes]:
+        """Ids of different words."""
+        if len(self.letters) + len(self.whole) > self.cache:
+            self.letters.clear()
+            self.whole.clear()
+        cores = pc.ascii_rtrim(words, MARKS)
+        marks = pc.subtract(pc.binary_length(words), pc.binary_length(cores)).to_numpy()
+        cores = pc.ascii_lower(cores).dictionary_encode()
+        ids, of = self._letters(_strings(cores.dictionary)), cores.indices.to_numpy()
+        out = list(map(ids.__getitem__, of.tolist()))
+        other = np.fromiter(map(len, ids), np.int64, len(ids))[of] == 0
+        at = np.flatnonzero(other)
+        for k, raw in zip(at.tolist(), self._whole(_strings(words.take(pa.array(at))))):
+            out[k] = raw
+        at = np.flatnonzero((marks > 0) & ~other)
+        tails = [w[-n:] for w, n in zip(_strings(words.take(pa.array(at))), marks[at].tolist())]
+        for k, raw in zip(at.tolist(), self._whole(tails)):
+            out[k] += raw
+        return out
+
+    def _texts(self, texts: list[str]) -> list[np.ndarray]:
+        lists = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        words = lists.flatten().dictionary_encode()
+        ids = [*self._words(words.dictionary), np.uint16(END_ID).tobytes()]
+        # The end id is one more word of each text.
+        ends = lists.offsets.to_numpy()[1:]
+        place = np.insert(words.indices.to_numpy(), ends, len(ids) - 1)
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        many = length[place]
+        until = np.cumsum(many)
+        at = np.repeat((np.cumsum(length) - length)[place] - (until - many), many)
+        at += np.arange(len(at))
+        ids = np.frombuffer(b"".join(ids), "<u2")[at]
+        return np.split(ids, until[ends + np.arange(len(ends))][:-1])
+
+    def __call__(self, batch: list[str]) -> list[np.ndarray]:
+        """Ids of each text, the end id last; 16 bits hold the vocabulary's ids."""
+        apart = [len(text) > GROUP_CHARS or any(map(text.__contains__, self.added)) for text in batch]
+        together = iter(self._texts([text for text, alone in zip(batch, apart) if not alone]))
+        return [self._parts(text) if alone else next(together) for text, alone in zip(batch, apart)]
+
+    def _parts(self, text: str) -> np.ndarray:
+        """Ids of a text that is long or spells an added token."""
+        found = []
+        for part in self.spelt.split(text) if self.spelt else [text]:
+            if part in self.added:
+                found.append(self.added[part])
+                continue
+            at = 0
+            while len(part) - at > GROUP_CHARS and (blank := BLANK.search(part, at + GROUP_CHARS)):
+                found.append(self._texts([part[at : blank.start()]])[0][:-1])
+                at = blank.end()
+            found.append(self._texts([part[at:]])[0][:-1])
+        return np.concatenate([*found, np.array([END_ID], "<u2")])
 
 
 def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def _groups(batches: Iterator[dict]) -> Iterator[tuple[list[int], list[str]]]:
+    """Rows of batches, until their texts reach ``GROUP_CHARS`` code points; an empty one counts too."""
+    doc_ids, group, held = [], [], 0
+    for b in batches:
+        for doc_id, text in zip(b["doc_id"], b["text"]):
+            doc_ids.append(doc_id)
+            group.append(text)
+            held += len(text) + 100
+            if held >= GROUP_CHARS:
+                yield doc_ids, group
+                doc_ids, group, held = [], [], 0
+    if group:
+        yield doc_ids, group
+
+
 def tokenised(docs: DataFrame, path: str, cache: int = CACHE) -> DataFrame:
     """Full windows (checksum only), the rest of each document (its ids), and counts of documents by token.
 
@@ -136,8 +184,8 @@ def tokenised(docs: DataFrame, path: str, cache: int = CACHE) -> DataFrame:
     def rows(batches: Iterator[dict]):
         encode = Encoder(path, cache)
         having, last = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        for b in batches:
-            for doc_id, ids in zip(b["doc_id"], encode(b["text"])):
+        for doc_ids, group in _groups(batches):
+            for doc_id, ids in zip(doc_ids, encode(group)):
                 n, whole = len(ids), len(ids) // WINDOW * WINDOW
                 place = np.arange(n)
                 last[ids] = place

@@ -68,6 +68,43 @@ def test_words_encode_like_whole_texts(tokenizer):
         assert ids.tolist() == ids_of(tokenizer, text)
 
 
+def test_ids_do_not_depend_on_words_met_before(tokenizer):
+    encode = packing.Encoder(packing.default_tokenizer())
+    for text in ("σας", "ΣΑΣ", "σασ ΣΑΣ, σας"):
+        assert encode([text])[0].tolist() == ids_of(tokenizer, text)
+
+
+def test_long_texts_are_encoded_by_parts(tokenizer, monkeypatch):
+    texts = ["", "one", "Été, don't " * 40 + "<|endoftext|>" + "x" * 150 + " \n\n  y" * 90, " " * 200, "ab\n" * 70, "z" * 300]
+    encode = packing.Encoder(packing.default_tokenizer())
+    for chars in (1 << 22, 64, 1):
+        monkeypatch.setattr(packing, "GROUP_CHARS", chars, raising=False)
+        assert [ids.tolist() for ids in encode(texts)] == [ids_of(tokenizer, text) for text in texts]
+    assert encode([]) == []
+
+
+class Counted:
+    """A tokenizer, and how often the vocabulary was asked."""
+
+    def __init__(self, tokenizer):
+        self.encode_batch, self.asked = tokenizer.encode_batch, 0
+        self.inner, self.model = tokenizer.model, self
+
+    def tokenize(self, word):
+        self.asked += 1
+        return self.inner.tokenize(word)
+
+
+def test_spellings_of_a_word_share_what_is_remembered(tokenizer):
+    encode = packing.Encoder(packing.default_tokenizer(), cache=100)
+    encode.tokenizer = counted = Counted(encode.tokenizer)
+    words = [a + b for a in "bdfgklmnpr" for b in ("anth", "este", "irol", "orun", "ubal", "ynd")]
+    text = " ".join(form for w in words for form in (w, w.title(), w.upper(), w + ",", w.title() + "."))
+    for _ in range(3):
+        assert encode([text])[0].tolist() == ids_of(tokenizer, text)
+    assert counted.asked == len(words)
+
+
 def test_neighbours_come_by_bm25():
     rng = np.random.default_rng(3)
     topics = [rng.integers(100 * k, 100 * k + 60, 40) for k in range(1, 40)]
